@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebed.llm import category_sample as cs
-from sluicebed.llm import mixing, pieces, tokens
+from sluicebed.llm import authorship, mixing, pieces, syntax, tokens
 from sluicebed.llm import related_splits as rs
 from sluicebed.sources.tables import table
 
@@ -23,6 +23,16 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return rs.split_report(p1_splits(spark, d), table(spark, d, "split_target"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    cases = authorship.not_by_hand(table(spark, d, "pull_example"), table(spark, d, "known_library"))
+    return cases.select("example_no", "field", "path")
+
+
+def p3_hand_written(spark: SparkSession, d: str) -> DataFrame:
+    kept = authorship.hand_written(table(spark, d, "pull_example"), table(spark, d, "known_library"))
+    return kept.select("example_no", "field", "path", F.length("source").alias("n_chars"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     report = cs.sample_report(table(spark, d, "pull_example"), table(spark, d, "sample_target"))
     return report.filter("short > 0").select("category_no")
@@ -36,6 +46,14 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return cs.category_sample(table(spark, d, "pull_example"), table(spark, d, "sample_target"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, d, "pull_example"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(table(spark, d, "pull_example"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.cut_values(table(spark, d, "pull_example"), table(spark, d, "piece_limit"))
 
