@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebed.llm import category_sample as cs
-from sluicebed.llm import authorship, mixing, pieces, syntax, tokens
+from sluicebed.llm import authorship, mixing, pieces, prose, syntax, tokens
 from sluicebed.llm import related_splits as rs
 from sluicebed.sources.tables import table
 
@@ -23,6 +23,14 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return rs.split_report(p1_splits(spark, d), table(spark, d, "split_target"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_shares(spark, d).select("example_no", "field", "path", "lang")
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    return prose.prose(table(spark, d, "pull_example"), table(spark, d, "documents"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     cases = authorship.not_by_hand(table(spark, d, "pull_example"), table(spark, d, "known_library"))
     return cases.select("example_no", "field", "path")
