@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebed.llm import category_sample as cs
-from sluicebed.llm import authorship, mixing, pieces, prose, syntax, tokens
+from sluicebed.llm import authorship, cut_texts, mixing, pieces, prose, syntax, tokens
 from sluicebed.llm import related_splits as rs
 from sluicebed.sources.tables import table
 
@@ -90,6 +90,14 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return cut_texts.cut_texts(table(spark, d, "documents"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cut_texts.cut_rates(table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
