@@ -38,6 +38,7 @@ THRESHOLD = -2.8
 BITS = 1 << 24
 SALTS = 16
 REMARK_CHARS, REMARK_WORDS = 24, 4
+STRETCH = 400_000
 
 # What is put in place of the rest, and what is left of a broken character or entity.
 _MARK = re.compile(
@@ -84,32 +85,61 @@ def lines_of(text: str) -> tuple[list[str], bool, bool]:
     return out, last, inside
 
 
-def _contexts(lines: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """For all characters of all lines: line number, whether the line ends there, and by order the context's hash (0: none)."""
-    shown = ["^" + _DIGITS.sub("0", _HEX.sub("h", x)) for x in lines]
-    lens = np.array([len(x) for x in shown])
-    codes = np.frombuffer("".join(shown).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    line = np.repeat(np.arange(len(shown)), lens)
+def _shown(line: str) -> str:
+    """A line as the model sees it: with a mark at its beginning, numbers and hashes alike."""
+    return "^" + _DIGITS.sub("0", _HEX.sub("h", line))
+
+
+def _contexts(parts: list[str], kinds: list[int]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """For all characters of all parts: position in the part, and by order the hash of the context (0: none)."""
+    lens = np.array([len(x) for x in parts])
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(lens)
     pos = np.arange(len(codes)) - np.repeat(ends - lens, lens)
-    is_end = np.zeros(len(codes), bool)
-    is_end[ends - 1] = True
-    kinds = np.array([zlib.crc32(form(x).encode()) for x in lines], np.uint64)[line]
+    kind = np.repeat(np.array(kinds, np.uint64) * np.uint64(0x9E3779B97F4A7C15), lens)
     out = {}
     h = np.zeros(len(codes), np.uint64)
     power = np.uint64(1)
     for n in range(1, max(ORDERS) + 1):
-        back = np.zeros(len(codes), np.uint64)
-        back[n - 1 :] = codes[: len(codes) - n + 1]
-        h = h + (back + np.uint64(1)) * power
+        h[n - 1 :] += (codes[: len(codes) - n + 1] + np.uint64(1)) * power
         power = np.uint64(int(power) * 0x100000001B3 & (1 << 64) - 1)
         if n in ORDERS:
-            k = (h ^ (kinds * np.uint64(0x9E3779B97F4A7C15))) + np.uint64(n * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+            k = (h ^ kind) + np.uint64(n * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
             k ^= k >> np.uint64(31)
             k *= np.uint64(0xBF58476D1CE4E5B9)
             k ^= k >> np.uint64(29)
             out[n] = np.where(pos >= n - 1, k | np.uint64(1), np.uint64(0)).view(np.int64)
-    return line, is_end, out
+    return pos, out
+
+
+def _end_contexts(lines: list[str]) -> np.ndarray:
+    """One row per line: the hashes of the contexts of its end, by order."""
+    parts = [_shown(x)[-max(ORDERS) :] for x in lines]
+    _, keys = _contexts(parts, [zlib.crc32(form(x).encode()) for x in lines])
+    at = np.cumsum([len(x) for x in parts]) - 1
+    return np.stack([keys[n][at] for n in ORDERS], axis=1)
+
+
+def _stretches(lines: list[str]) -> Iterator[tuple[list[str], list[int], list[int]]]:
+    """Lines in stretches of about STRETCH characters: parts, kinds, and how many leading characters are counted already.
+
+    Longer lines come in parts that overlap by a context; the last character of a line is left out, since it ends there.
+    """
+    parts, kinds, skips, held = [], [], [], 0
+    lap = max(ORDERS) - 1
+    for line in lines:
+        s, kind = _shown(line)[:-1], zlib.crc32(form(line).encode())
+        for start in range(0, len(s), STRETCH):
+            lead = min(lap, start)
+            parts.append(s[start - lead : start + STRETCH])
+            kinds.append(kind)
+            skips.append(lead)
+            held += len(parts[-1])
+            if held >= STRETCH:
+                yield parts, kinds, skips
+                parts, kinds, skips, held = [], [], [], 0
+    if parts:
+        yield parts, kinds, skips
 
 
 _ENDS = "doc_id long, kind string, lang string, tag long, last boolean, sure boolean, contexts array<long>, n long"
@@ -128,9 +158,7 @@ def _read_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last_of.append(len(lines) - 1 if last and not sure and not remark else None)
             rows.append(sure)
         if lines:
-            line, is_end, keys = _contexts(lines)
-            at = np.flatnonzero(is_end)
-            table = np.stack([keys[n][at] for n in ORDERS], axis=1)
+            table = _end_contexts(lines)
         finals = [x for x in last_of if x is not None]
         yield pa.RecordBatch.from_arrays(
             [
@@ -181,10 +209,11 @@ def _read_goes_on(bitmap):
             lines: list[str] = []
             for text in b.column("text").to_pylist():
                 lines += lines_of(text)[0]
-            for start in range(0, len(lines), 20_000):
-                _, is_end, keys = _contexts(lines[start : start + 20_000])
+            for parts, kinds, skips in _stretches(lines):
+                pos, keys = _contexts(parts, kinds)
+                fresh = pos >= np.repeat(np.array(skips), [len(x) for x in parts])
                 for n in ORDERS:
-                    k = keys[n][~is_end]
+                    k = keys[n][fresh]
                     k = k[k != 0]
                     at = np.mod(k, BITS)
                     k = k[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
