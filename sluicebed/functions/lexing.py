@@ -1,4 +1,4 @@
-"""Lexers of the languages that the source operators read.
+"""Lexers of the languages that the operators on sources read.
 
 Each language has one compiled pattern; scanning gives the kind and span of every token without a step per character.
 Kinds: C comment, S string or other literal text, U unterminated string or comment, M conflict marker, N number, W word,
@@ -75,6 +75,17 @@ _PATTERNS = {
     ),
 }
 _PATTERNS["ts"] = _PATTERNS["js"]
+_PATTERNS["rs"] = _pattern(
+    ("M", _MARK), ("C", rf"{_BLOCK}|{_LINE}"), ("S", rf'b?r(?P<q>#*)"[\s\S]*?"(?P=q)|b?{_DQM}|b?\'(?:\\[^\n]|[^\'\\\n])[^\'\n]{{0,8}}?\''), ("U", r'/\*|"'),
+    ("W", r"'?[A-Za-z_\u0080-\U0010ffff]\w*!?"), ("N", _NUM), *_TAIL, ("O", r"->|=>|::|\.\.=?|&&|\|\||<<=|>>=|<<|>>|[=!<>]=|[-+*/%&|^]=|[-+*/%&|^<>=!?:.,;@#$']"), ("X", r"[^\s]"),
+)
+_PATTERNS["sh"] = _pattern(
+    ("C", r"(?:(?<=\s)|^)#[^\n]*"), ("S", rf"{_DQM}|'[^']*'"), ("U", r"[\"']"), ("W", r"[A-Za-z_$][\w$-]*"), ("N", _NUM), *_TAIL, ("O", r"[^\s\w()\[\]{}\"']"), ("X", r"[^\s]"),
+)
+_PATTERNS["cs"] = _pattern(
+    ("C", rf"{_BLOCK}|{_LINE}"), ("S", rf'\$?@\$?"(?:[^"]|"")*"|\$?""\"[\s\S]*?""\"|\$?{_DQ}|{_SQ}'), ("U", r"/\*|[\"']"),
+    ("W", r"@?[A-Za-z_\u0080-\U0010ffff]\w*"), ("N", _NUM), *_TAIL, ("O", r"=>|->|::|\?\?=?|\+\+|--|&&|\|\||[=!<>]=|[-+*/%&|^]=|[-+*/%&|^<>=!~?:.,;#$]"), ("X", r"[^\s]"),
+)
 _OPEN_PHP = re.compile(r"<\?(?:php\b|=)?")
 _OPENERS = {"(": ")", "[": "]", "{": "}"}
 #: Words after which a slash begins a pattern.
