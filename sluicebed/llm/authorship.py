@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicebed.functions.names import repo_name
-from sluicebed.llm.lexing import SUFFIXES, tokens
+from sluicebed.functions.lexing import SUFFIXES, tokens
 from sluicebed.plans.shared import written
 
 GRAM, WINDOW = 6, 6

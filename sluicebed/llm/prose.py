@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebed.llm.lexing import SUFFIXES, tokens
+from sluicebed.functions.lexing import SUFFIXES, tokens
 from sluicebed.llm.syntax import sources
 
 FOLDER = "/opt/tokenizers"

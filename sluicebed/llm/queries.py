@@ -102,8 +102,30 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+_REPO = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(regexp_replace(lower(repo), '^\s+|\s+$', '', 'g'), '[?#].*$', ''), '^[a-z][a-z0-9+.-]*://[^/]*/+', ''), '^[^/:]+:/*', ''), '^[^/]*\.[^/]*/+([^/]+/+[^/].*)$', '\1'),
+  '^/+|/+$', '', 'g'), '\.git$', ''), '/+$', ''), '^([^/]+)/+([^/]+)/.*$', '\1/\2'), '[-_]', '', 'g')"""
+_PLACES = "('', 'unknown', 'na', 'n/a', 'none', 'null', 'nil', 'nan', 'undefined', 'unspecified', 'notknown', 'notavailable', 'notapplicable', 'notset', 'missing', 'tbd', 'tba', 'todo', 'unk', 'empty', 'blank', 'void', '?', '??', '???', '.')"
+_NAME = "regexp_replace(regexp_replace(lower({0}), '^\\s+|\\s+$', '', 'g'), '[-_]', '', 'g')"
+_CWE = "regexp_replace(regexp_replace(lower({0}), '[\\[\\]\"''\\s_-]', '', 'g'), '^(?:cwe)?0*([0-9]+)$', 'cwe\\1')"
 
 
-__all__ = ["F", "oracle_sql", "queries"]
+def oracle_sql() -> dict[str, str]:
+    """SQL of the queries that SQL can express over whole tables."""
+    vuln, framing = _NAME.format("vuln_id"), _NAME.format("framing")
+    return {
+        "p1_found": f"""WITH RECURSIVE n AS (SELECT example_no, id, parent_id, CASE WHEN {_REPO} NOT IN {_PLACES} THEN {_REPO} END AS repo, CASE WHEN {vuln} NOT IN {_PLACES} THEN {vuln} END AS vuln FROM pull_example),
+          k AS (SELECT example_no, 'i:' || id AS key FROM n WHERE trim(id) <> '' UNION SELECT example_no, 'i:' || parent_id FROM n WHERE trim(parent_id) <> '' UNION SELECT example_no, 'r:' || repo FROM n WHERE repo IS NOT NULL
+            UNION SELECT example_no, 'v:' || vuln FROM n WHERE vuln IS NOT NULL),
+          s AS (SELECT DISTINCT example_no AS a, min(example_no) OVER (PARTITION BY key) AS b FROM k), e AS (SELECT a, b FROM s UNION SELECT b, a FROM s),
+          r AS (SELECT example_no AS x, example_no AS g FROM n UNION SELECT e.b, r.g FROM r JOIN e ON r.x = e.a WHERE r.g < e.b),
+          g AS (SELECT x AS example_no, min(g) AS group_no FROM r GROUP BY x),
+          keep AS (SELECT group_no FROM g JOIN n USING (example_no) GROUP BY group_no HAVING count(*) > 1 AND (count(repo) < count(*) OR count(DISTINCT repo) > 1))
+          SELECT example_no, group_no FROM g WHERE group_no IN (SELECT group_no FROM keep)""",
+        "p4_found": f"""WITH f AS (SELECT id, malicious, {_CWE.format("cwe_id")} AS cwe, {framing} AS framing FROM pull_example WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY example_no) = 1),
+          t AS (SELECT category_no, malicious, {_CWE.format("cwe_id")} AS cwe, {framing} AS framing, share_pct, min_rows FROM sample_target), c AS (SELECT t.category_no, any_value(share_pct) AS share_pct, any_value(min_rows) AS min_rows, count(f.id) AS n
+            FROM t LEFT JOIN f ON f.malicious = t.malicious AND f.cwe = t.cwe AND f.framing = t.framing GROUP BY t.category_no)
+          SELECT category_no FROM c WHERE n < greatest(min_rows, ceil(share_pct * floor((SELECT count(*) FROM f) / 5) / 100))""",
+        "p6_found": """WITH v AS (SELECT example_no, 'diff' AS field, '' AS path, diff AS value FROM pull_example UNION ALL SELECT example_no, 'files', e.key, e.value FROM (SELECT example_no, unnest(map_entries(files)) AS e FROM pull_example))
+          SELECT example_no, field, path FROM v JOIN piece_limit ON field = field_name WHERE length(value) > max_chars""",
+    }
