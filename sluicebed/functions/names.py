@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Words that stand for "not known", in lower case, without separators.
 PLACEHOLDERS = (
-    "unknown", "na", "none", "null", "nil", "nan", "undefined", "unspecified", "notknown", "notavailable",
+    "unknown", "na", "n/a", "none", "null", "nil", "nan", "undefined", "unspecified", "notknown", "notavailable",
     "notapplicable", "notset", "missing", "tbd", "tba", "todo", "unk", "empty", "blank", "void", "?", "??", "???", ".",
 )
 

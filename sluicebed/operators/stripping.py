@@ -59,7 +59,7 @@ def strip_source(source: str, path: str, mask: bool = False) -> tuple[str, list[
     language = language_of(path)
     if language is None:
         return source, [f"{path}: unsupported syntax for stripping"]
-    toks = tokens(source, LEXER[language])
+    toks = tokens(source, LEXER[language], inside=language == "php" and "<?" not in source)  # a part of a file has no open tag
     spans: list[tuple[int, int]] = []
     for kind, a, b in toks:
         if kind == "C":

@@ -11,10 +11,16 @@ from pyspark.sql import types as T
 from sluicebed.functions.schemas import ANALYSIS, RAW_PULL, RESULT, SUPPORTED_CWES
 
 
+def _parsed(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("_path"))
+    one = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.filter(F.trim("value") != "").select(one.alias("j"), "_path").select("j.*", "_path")
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """One row per line that isn't blank. Only "\\n" ends a line, so U+2028 inside strings survives; a line that is no
     object keeps its text in _corrupt_record if the schema has that column."""
-    return spark.read.schema(schema).option("lineSep", "\n").option("mode", "PERMISSIVE").json(path)
+    return _parsed(spark, path, schema).drop("_path")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -40,11 +46,11 @@ def read_enriched(spark: SparkSession, root: str, cwes: list[str] | None = None,
     """<root>/cwe*/{malicious,benign}.jsonl with label and folder from the path; folders not asked for aren't listed."""
     dirs = "{" + ",".join(cwes) + "}" if cwes else "cwe*"
     names = "{malicious,benign}" if include_benign else "malicious"
-    raw = read_jsonl(spark, os.path.join(root, dirs, f"{names}.jsonl"), RAW_PULL)
-    where = F.col("_metadata.file_path")
+    raw = _parsed(spark, os.path.join(root, dirs, f"{names}.jsonl"), RAW_PULL)
+    where = F.col("_path")
     return raw.withColumns(
         {"cwe_dir": F.regexp_extract(where, r"([^/]+)/[^/]+$", 1), "malicious": F.regexp_extract(where, r"([^/]+)\.jsonl$", 1) == "malicious"}
-    )
+    ).drop("_path")
 
 
 def read_metadata(spark: SparkSession, root: str, cwes: tuple[str, ...] = SUPPORTED_CWES, include_benign: bool = True) -> DataFrame:
