@@ -1,7 +1,7 @@
 """Lexers of the languages that the operators on sources read.
 
 Each language has one compiled pattern; scanning gives the kind and span of every token without a step per character.
-Kinds: C comment, S string or other literal text, U unterminated string or comment, M conflict marker, N number, W word,
+Kinds: C comment, S string or other literal text, U unterminated string or comment, V unterminated here-document, M conflict marker, N number, W word,
 brackets as themselves, L line end, O operator, X a character with no place in the language, H text outside of code.
 """
 
@@ -55,14 +55,14 @@ _PATTERNS = {
     ),
     "php": _pattern(
         ("M", _MARK), ("E", r"\?>\n?"), ("C", rf"{_BLOCK}|(?://|#(?!\[))(?:[^\n?]|\?(?!>))*"),
-        ("S", rf"{_DQM}|{_SQM}|`[^`]*`|<<<[ \t]*(?P<q>[\"']?)(?P<here>[A-Za-z_]\w*)(?P=q)\r?\n(?:[\s\S]*?\n)??[ \t]*(?P=here)\b"),
-        ("U", r"/\*|[\"'`]"), ("W", r"\$*[A-Za-z_\u0080-\U0010ffff][\w]*|\\[A-Za-z_\\\w]+"), ("N", _NUM), *_TAIL,
-        ("O", r"<=>|\*\*=|\.\.\.|<<=|>>=|===|!==|\?\?=|\?->|->|=>|::|\+\+|--|&&|\|\||\?\?|\*\*|<<|>>|<>|[=!<>]=|[-+*/%&|^.]=|#\[|[-+*/%&|^<>=!~?:.,;@$\\]"),
+        ("I", '"'), ("S", rf"{_SQM}|`[^`]*`|<<<[ \t]*(?P<q>[\"']?)(?P<here>[A-Za-z_]\w*)(?P=q)\r?\n(?:[\s\S]*?\n)??[ \t]*(?P=here)\b"),
+        ("V", r"<<<[ \t]*[\"']?[A-Za-z_]\w*[\"']?\r?\n"), ("U", r"/\*|[\"'`]"), ("W", r"\$*\\?[A-Za-z_\u0080-\U0010ffff]\w*(?:\\[A-Za-z_\u0080-\U0010ffff]\w*)*"), ("N", _NUM), *_TAIL,
+        ("O", r"<=>|\*\*=|\.\.\.|<<=|>>=|===|!==|\?\?=|\?->|->|=>|::|\+\+|--|&&|\|\||\?\?|\*\*|<<|>>|<>|[=!<>]=|[-+*/%&|^.]=|#(?=\[)|[-+*/%&|^<>=!~?:.,;@$\\]"),
         ("X", r"[^\s]"),
     ),
     "rb": _pattern(
         ("M", _MARK), ("C", r"#[^\n]*|^=begin\b[\s\S]*?^=end\b[^\n]*|^__END__\r?\n[\s\S]*"),
-        ("S", rf"{_DQM}|{_SQM}|`(?:[^`\\]|\\[\s\S])*`|%[qQwWiIrsx]?(?:\[[^\]]*\]|\{{[^}}]*\}}|\([^)]*\)|<[^>]*>|\|[^|]*\||![^!]*!)[a-z]*|(?<![\w)\]]):\"(?:[^\"\\]|\\[\s\S])*\""),
+        ("I", '"'), ("S", rf"{_SQM}|`(?:[^`\\]|\\[\s\S])*`|%[qQwWiIrsx]?(?:\[[^\]]*\]|\{{[^}}]*\}}|\([^)]*\)|<[^>]*>|\|[^|]*\||![^!]*!)[a-z]*|(?<![\w)\]]):\"(?:[^\"\\]|\\[\s\S])*\""),
         ("H", r"<<[~-]?(?P<q>[\"'`]?)(?P<here>[A-Z_a-z]\w*)(?P=q)"), ("U", r"[\"'`]|^=begin\b"),
         ("W", r"(?:@@?|\$)?[A-Za-z_\u0080-\U0010ffff]\w*[?!]?(?![=~]=?(?<=[!?]=))|\$[^\sA-Za-z]"), ("N", _NUM), *_TAIL, ("R", "/"),
         ("O", r"<=>|===|=~|!~|\*\*=?|\.\.\.?|&\.|->|=>|::|&&=?|\|\|=?|<<=?|>>=?|[=!<>]=|[-+*%&|^]=|[-+*%&|^<>=!~?:.,;\\]"),
@@ -130,6 +130,43 @@ def _js_template(text: str, i: int) -> int:
     return -1
 
 
+_FLAT = {"rb": re.compile(r'"(?:[^"\\#]|\\[\s\S]|#(?!\{))*"'), "php": re.compile(r'"(?:[^"\\{]|\\[\s\S]|\{(?!\$))*"')}
+_HOLE = {"rb": "#{", "php": "{$"}
+
+
+def _interpolated(text: str, i: int, lang: str) -> int:
+    """End of the double-quoted literal at i, which may hold code with literals of its own, or -1."""
+    m = _FLAT[lang].match(text, i)
+    if m:
+        return m.end()
+    n, hole, i = len(text), _HOLE[lang], i + 1
+    while i < n:
+        ch = text[i]
+        if ch == "\\":
+            i += 2
+        elif ch == '"':
+            return i + 1
+        elif text.startswith(hole, i):
+            depth, i = 1, i + len(hole)
+            while i < n and depth:
+                ch = text[i]
+                if ch == '"':
+                    i = _interpolated(text, i, lang)
+                    if i < 0:
+                        return -1
+                    continue
+                if ch == "'":
+                    m = re.compile(_SQM).match(text, i)
+                    if m:
+                        i = m.end()
+                        continue
+                depth += (ch == "{") - (ch == "}")
+                i += 1
+        else:
+            i += 1
+    return -1
+
+
 def tokens(text: str, lang: str, pos: int = 0, inside: bool = False) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all tokens from pos on, without blanks; inside: the text goes on from earlier code."""
     out: list[tuple[str, int, int]] = []
@@ -161,15 +198,15 @@ def tokens(text: str, lang: str, pos: int = 0, inside: bool = False) -> list[tup
                     for word, indented in heredocs:
                         e = re.compile(rf"^{'[ ' + chr(9) + ']*' if indented else ''}{word}(?=\r?$)", re.M).search(text, i)
                         if not e:
-                            add(("U", i, n))
+                            add(("V", i, n))
                             return out
                         add(("S", i, e.start()))
                         i = e.end()
                     heredocs = []
                     again = i
                     break
-            elif kind == "T":
-                e = _js_template(text, m.start())
+            elif kind in "TI":
+                e = _js_template(text, m.start()) if kind == "T" else _interpolated(text, m.start(), lang)
                 if e < 0:
                     add(("U", m.start(), n))
                     return out
@@ -209,13 +246,13 @@ def tokens(text: str, lang: str, pos: int = 0, inside: bool = False) -> list[tup
                     return out
                 again = o.end()
                 break
-            elif kind == "U":
-                add(("U", m.start(), n))
+            elif kind in "UV":
+                add((kind, m.start(), n))
                 return out
             add((kind, m.start(), m.end()))
         if again is None:
             if heredocs:
-                add(("U", n, n))
+                add(("V", n, n))
             return out
         scan = pattern.finditer(text, again)
 

@@ -131,7 +131,7 @@ def scan(path: str, source: str, disabled: frozenset[str] = frozenset()) -> tupl
         return [], [f"{path}: no multilingual sink rules for {language}"]
     lang = LEXER[language]
     toks = tokens(source, lang)
-    notes = [f"{path}: syntax errors; multilingual analysis incomplete"] if unbalanced(toks) or any(k in "UXM" for k, _, _ in toks) else []
+    notes = [f"{path}: syntax errors; multilingual analysis incomplete"] if unbalanced(toks) or any(k in "UVXM" for k, _, _ in toks) else []
     spans = functions_of(source, lang, toks)
     has = [bool(_sources[language].search(source, a, b)) for a, b in spans]
     whole = bool(_sources[language].search(source))

@@ -76,7 +76,7 @@ def strip_source(source: str, path: str, mask: bool = False) -> tuple[str, list[
         elif kind == "U" and source[a : a + 2] == "/*":
             spans.append((a, b))
     notes = []
-    broken = unbalanced(toks) or any(k in "UXM" for k, _, _ in toks)
+    broken = unbalanced(toks) or any(k in "UVXM" for k, _, _ in toks)
     if language == "python":
         try:
             with warnings.catch_warnings():
