@@ -59,20 +59,21 @@ _hash_of: dict[str, int] = {}
 
 
 def _token_hashes(text: str, lang: str | None) -> tuple[list[int], list[tuple[str, int, int]]]:
+    """Hashes of the normalized tokens, and all tokens."""
     if lang is None or lang == "json":
         toks = [("W", m.start(), m.end()) for m in _WORDS.finditer(text)]
     else:
         toks = tokens(text, lang)
-    out = []
+    if len(_hash_of) > 300_000:
+        _hash_of.clear()
+    out, known = [], _hash_of
     for kind, a, b in toks:
-        if kind in "CL":
+        if kind == "C" or kind == "L":
             continue
-        t = kind if kind in "SN" else text[a:b]
-        h = _hash_of.get(t)
+        t = kind if kind == "S" or kind == "N" else text[a:b]
+        h = known.get(t)
         if h is None:
-            if len(_hash_of) > 300_000:
-                _hash_of.clear()
-            h = _hash_of[t] = zlib.crc32(t.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFF
+            h = known[t] = zlib.crc32(t.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFF
         out.append(h)
     return out, toks
 
@@ -110,18 +111,29 @@ def content_kind(text: str, lang: str | None, toks: list[tuple[str, int, int]])
         head = [text[:400]]
     if head and lang is not None and STAMP.search(re.sub(r"\s+(?:[*#/]+\s*)?", " ", " ".join(head))):
         return "generated"
-    code = sum(b - a if k != "S" else min(b - a, 12) for k, a, b in toks if k not in "CL")
-    n_lines = 1 + sum(1 for k, a, b in toks if k == "L") if lang not in (None, "json") else 1 + text.count("\n")
+    code = words = values = n_lines = packed = 0
+    for kind, a, b in toks:
+        if kind == "L":
+            n_lines += 1
+        elif kind != "C":
+            n = b - a
+            if kind == "W":
+                words += 1
+            elif kind == "N":
+                values += 1
+            elif kind == "S":
+                values += 1
+                if n >= 200 and not re.search(r"\s", text[a + 1 : b - 1]):
+                    packed += n
+                n = min(n, 12)
+            code += n
+    n_lines = 1 + (n_lines if lang not in (None, "json") else text.count("\n"))
     if code > 400 and code / n_lines > 110 and lang != "json":
-        values = sum(1 for k, _, _ in toks if k in "NS") / max(1, sum(1 for k, _, _ in toks if k in "NSW"))
-        return "data" if values > 0.7 else "minified"
+        return "data" if values > 0.7 * max(1, words + values) else "minified"
     if lang in (None, "json"):
         return None
-    packed = sum(b - a for k, a, b in toks if k == "S" and b - a >= 200 and not re.search(r"\s", text[a + 1 : b - 1]))
     if packed > 0.6 * len(text):
         return "data"
-    words = sum(1 for k, _, _ in toks if k == "W")
-    values = sum(1 for k, _, _ in toks if k in "NS")
     if values >= 40 and values > 0.7 * (words + values):
         return "data"
     shapes: dict[str, int] = {}

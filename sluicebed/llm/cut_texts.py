@@ -101,7 +101,8 @@ def _contexts(parts: list[str], kinds: list[int]) -> tuple[np.ndarray, dict[int,
     h = np.zeros(len(codes), np.uint64)
     power = np.uint64(1)
     for n in range(1, max(ORDERS) + 1):
-        h[n - 1 :] += (codes[: len(codes) - n + 1] + np.uint64(1)) * power
+        if len(codes) >= n:
+            h[n - 1 :] += (codes[: len(codes) - n + 1] + np.uint64(1)) * power
         power = np.uint64(int(power) * 0x100000001B3 & (1 << 64) - 1)
         if n in ORDERS:
             k = (h ^ kind) + np.uint64(n * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
@@ -163,7 +164,7 @@ def _read_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(langs, pa.string()), pa.array(tags, pa.int64()),
-                pa.array([True] * len(ids)), pa.array(rows, pa.bool_()),
+                pa.array([True] * len(ids), pa.bool_()), pa.array(rows, pa.bool_()),
                 pa.array([table[x].tolist() if x is not None else None for x in last_of], pa.list_(pa.int64())), pa.array([1] * len(ids), pa.int64()),
             ],
             ["doc_id", "kind", "lang", "tag", "last", "sure", "contexts", "n"],
@@ -177,8 +178,8 @@ def _read_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = lambda kind: pa.nulls(len(keys_early), kind)
             yield pa.RecordBatch.from_arrays(
                 [
-                    none(pa.int64()), none(pa.string()), none(pa.string()), none(pa.int64()), pa.array([False] * len(keys_early)), none(pa.bool_()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(keys_early) + 1), pa.int32()), pa.array(keys_early)), pa.array(n_early, pa.int64()),
+                    none(pa.int64()), none(pa.string()), none(pa.string()), none(pa.int64()), pa.array([False] * len(keys_early), pa.bool_()), none(pa.bool_()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(keys_early) + 1), pa.int32()), pa.array(keys_early, pa.int64())), pa.array(n_early, pa.int64()),
                 ],
                 ["doc_id", "kind", "lang", "tag", "last", "sure", "contexts", "n"],
             )

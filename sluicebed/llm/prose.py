@@ -158,9 +158,15 @@ def _lexed(text: str, lang: str, inside: bool = False) -> list[tuple[str, int, i
         got = tokens(text, lang, pos, inside=started)
         if lang == "php" and not started and len(got) == 1 and got[0][0] == "H":
             return []
-        if not got or got[-1][0] != "U":
+        if not got or got[-1][0] not in "UV":
             out += got
             return out
+        if got[-1][0] == "V":  # an unclosed here-document: its lines are read as code
+            out += got[:-1]
+            if got[-1][1] >= len(text):
+                return out
+            pos, started = max(got[-1][1], text.find("\n", got[-1][1]) + 1 if lang == "php" else 0), True
+            continue
         out += got[:-1]
         a = got[-1][1]
         opened = text[a : a + 3]
@@ -297,9 +303,9 @@ def fit(labelled: list[tuple[str, str]], code: list[str], folder: str = FOLDER,
         counts[-1] = code_row
         for lang, words in _COMMON.items():
             k = LANGUAGES.index(lang)
-            if total := counts[k].sum():
-                for w in words.split():
-                    np.add.at(counts[k], subwords(w, folder), 0.001 * total)
+            weight = max(3.0, 0.003 * counts[k].sum())
+            for w in words.split():
+                np.add.at(counts[k], subwords(w, folder), weight)
         mass = counts.sum(axis=1, keepdims=True)
         # the same chance in every class for what it has not seen, or classes with few counts would win unknown words
         table = np.log(0.95 * counts / np.maximum(mass, 1) + 0.05 / width).astype(np.float32)
@@ -342,7 +348,7 @@ class Reader:
             lang, n, c = got
             if lang:
                 x = here.setdefault(lang, [0, 0, 0])
-                x[0], x[1], x[2] = x[0] + n, x[1] + c, x[2] + len(s)
+                x[0], x[1], x[2] = max(x[0], n), max(x[1], c), x[2] + len(s)  # words of the longest run of prose
         for lang, (n, c, chars) in here.items():
             if c >= LEAST_CHARS if lang in ("zh", "ja") else n >= LEAST_WORDS:
                 into[lang] = into.get(lang, 0) + chars

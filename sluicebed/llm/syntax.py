@@ -37,7 +37,7 @@ _K = {
     "c": "return case else do const static int char void unsigned signed long short float double struct union enum extern register volatile inline typedef goto sizeof auto restrict bool size_t",
     "go": "return go defer case else func var const type package import range chan struct interface map goto select default break continue fallthrough",
     "php": "return throw new case else do instanceof extends implements namespace use as function fn class interface trait enum abstract final public private protected static const echo print include include_once require require_once global var clone yield from insteadof and or xor goto default readonly array callable match",
-    "rb": "return and or not in then else do raise yield",
+    "rb": "return and or not in then else do raise yield if unless while until rescue ensure when elsif end",
 }
 _C = {
     "js": "if for while switch catch with", "java": "if for while switch catch try", "c": "if for while switch",
@@ -72,18 +72,23 @@ _DIFF = re.compile(r"\A(?:diff --git [^\n]*\n(?:[^\n]*\n){0,4}?)?--- [^\n]*\n\+\
 #: States other than code in which a chunk may begin, and where they end.
 STATES = {
     "js": {"block": r"\*/"}, "ts": {"block": r"\*/"}, "java": {"block": r"\*/", "text": r'(?<!\\)"""'}, "c": {"block": r"\*/"},
-    "go": {"block": r"\*/", "`": "`"}, "php": {"block": r"\*/", '"': r'(?:[^"\\]|\\[\s\S])*?"', "'": r"(?:[^'\\]|\\[\s\S])*?'"},
+    "go": {"block": r"\*/", "`": "`"}, "php": {"html": "", "block": r"\*/", '"': r'(?:[^"\\]|\\[\s\S])*?"', "'": r"(?:[^'\\]|\\[\s\S])*?'"},
     "rb": {'"': r'(?:[^"\\]|\\[\s\S])*?"', "'": r"(?:[^'\\]|\\[\s\S])*?'"},
 }
 
 
-def classes(text: str, lang: str, state: str = "code") -> tuple[str, str]:
+#: The state in which a file begins, where it isn't code.
+START = {"php": "html"}
+
+
+def classes(text: str, lang: str, state: str | None = None) -> tuple[str, str]:
     """The class string of a chunk that begins in this state, and the state in which it ends.
 
     A state that STATES does not name stands for an unclosed construct that only a reading from its beginning can close.
     """
     pos, head = 0, ""
-    if state != "code":
+    state = state or START.get(lang, "code")
+    if state not in ("code", "html"):
         rule = STATES[lang][state]
         m = re.compile(rule).match(text) if state in "\"'" else re.compile(rule).search(text)
         if not m:
@@ -91,7 +96,8 @@ def classes(text: str, lang: str, state: str = "code") -> tuple[str, str]:
         pos, head = m.end(), "" if state == "block" else "s"
     word, lines = _WORD[lang], lang in _LINES
     out = [head]
-    for kind, a, b in tokens(text, lang, pos, inside=state != "code"):
+    toks = tokens(text, lang, pos, inside=state != "html")
+    for kind, a, b in toks:
         if kind in "([{)]}":
             out.append(kind)
         elif kind == "W":
@@ -99,6 +105,8 @@ def classes(text: str, lang: str, state: str = "code") -> tuple[str, str]:
             out.append("v" if t[0] == "$" and lang == "php" else word.get(t, "w"))
         elif kind == "O":
             t = text[a:b]
+            if lang == "php" and t[:2] == "?>":
+                t = ";"
             out.append("b" if t in _BINARY else "=" if t in _ASSIGN else t if len(t) == 1 and t in ";,:.?@<" else "o")
         elif kind == "L":
             if lines:
@@ -111,6 +119,8 @@ def classes(text: str, lang: str, state: str = "code") -> tuple[str, str]:
             out.append("#")
         elif kind == "H":
             out.append(";")
+        elif kind == "V":
+            return "".join(out) + "E", f"?{a}"
         elif kind == "U":
             opened = text[a : a + 3]
             name = "block" if opened[:2] == "/*" else "text" if opened == '"""' else opened[:1]
@@ -119,12 +129,14 @@ def classes(text: str, lang: str, state: str = "code") -> tuple[str, str]:
             return "".join(out) + "E", f"?{a}"
         else:
             out.append("E")
+    if lang == "php" and (text.startswith("?>", toks[-1][1]) if toks and toks[-1][0] != "H" else state == "html"):
+        return "".join(out), "html"
     return "".join(out), "code"
 
 
 def state_map(chunk: str, lang: str, first: bool) -> dict[str, tuple[str, str]]:
     """Begin state -> (class string, end state); the first chunk of a file begins in code."""
-    return {s: classes(chunk, lang, s) for s in (["code"] if first else ["code", *STATES.get(lang, {})])}
+    return {s: classes(chunk, lang, s) for s in ([START.get(lang, "code")] if first else ["code", *STATES.get(lang, {})])}
 
 
 def joined(maps: list[dict], chunks: list[str], lang: str) -> tuple[str, str]:
@@ -133,7 +145,7 @@ def joined(maps: list[dict], chunks: list[str], lang: str) -> tuple[str, str]:
     Where a chunk ends in a construct without a named state (a template or here-document), it is read again together with
     the next one.
     """
-    done, state, held = [], "code", ""
+    done, state, held = [], START.get(lang, "code"), ""
     for m, text in zip(maps, chunks, strict=True):
         if held:
             got, end = classes(held + text, lang, state)
@@ -197,7 +209,7 @@ def _ruby_ends(text: str) -> bool:
                 else:
                     depth += 1
                     loop = loop or t == "for"
-                if t == "def" and re.match(r"[ \t]+[\w.?!]+(?:\([^()\n]*\))?[ \t]*=[ \t]", text[b : b + 200]):
+                if t == "def" and re.match(r"[ \t]+(?:\w+\.)?(?:\w+[?!]?|[-=<>+*/%!~^&|\[\]]+)(?:\([^()\n]*\))?[ \t]*=[ \t]", text[b : b + 200]):
                     depth -= 1
             elif t in _RB_COND and (start or prev in ("=", "(", "[", ",", "return", "<<", "||", "&&", "=>", "then", "do", "else", "||=")):
                 depth += 1
@@ -217,7 +229,7 @@ def _top_level(s: str) -> str:
 
 
 def _statements_fail(s: str, state: str, lang: str, text: str) -> bool:
-    if state != "code" or "E" in s:
+    if state not in ("code", "html") or "E" in s:
         return True
     closers, openers, crossed = brackets(s)
     if closers or openers or crossed or _never[lang].search(s):
@@ -308,13 +320,18 @@ def fails(text: str | None, lang: str) -> bool:
     return _statements_fail(s, state, lang, text)
 
 
+_NO_CUT = re.compile(r"[ \t]*/(?![/*])")  # a slash whose meaning depends on what stands before
+
+
 def chunks(text: str, size: int | None = None) -> list[str]:
-    """Stretches of about size characters that end with lines."""
+    """Stretches of about size characters that end with lines, but not with continued ones."""
     size = size or CHUNK
     out, at = [], 0
     while at < len(text):
-        end = text.find("\n", min(len(text), at + size) - 1)
-        end = len(text) if end < 0 else end + 1
+        end = text.find("\n", min(len(text), at + size) - 1) + 1
+        while end and (text[:end].endswith(("\\\n", "\\\r\n")) if end < 4 else text[end - 3 : end].endswith(("\\\n", "\\\r\n"))) or end and _NO_CUT.match(text, end):
+            end = text.find("\n", end) + 1
+        end = end or len(text)
         out.append(text[at:end])
         at = end
     return out
