@@ -124,18 +124,29 @@ def source_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def anchor_context(pulls: DataFrame, around: int = CONTEXT) -> DataFrame:
-    """(example_no, path, line, text): the lines of changed files within `around` lines of an anchor.
+def _near_lines(pulls: DataFrame, around: int) -> DataFrame:
+    """(example_no, path, lines, near): each changed file's lines and, where it has anchors, the line numbers around them.
 
-    The band join is an equi join on exploded lines: each anchor gives at most 2 * around + 1 of them.
+    Anchors are gathered by file first, so the band join is one equi join of files, and only lines that are kept are ever
+    made into rows.
     """
-    near = (
-        anchors(pulls)
-        .select("example_no", "path", F.explode(F.sequence(F.greatest(F.lit(1), F.col("anchor") - around), F.greatest(F.lit(1), F.col("anchor") + around))).alias("line"))
-        .distinct()
+    by_file = anchors(pulls).groupBy("example_no", "path").agg(F.collect_set("anchor").alias("anchors"))
+    near = F.array_distinct(F.flatten(F.transform("anchors", lambda a: F.sequence(F.greatest(F.lit(1), a - around), F.greatest(F.lit(1), a + around)))))
+    files = pulls.select("example_no", F.explode("files").alias("path", "source")).filter("source is not null and source != ''")
+    lines = F.split(F.regexp_replace("source", rf"(?:{LINE_END})\z", ""), LINE_END)
+    return files.join(by_file, ["example_no", "path"], "left").select("example_no", "path", lines.alias("lines"), near.alias("near"))
+
+
+def _rows(kept: DataFrame) -> DataFrame:
+    chosen = F.filter("near", lambda n: n <= F.size("lines"))
+    return kept.select("example_no", "path", "lines", F.explode(chosen).alias("line")).select(
+        "example_no", "path", "line", F.element_at("lines", F.col("line").cast("int")).alias("text")
     )
-    files = pulls.select("example_no", F.explode("files").alias("path", "source"))
-    return source_lines(files).join(near, ["example_no", "path", "line"])
+
+
+def anchor_context(pulls: DataFrame, around: int = CONTEXT) -> DataFrame:
+    """(example_no, path, line, text): the lines of changed files within `around` lines of an anchor."""
+    return _rows(_near_lines(pulls, around).filter("near is not null"))
 
 
 def review_lines(pulls: DataFrame, suspicious: DataFrame | None = None, around: int = CONTEXT) -> DataFrame:
@@ -144,10 +155,8 @@ def review_lines(pulls: DataFrame, suspicious: DataFrame | None = None, around:
     Lines of a file with hunks come from the hunks' context, files without any come whole; suspicious files first, then by
     path. Blank lines get no number; quotes are the stripped first 80 characters.
     """
-    files = pulls.select("example_no", F.explode("files").alias("path", "source"))
-    hunks = anchors(pulls).select("example_no", "path").distinct()
-    whole = source_lines(files.join(hunks, ["example_no", "path"], "left_anti"))
-    chosen = anchor_context(pulls, around).unionByName(whole)
+    whole = F.sequence(F.lit(1).cast("long"), F.size("lines").cast("long"))
+    chosen = _rows(_near_lines(pulls, around).withColumn("near", F.coalesce("near", whole)))
     if suspicious is not None:
         marks = suspicious.select("example_no", "path", F.lit(0).alias("rank")).distinct()
         chosen = chosen.join(marks, ["example_no", "path"], "left")

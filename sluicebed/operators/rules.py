@@ -82,22 +82,27 @@ def net_removed(lines: DataFrame) -> DataFrame:
 
 
 def first_sinks(lines: DataFrame) -> DataFrame:
-    """(example_no, path, rule, kind, line, text): the first added line of each sink rule whose text is not also removed."""
-    hits = rule_hits(lines).filter(F.col("rule").isin(*ADDED) & (F.col("op") == "+"))
-    gone = lines.filter("op = '-'").select("example_no", "path", "text").distinct()
-    kept = hits.join(gone, ["example_no", "path", "text"], "left_anti")
+    """(example_no, path, rule, kind, line, text): the first added line of each sink rule whose text is not also removed.
+
+    A removed line of the same text is a hit of the same rule, so the anti join is an aggregation by text.
+    """
+    hits = rule_hits(lines).filter(F.col("rule").isin(*ADDED))
+    texts = hits.groupBy("example_no", "path", "rule", "kind", "text").agg(
+        F.min(F.when(F.col("op") == "+", F.struct("pos", "line"))).alias("f"), F.max(F.col("op") == "-").alias("gone")
+    )
     return (
-        kept.groupBy("example_no", "path", "rule", "kind")
-        .agg(F.min(F.struct("pos", "line", "text")).alias("f"))
+        texts.filter("not gone and f is not null")
+        .groupBy("example_no", "path", "rule", "kind")
+        .agg(F.min(F.struct("f.pos", "f.line", "text")).alias("f"))
         .select("example_no", "path", "rule", "kind", "f.line", "f.text")
     )
 
 
 def csrf_deleted(lines: DataFrame) -> DataFrame:
-    """(example_no, path, line, text): removed CSRF guards of files whose added lines hold none."""
+    """(example_no, path, line, text, pos): removed CSRF guards of files whose added lines hold none."""
     hit = lines.filter(F.col("text").rlike(FLAGS + CSRF))
-    added = hit.filter("op = '+'").select("example_no", "path").distinct()
-    return hit.filter("op = '-'").join(added, ["example_no", "path"], "left_anti").select("example_no", "path", "line", "text", "pos")
+    added = F.max(F.col("op") == "+").over(W.Window.partitionBy("example_no", "path"))
+    return hit.withColumn("added", added).filter("op = '-' and not added").select("example_no", "path", "line", "text", "pos")
 
 
 def _conjuncts(c: Column) -> Column:
@@ -108,25 +113,28 @@ def bounds_weakened(lines: DataFrame) -> DataFrame:
     """(example_no, path, line, text): the first removed bound check of a file that a weaker one replaces.
 
     A removed "if (" with an upper bound or several conditions; an added "if (" that is shorter or has fewer conditions;
-    and no added "if (" that keeps one of the removed one's bound tokens. Added conditions of a file are gathered first,
-    so each removed line meets one array and no pairs are made.
+    and no added "if (" that keeps one of the removed one's bound tokens. One aggregation gathers both sides of a file's
+    conditions, a bounded part of one diff, so no pairs of lines are joined.
     """
-    ifs = lines.filter(F.col("text").rlike(HAS_IF))
-    added = ifs.filter("op = '+'").groupBy("example_no", "path").agg(
-        F.min(F.length("text")).alias("shortest"), F.min(_conjuncts(F.col("text"))).alias("fewest"), F.collect_set("text").alias("texts")
+    ifs = lines.filter(F.col("text").rlike(HAS_IF)).withColumn(
+        "bound", F.col("text").rlike(FLAGS + UPPER) | (_conjuncts(F.col("text")) > 0)
     )
-    removed = ifs.filter("op = '-'").filter(F.col("text").rlike(FLAGS + UPPER) | (_conjuncts(F.col("text")) > 0))
-    tokens = F.regexp_extract_all("text", F.lit(BOUND_TOKENS), 1)
-    both = removed.join(added, ["example_no", "path"])
-    kept = F.exists(tokens, lambda t: F.exists(F.col("texts"), lambda x: F.contains(x, t)))
-    weaker = (F.col("shortest") < F.length("text")) | (F.col("fewest") < _conjuncts(F.col("text")))
-    return (
-        both.filter(weaker & ~kept)
-        .groupBy("example_no", "path")
-        .agg(F.min(F.struct("pos", "line", "text")).alias("f"))
-        .select("example_no", "path", "f.line", "f.text")
+    added, removed = F.col("op") == "+", (F.col("op") == "-") & F.col("bound")
+    files = ifs.groupBy("example_no", "path").agg(
+        F.min(F.when(added, F.length("text"))).alias("shortest"),
+        F.min(F.when(added, _conjuncts(F.col("text")))).alias("fewest"),
+        F.collect_set(F.when(added, F.col("text"))).alias("texts"),
+        F.array_sort(F.collect_list(F.when(removed, F.struct("pos", "line", "text")))).alias("removed"),
     )
 
+    def weaker(r: Column) -> Column:
+        tokens = F.regexp_extract_all(r["text"], F.lit(BOUND_TOKENS), 1)
+        kept = F.exists(tokens, lambda t: F.exists(F.col("texts"), lambda x: F.contains(x, t)))
+        return ((F.col("shortest") < F.length(r["text"])) | (F.col("fewest") < _conjuncts(r["text"]))) & ~kept
+
+    first = files.filter("shortest is not null and size(removed) > 0").withColumn("f", F.try_element_at(F.filter("removed", weaker), F.lit(1)))
+    return first.filter("f is not null").select("example_no", "path", "f.line", "f.text")
+
 
 def relevant(lines: DataFrame) -> DataFrame:
     """The lines that any rule reads. A removed line equal to an added hit is a hit itself, so none is missed."""
