@@ -27,6 +27,7 @@ from sluicebed.plans.shared import written
 
 GRAM, WINDOW = 6, 6
 IN_LIBRARY, OF_LIBRARY = 0.5, 0.55  # shares of the file and of the library that a copy holds
+SALTS = 16
 #: Fingerprints for recurrence span several statements, so that none recurs by chance however large the corpus is.
 FAR_GRAM, FAR_WINDOW = 32, 16
 OWNERS, RECUR, LEAST = 8, 0.8, 6  # owners that share a fingerprint, share of such fingerprints, fingerprints of a file
@@ -256,9 +257,11 @@ def recurring(files: DataFrame, owners: int = OWNERS, share: float = RECUR) -> D
         .select("print")
     )
     texts = printed.groupBy("mark").agg(F.first("prints").alias("prints"))
+    # a fingerprint may stand in a third of all texts: its rows are spread by a salt
+    salted = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        texts.select("mark", F.size("prints").alias("size"), F.explode("prints").alias("print"))
-        .join(spread, "print")
+        texts.select("mark", F.pmod("mark", F.lit(SALTS)).cast("int").alias("salt"), F.size("prints").alias("size"), F.explode("prints").alias("print"))
+        .join(salted, ["print", "salt"])
         .groupBy("mark", "size")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= F.col("size") * share)

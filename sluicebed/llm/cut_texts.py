@@ -36,6 +36,7 @@ ORDERS = (1, 2, 4, 6, 8, 10)
 SUPPORT = 20
 THRESHOLD = -2.8
 BITS = 1 << 24
+KINDS = 64  # kinds of text are told apart by a hash with so many values, so the tables of thresholds stay small
 SALTS = 16
 REMARK_CHARS, REMARK_WORDS = 24, 4
 STRETCH = 400_000
@@ -229,7 +230,7 @@ def scores(documents: DataFrame) -> DataFrame:
     """(doc_id, kind, lang, sure, score): log-odds of each text's end; sure: a mark, broken character or open fence."""
     texts = documents.filter(F.length(F.trim("text")) > 0).select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        plain_name(F.col("doc_kind")).alias("kind"),
+        F.pmod(F.xxhash64(plain_name(F.col("doc_kind"))), F.lit(KINDS)).cast("string").alias("kind"),
         language_of_label(F.col("lang")).alias("lang"),
         F.xxhash64("text").alias("tag"),
         "text",

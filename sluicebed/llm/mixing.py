@@ -39,7 +39,7 @@ def _targets(targets: DataFrame) -> list[tuple[str, str, int, int]]:
 def labelled(documents: DataFrame, folder: str = FOLDER) -> DataFrame:
     """(doc_id, name, ids): canonical source (null where missing) and token ids of each document."""
     ids = encoded(documents, folder)
-    names = documents.select("doc_id", plain_name(F.col("source")).alias("name"))
+    names = documents.select("doc_id", plain_name(F.col("source")).alias("name")).groupBy("doc_id").agg(F.min("name").alias("name"))
     return ids.join(names, "doc_id")
 
 
@@ -113,7 +113,8 @@ def fit_rates(docs: DataFrame, goal: list[tuple[str, str, int, int]], steps: int
     least = F.array_min(caps)
     cap = F.when(least == float("inf"), 0.0).otherwise(least)
     cells = written(docs.groupBy("post").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
-    own = docs.groupBy("name").agg(F.sum("tokens").alias("tokens")).collect()
+    mine = F.when(F.col("name").isin([g[1] for g in goal]), F.col("name"))
+    own = docs.groupBy(mine.alias("name")).agg(F.sum("tokens").alias("tokens")).collect()  # one row per target, one for the rest
     own_tokens = {r[0]: r[1] or 0 for r in own}
     total = sum(own_tokens.values())
     wanted = [total * g[2] / 100 for g in goal]

@@ -6,7 +6,7 @@ broken into subwords of a public tokenizer and scored under unigram counts of ei
 the largest posterior wins, and only sentences of a language count as prose.
 
 The counts are fitted on a bounded sample: at most DOCS documents of each language (by label, the smallest hashes of
-doc_id) and CODE sources; two rounds of re-estimation over their sentences repair wrong labels. Everything else reads all
+doc_id) and CODE rows of source files; two rounds of re-estimation over their sentences repair wrong labels. Everything else reads all
 rows and whole texts.
 
 Cases: null maps, sources and diffs give no row; unparsable sources are read on after the broken place; a null path gives no
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from sluicebed.functions.lexing import SUFFIXES, tokens
 from sluicebed.llm.syntax import sources
+from sluicebed.plans.shared import few_files
 
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k"
@@ -495,10 +496,10 @@ def sample_texts(documents: DataFrame, per_language: int = DOCS) -> list[tuple[s
 
 
 def sample_code(pulls: DataFrame, n: int = CODE) -> list[str]:
-    """The code of at most n sources (by the smallest hashes of example_no) without comments and literals."""
-    rows = pulls.select(F.xxhash64("example_no").alias("h"), "example_no").orderBy("h").limit(n)
+    """The code of at most n rows without comments and literals: those with the smallest hashes in at most four files."""
+    rows = few_files(pulls, ["example_no", "files"]).orderBy(F.xxhash64("example_no")).limit(n)
     out = []
-    for r in pulls.join(F.broadcast(rows.select("example_no")), "example_no").select("files").collect():
+    for r in rows.select("files").collect():
         for path, text in (r[0] or {}).items():
             lang = SUFFIXES.get((path or "")[(path or "").rfind(".") :])
             if lang and lang != "json" and text and len(text) < 20_000:
