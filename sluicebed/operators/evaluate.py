@@ -8,8 +8,9 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebed.operators import findings, review
-from sluicebed.operators.prs import pending, review_text
+from sluicebed.operators import agents, findings, review
+from sluicebed.operators.prs import balanced_sample, pending, review_text
+from sluicebed.plans.shared import written
 from sluicebed.sources.sinks import append_results, check_output, guard_run
 
 MODES = ("baseline", "multi_agent", "hybrid", "analysis_only")
@@ -61,18 +62,28 @@ def analysis_only(pulls: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame
 
 
 def run(pulls: DataFrame, done: DataFrame | None, settings: Settings, model: Callable[[str, str], str] = review.fake_model) -> DataFrame:
-    """Result rows of the work in `done` missing, for the modes baseline and analysis_only; appended to settings.output.
+    """Result rows of the work that `done` lacks, for all modes; appended to settings.output.
 
     Work is skipped by an anti join before anything is reviewed, so a run that was stopped goes on where it ended.
     """
     guard_run(pulls, {**asdict(settings), "run": settings.output.replace("/", "_")})
     first = pulls.groupBy("id", "malicious").agg(F.min("example_no").alias("example_no")).select("example_no")
     rows = pulls.join(first, "example_no")
+    if settings.limit is not None:
+        rows = rows.join(balanced_sample(rows, settings.limit, settings.seed).select("example_no"), "example_no", "left_semi")
     out = None
     for mode in settings.modes:
         todo = rows if done is None else rows.join(pending(rows, done, (mode,)).select("id", "malicious"), ["id", "malicious"], "left_semi")
-        answers = baseline(todo, settings.budget, model) if mode == "baseline" else analysis_only(todo, settings.disabled)
+        if mode in ("multi_agent", "hybrid"):
+            steps = agents.bundle(todo, settings.budget, model, settings.disabled)
+            if mode == "hybrid":
+                answers = agents.hybrid(todo, steps, agents.analysis(todo, settings.disabled), settings.budget, model, settings.disabled)
+            else:
+                answers = agents.multi_agent(todo, steps[2], settings.disabled).withColumnRenamed("verdict", "response")
+        else:
+            answers = baseline(todo, settings.budget, model) if mode == "baseline" else analysis_only(todo, settings.disabled)
         part = review.scored(todo, answers).withColumn("mode", F.lit(mode))
         out = part if out is None else out.unionByName(part)
+    out = written(out)
     append_results(out, settings.output)
     return out

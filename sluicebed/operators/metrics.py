@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sluicebed.functions.names import cwe_codes
+from sluicebed.operators.prs import cwe_bucket
 
 DIMENSIONS = ("variant", "framing", "cwe_id", "source")
 # Names and order of the weaknesses in reports.
@@ -138,3 +139,9 @@ def modes_aligned(results: DataFrame) -> DataFrame:
 def label_conflicts(results: DataFrame) -> DataFrame:
     """(id, malicious, n_labels): keys whose rows disagree about the framing."""
     return results.groupBy("id", "malicious").agg(F.count_distinct("framing").alias("n_labels")).filter("n_labels > 1")
+
+
+def bucket_notes(pulls: DataFrame, folder: Column) -> DataFrame:
+    """(example_no, folder, bucket): rows whose label falls into another bucket than their folder."""
+    bucket = cwe_bucket(F.col("cwe_id"))
+    return pulls.select("example_no", folder.alias("folder"), bucket.alias("bucket")).filter("bucket != folder")

@@ -66,9 +66,18 @@ def combined(reviews: DataFrame) -> DataFrame:
 
 def grounded(reviews: DataFrame, visible: DataFrame) -> DataFrame:
     """reviews(pr_id, chunk_no, auditor_verdict, reason, line_id) with the cited line of visible(pr_id, line_id, path, line,
-    quote); an id that isn't visible grounds nothing."""
-    lines = visible.select("pr_id", "line_id", "path", "line", "quote")
-    return reviews.join(lines, ["pr_id", "line_id"], "left").withColumn("grounded", F.col("quote").isNotNull() & (F.col("auditor_verdict") != "UNKNOWN"))
+    quote), or of the same chunk where visible has chunk_no; an id that isn't visible grounds nothing."""
+    keys = [k for k in ("pr_id", "chunk_no", "line_id") if k in visible.columns]
+    lines = visible.select(*keys, "path", "line", "quote")
+    return reviews.join(lines, keys, "left").withColumn("grounded", F.col("quote").isNotNull() & (F.col("auditor_verdict") != "UNKNOWN"))
+
+
+def visible_in_chunks(chunked: DataFrame, lines: DataFrame) -> DataFrame:
+    """(pr_id, chunk_no, line_id, path, line, quote): lines(pr_id, line_id, path, line, quote) that chunks(pr_id, chunk_no,
+    chunk) show: a row begins with the id and holds the quote."""
+    rows = chunked.select("pr_id", "chunk_no", F.explode(F.split("chunk", "\n")).alias("row"))
+    named = rows.withColumn("line_id", F.regexp_extract("row", r"^(L[0-9]+) ", 1)).filter("line_id != ''")
+    return named.join(lines, ["pr_id", "line_id"]).filter(F.contains("row", "quote")).drop("row").distinct()
 
 
 def aggregated(reviews: DataFrame, advisories: DataFrame | None = None, need_grounds: bool = True) -> DataFrame:

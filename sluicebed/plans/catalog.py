@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluicebed.functions.names import cwe_codes
 from sluicebed.functions.schemas import RAW_PULL
-from sluicebed.operators import difflines, evaluate, findings, metrics, multilang, prs, pysem, review, rules, stripping
+from sluicebed.operators import agents, difflines, evaluate, findings, metrics, multilang, prs, pysem, review, rules, stripping
 from sluicebed.plans.oracle import SQL
 from sluicebed.plans.shared import shared_dir
 from sluicebed.sources import sinks
@@ -411,6 +411,25 @@ def baseline_reviews(spark, d):
     return review.scored(pulls(spark, d), answers).select("example_no", "verdict", "correct")
 
 
+@query
+def multi_agent_reviews(spark, d):
+    rows = pulls(spark, d)
+    return agents.multi_agent(rows, agents.bundle(rows, 4096, review.fake_model)[2])
+
+
+@query
+def hybrid_reviews(spark, d):
+    rows = pulls(spark, d)
+    steps = agents.bundle(rows, 4096, review.fake_model)
+    answers = agents.hybrid(rows, steps, agents.analysis(rows), 4096, review.fake_model)
+    return review.scored(rows, answers).select("example_no", "verdict", "correct")
+
+
+@query
+def bucket_notes(spark, d):
+    return metrics.bucket_notes(pulls(spark, d), prs.cwe_bucket(F.split_part("id", F.lit(":"), F.lit(1))))
+
+
 # sources, sinks, streams
 
 

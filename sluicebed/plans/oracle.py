@@ -157,6 +157,7 @@ SQL = {
     "duplicate_keys": "SELECT id, malicious, mode, count(*) AS n FROM eval_result GROUP BY ALL HAVING count(*) > 1",
     "label_histogram": "SELECT malicious, count(*) AS n FROM pull_example GROUP BY malicious",
     "bucket_counts": f"SELECT {_bucket} AS bucket, count(*) AS n FROM pull_example GROUP BY ALL",
+    "bucket_notes": f"""WITH b AS (SELECT example_no, {_bucket.replace('cwe_id', "split_part(id, ':', 1)")} AS folder, {_bucket} AS bucket FROM pull_example) SELECT * FROM b WHERE bucket <> folder""",
     "result_scores": f"""WITH v AS (SELECT result_no, malicious, verdict, {_v} AS parsed FROM (SELECT * REPLACE (coalesce(response, '') AS response) FROM eval_result))
       SELECT result_no, parsed, CASE WHEN malicious THEN parsed IN ('COMMENT', 'BLOCK') ELSE parsed = 'APPROVE' END AS parsed_correct, parsed <> verdict AS differs FROM v""",
     "pull_projection": f"""SELECT coalesce(nullif(id, ''), 'cwe0:' || coalesce(nullif(repo, ''), 'unknown') || ':pr' || coalesce(CAST(nullif(pr_number, 0) AS VARCHAR), 'None') || ':' || coalesce(nullif(vuln_id, ''), 'unknown')) AS id,

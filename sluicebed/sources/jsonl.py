@@ -100,6 +100,52 @@ def repaired_results(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def load_benchmark(
+    spark: SparkSession,
+    enriched_root: str | None = None,
+    metadata_root: str | None = None,
+    path: str | None = None,
+    cwes: list[str] | None = None,
+    include_benign: bool = True,
+    hard_only: bool = False,
+    need_code: bool = False,
+) -> DataFrame:
+    """Canonical, complete records from an explicit file, else the enriched folders, else the metadata splits.
+
+    With need_code the enriched folders must give rows; an explicit file takes no further filters.
+    """
+    from sluicebed.operators import prs
+
+    if path is not None:
+        raw = read_jsonl(spark, path, RAW_PULL).withColumn("cwe_dir", F.lit(None).cast("string"))
+        return prs.require_unique(prs.canonical(raw.filter("_corrupt_record is null")))
+
+    def chosen(raw: DataFrame) -> DataFrame:
+        out = prs.canonical(raw)
+        out = prs.hard_split(out) if hard_only else out
+        return prs.with_code(out) if need_code else out
+
+    if enriched_root and _exists(spark, os.path.join(enriched_root, "cwe*")):
+        rows = chosen(read_enriched(spark, enriched_root, cwes, include_benign))
+        if not rows.isEmpty():
+            return prs.require_complete(rows)
+    if need_code or not metadata_root:
+        raise FileNotFoundError(f"no enriched records under {enriched_root}")
+    return prs.require_complete(chosen(read_metadata(spark, metadata_root, tuple(cwes or SUPPORTED_CWES), include_benign)))
+
+
+def load_results(spark: SparkSession, path: str, allow_partial: bool = False) -> DataFrame:
+    """Scored results without repeated keys; unless partial ones are allowed, every mode has scored the same records."""
+    from sluicebed.operators.metrics import modes_aligned
+
+    rows = repaired_results(spark, path)
+    if not allow_partial:
+        odd = modes_aligned(rows).limit(1).collect()
+        if odd:
+            raise ValueError(f"not every mode has scored {odd[0][0]}")
+    return rows
+
+
 def read_analysis(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, ANALYSIS)
 
