@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -155,7 +154,11 @@ def pack_lines(text: str, budget: int, count: Callable[[str], int] = len) -> lis
 
 def chunks(texts: DataFrame, key: str, column: str, budget: int) -> DataFrame:
     """(key, chunk_no, chunk) of texts(key, column), packed by lines within budget characters."""
-    pack = F.udf(partial(pack_lines, budget=budget), "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return pd.Series([pack_lines(t, budget) for t in texts])
+
     return texts.filter(F.col(column).isNotNull()).select(key, F.posexplode(pack(F.col(column))).alias("chunk_no", "chunk"))
 
 

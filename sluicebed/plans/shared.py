@@ -3,12 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, wherever they run; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="sluicebed-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"{folder}/{root.name}.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(name)
+    _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sluicebed-")
-        atexit.register(__import__("shutil").rmtree, _own[app][7:], ignore_errors=True)
+        atexit.register(shutil.rmtree, _own[app][7:], ignore_errors=True)
     return _own[app]
 
 
