@@ -47,20 +47,20 @@ _MARK = re.compile(
     r"|gekürzt|abgeschnitten|tronqué|truncado|cortado|recortado|обрезано|сокращено|省略|截断|已截断|以下略)[^\])>}]{0,40}[\])>}]))+\s*\Z",
     re.I,
 )
-_BROKEN = re.compile(r"(?:�+|&(?:#x?[0-9a-fA-F]*|[A-Za-z]{0,7}))\s*\Z")
+_BROKEN = re.compile(r"(?:�+|(?<!\S)&(?:#x?[0-9a-fA-F]*|[A-Za-z]{0,7})|&(?:#x?[0-9a-fA-F]*|[A-Za-z]{2,7})|</?[A-Za-z][^<>\n]{0,200}|\\u[0-9a-fA-F]{0,3})\s*\Z")
 _BREAK = re.compile(r"\r\n|\r|\n")
 _LEAD = re.compile(r"^[\s​﻿>]*")
 _ITEM = re.compile(r"(?:[-*+•]|\d+[.)])\s+")
 _LABEL = re.compile(r"([A-Z][\w-]{0,18}|cc|fixes|closes)(?=[: ]\s*[#@:]|: )")
-_HEX = re.compile(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{7,}\b|\b(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{2,}\b")
+_HEX = re.compile(r"\b(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{2,}\b")
 _DIGITS = re.compile(r"\d+")
 
 
 def form(line: str) -> str:
-    """The form of a line, told from its beginning."""
+    """The form of a line. Text of several words after a label or a last cell is prose."""
     s = line[_LEAD.match(line).end() :]
     if s.startswith("|"):
-        return "table"
+        return "table" if len(s[s.rfind("|") + 1 :].split()) < 2 else "prose"
     m = _ITEM.match(s)
     if m:
         first = s[m.end() : m.end() + 1]
@@ -68,7 +68,7 @@ def form(line: str) -> str:
     if s.startswith("#"):
         return "heading"
     m = _LABEL.match(s)
-    return f"label {m[1]}" if m else "prose"
+    return f"label {m[1]}" if m and len(s[m.end() :].split(None, 4)) < 4 else "prose"
 
 
 def lines_of(text: str) -> tuple[list[str], bool, bool]:
@@ -156,7 +156,7 @@ def _read_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got, last, unclosed = lines_of(text)
             sure = unclosed or bool(_MARK.search(text)) or bool(_BROKEN.search(text))
             lines += got
-            remark = len(got) == 1 and last and len(got[0]) <= REMARK_CHARS and len(got[0].split()) < REMARK_WORDS
+            remark = len(got) == 1 and last and len(text.strip()) <= REMARK_CHARS and len(got[0].split()) < REMARK_WORDS
             last_of.append(len(lines) - 1 if last and not sure and not remark else None)
             rows.append(sure)
         if lines:

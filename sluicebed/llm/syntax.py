@@ -394,7 +394,11 @@ def invalid_files(pulls: DataFrame, chunk: int = CHUNK) -> DataFrame:
     all_files = sources(pulls)
     by_grammar = F.col("lang").isin("py", "json")
     short = all_files.filter(by_grammar | (F.length("source") <= chunk)).mapInArrow(_check, _OUT)
-    cut = F.udf(lambda t: chunks(t, chunk), "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([chunks(t, chunk) for t in texts])
+
     long = (
         all_files.filter(~by_grammar & (F.length("source") > chunk))
         .select("example_no", "field", "path", "lang", F.posexplode(cut("source")).alias("chunk_no", "chunk"))
