@@ -193,6 +193,9 @@ def _reader(libs):
                 key = (lang, hash(text), len(text))
                 got = known.get(key)
                 if got is None:
+                    if len(known) > 50_000:
+                        known.clear()
+                        told.clear()
                     hashes, toks = _token_hashes(text, lang)
                     kind = content_kind(text, lang, toks)
                     if kind is None and _is_copy(winnow(hashes), owner_of, sizes):

@@ -531,6 +531,8 @@ def _files(model, folder):
                 key = (lang, hash(text), len(text))
                 got = known.get(key)
                 if got is None:
+                    if len(known) > 100_000:
+                        known.clear()
                     got = known[key] = reader.source(text, lang)
                 rows += [(no, "files", path, k, n, n / len(text)) for k, n in got.items()]
             yield _batch(rows)
@@ -547,6 +549,8 @@ def _diffs(model, folder):
                 key = (hash(text), len(text))
                 got = known.get(key)
                 if got is None:
+                    if len(known) > 50_000:
+                        known.clear()
                     got = known[key] = reader.diff(text)
                 rows += [(no, "diff", p, k, n, n / max(1, size)) for p, langs, size in got for k, n in langs.items()]
             yield _batch(rows)

@@ -367,6 +367,8 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = (lang, hash(text), len(text))
             bad = known.get(key)
             if bad is None:
+                if len(known) > 200_000:
+                    known.clear()
                 bad = known[key] = fails(text, lang)
             if bad:
                 keep.append(i)
