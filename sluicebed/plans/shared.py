@@ -43,12 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sluicebed-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote; DataFrames made from them can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df once into the shared folder and read it back: a later loss of an executor recomputes nothing before it.
 
-    Columns keep their names and types, rows their multiplicity; the table stays until the folder is cleared.
+    Columns keep their names and types, rows their multiplicity; the table stays until clear() or the folder's own cleaning.
     """
-    path = f"{shared_dir(df.sparkSession)}/sluicebed-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
