@@ -13,6 +13,9 @@ def spark():
     s = local_session(4, "tests", "6g")
     s.conf.set("spark.sql.shuffle.partitions", "4")
     yield s
+    from sluicebed.plans.shared import clear
+
+    clear(s)
     s.stop()
 
 
