@@ -32,6 +32,8 @@ ANALYSIS = T.StructType(
     [_f("id", _s), _f("cwe", _s), _f("malicious", _b), _f("changed_ext", T.ArrayType(_s)), _f("advisory", _b), _f("findings", T.ArrayType(FINDING)), _f("warnings", T.ArrayType(_s))]
 )
 
+#: The source that the tables give to records that name none (fixed value).
+DEFAULT_SOURCE = "sevra"
 #: Severity of verdicts, the worst last (fixed values).
 VERDICTS = ("APPROVE", "COMMENT", "UNKNOWN", "BLOCK")
 #: Finding kinds that make a report advisory (fixed values).

@@ -66,7 +66,7 @@ def run(pulls: DataFrame, done: DataFrame | None, settings: Settings, model: Cal
 
     Work is skipped by an anti join before anything is reviewed, so a run that was stopped goes on where it ended.
     """
-    guard_run(pulls, {**asdict(settings), "run": settings.output.replace("/", "_")})
+    guard_run(pulls, asdict(settings))
     first = pulls.groupBy("id", "malicious").agg(F.min("example_no").alias("example_no")).select("example_no")
     rows = pulls.join(first, "example_no")
     if settings.limit is not None:

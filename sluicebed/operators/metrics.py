@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sluicebed.functions.names import cwe_codes
+from sluicebed.functions.schemas import DEFAULT_SOURCE
 from sluicebed.operators.prs import cwe_bucket
 
 DIMENSIONS = ("variant", "framing", "cwe_id", "source")
@@ -41,7 +42,7 @@ def first_results(results: DataFrame) -> DataFrame:
     rest = [c for c in results.columns if c not in keys]
     first = results.groupBy(*keys).agg(F.min(F.struct("result_no", *[c for c in rest if c != "result_no"])).alias("r"))
     flat = first.select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
-    return flat.withColumns({"source": F.coalesce("source", F.lit("sevra")), "variant": F.coalesce("variant", F.lit("original"))})
+    return flat.withColumns({"source": F.coalesce("source", F.lit(DEFAULT_SOURCE)), "variant": F.coalesce("variant", F.lit("original"))})
 
 
 def overall(results: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def verdict_histograms(results: DataFrame) -> DataFrame:
 
 def attack_types(results: DataFrame) -> DataFrame:
     """(attack_type, <mode>_malicious_n, <mode>_approved, <mode>_asr): original malicious rows by framing, both modes."""
-    chosen = results.filter("malicious and source = 'sevra' and variant = 'original' and framing is not null and framing != '' and mode in ('baseline', 'hybrid')")
+    chosen = results.filter(F.col("source") == DEFAULT_SOURCE).filter("malicious and variant = 'original' and framing is not null and framing != '' and mode in ('baseline', 'hybrid')")
     cols = []
     for m in ("baseline", "hybrid"):
         n, ok = F.count_if(F.col("mode") == m), F.count_if((F.col("mode") == m) & (F.col("verdict") == "APPROVE"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sluicebed.functions.names import repo_name
-from sluicebed.functions.schemas import LANGUAGES, PULL_COLUMNS
+from sluicebed.functions.schemas import DEFAULT_SOURCE, LANGUAGES, PULL_COLUMNS
 
 
 def blank_to(c: str | Column, default: str | None) -> Column:
@@ -74,7 +74,7 @@ def canonical(raw: DataFrame) -> DataFrame:
         blank_to("vuln_id", "unknown").alias("vuln_id"),
         F.coalesce("failed_by", F.array().cast("array<string>")).alias("failed_by"),
         F.coalesce("enriched", F.lit(False)).alias("flag"),
-        F.coalesce("source", F.lit("sevra")).alias("source"),
+        F.coalesce("source", F.lit(DEFAULT_SOURCE)).alias("source"),
         F.coalesce("variant", F.lit("original")).alias("variant"),
         F.nullif("parent_id", F.lit("")).alias("parent_id"),
         F.nullif("head_commit", F.lit("")).alias("head_commit"),

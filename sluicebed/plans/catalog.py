@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from sluicebed.functions.names import cwe_codes
 from sluicebed.functions.schemas import RAW_PULL
 from sluicebed.operators import agents, difflines, evaluate, findings, metrics, multilang, prs, pysem, review, rules, stripping
 from sluicebed.plans.oracle import SQL
-from sluicebed.plans.shared import shared_dir
+from sluicebed.plans.shared import place
 from sluicebed.sources import sinks
 from sluicebed.sources.jsonl import read_jsonl
 from sluicebed.sources.tables import table
@@ -435,7 +433,7 @@ def bucket_notes(spark, d):
 
 @query
 def jsonl_round_trip(spark, d):
-    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = place(spark, "jsonl")
     kept = pulls(spark, d).drop("example_no", "loaded_at")
     sinks.write_once(kept, path)
     back = read_jsonl(spark, path, RAW_PULL)
@@ -446,7 +444,7 @@ def jsonl_round_trip(spark, d):
 
 @query
 def csv_report(spark, d):
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = place(spark, "csv")
     sinks.write_csv(metrics.attack_types(results(spark, d)), path)
     back = spark.read.schema("attack_type string, baseline_malicious_n long, baseline_approved long, baseline_asr double, hybrid_malicious_n long, hybrid_approved long, hybrid_asr double").option("header", True).csv(path)
     return back.select("attack_type", "baseline_malicious_n", "hybrid_malicious_n", "hybrid_asr")

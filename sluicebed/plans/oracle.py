@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sluicebed.functions.names import PLACEHOLDERS
-from sluicebed.functions.schemas import ADVISORY_KINDS, LANGUAGES
+from sluicebed.functions.schemas import ADVISORY_KINDS, DEFAULT_SOURCE, LANGUAGES
 from sluicebed.operators import rules
 
 
@@ -44,8 +44,8 @@ def repo(c: str) -> str:
     return f"regexp_replace({s}, '[-_]', '', 'g')"
 
 
-RESULTS = """results AS (
-  SELECT id, malicious, mode, verdict, correct, cwe_id, framing, coalesce(variant, 'original') AS variant, parent_id, coalesce(source, 'sevra') AS source, response
+RESULTS = f"""results AS (
+  SELECT id, malicious, mode, verdict, correct, cwe_id, framing, coalesce(variant, 'original') AS variant, parent_id, coalesce(source, '{DEFAULT_SOURCE}') AS source, response
   FROM eval_result QUALIFY row_number() OVER (PARTITION BY id, malicious, mode ORDER BY result_no) = 1)"""
 SUMMARY = """count(*) AS n, count(*) FILTER (WHERE bad) AS malicious_n, count(*) FILTER (WHERE NOT bad) AS benign_n,
   count(*) FILTER (WHERE bad AND verdict = 'APPROVE')::DOUBLE / nullif(count(*) FILTER (WHERE bad), 0) AS attack_success_rate,
@@ -142,7 +142,7 @@ SQL = {
     "attack_type_pivot": f"""WITH {RESULTS}, t AS (SELECT framing AS attack_type, {', '.join(
         f"count(*) FILTER (WHERE mode = '{m}') AS {m}_malicious_n, count(*) FILTER (WHERE mode = '{m}' AND verdict = 'APPROVE') AS {m}_approved, count(*) FILTER (WHERE mode = '{m}' AND verdict = 'APPROVE')::DOUBLE / nullif(count(*) FILTER (WHERE mode = '{m}'), 0) AS {m}_asr"
         for m in ('baseline', 'hybrid'))} FROM results
-      WHERE malicious AND source = 'sevra' AND variant = 'original' AND framing IS NOT NULL AND framing <> '' AND mode IN ('baseline', 'hybrid') GROUP BY framing)
+      WHERE malicious AND source = '{DEFAULT_SOURCE}' AND variant = 'original' AND framing IS NOT NULL AND framing <> '' AND mode IN ('baseline', 'hybrid') GROUP BY framing)
       SELECT *, row_number() OVER (ORDER BY coalesce(hybrid_asr, 0), attack_type) AS rank FROM t""",
     "detection_rates": f"""WITH r AS (SELECT coalesce({codes('cwe')}, 'None') AS code, coalesce(malicious, false) AS bad, coalesce(advisory, false) AS hit FROM analysis_row),
       g AS (SELECT CASE WHEN grouping(code) = 1 THEN 'OVERALL' ELSE code END AS cwe, count(*) FILTER (WHERE bad) AS malicious_n, count(*) FILTER (WHERE bad AND hit) AS malicious_hit,
@@ -163,7 +163,7 @@ SQL = {
     "pull_projection": f"""SELECT coalesce(nullif(id, ''), 'cwe0:' || coalesce(nullif(repo, ''), 'unknown') || ':pr' || coalesce(CAST(nullif(pr_number, 0) AS VARCHAR), 'None') || ':' || coalesce(nullif(vuln_id, ''), 'unknown')) AS id,
       malicious, CASE WHEN malicious THEN nullif(attack, '') END AS attack, coalesce({_label}, 'cwe0') AS cwe_id, nullif(framing, '') AS framing, coalesce(pr_title, '') AS pr_title, coalesce(nullif(repo, ''), 'unknown') AS repo,
       nullif(pr_number, 0) AS pr_number, coalesce(nullif(vuln_id, ''), 'unknown') AS vuln_id, coalesce(enriched, false) OR coalesce(cardinality(files), 0) > 0 OR coalesce(diff, '') <> '' AS enriched,
-      coalesce(source, 'sevra') AS source, coalesce(variant, 'original') AS variant, nullif(parent_id, '') AS parent_id, CAST(coalesce(cardinality(files), 0) AS INT) AS n_files, CAST(coalesce(len(files_changed), 0) AS INT) AS n_changed FROM pull_example""",
+      coalesce(source, '{DEFAULT_SOURCE}') AS source, coalesce(variant, 'original') AS variant, nullif(parent_id, '') AS parent_id, CAST(coalesce(cardinality(files), 0) AS INT) AS n_files, CAST(coalesce(len(files_changed), 0) AS INT) AS n_changed FROM pull_example""",
     "cwe_forms": f"SELECT example_no, {_label} AS label, replace(lower(cwe_id), '-', '') AS plain, nullif(regexp_extract(cwe_id, '(\\d+)', 1), '') AS digits, {_bucket} AS bucket, {codes('cwe_id')} AS codes FROM pull_example",
     "hard_split": "SELECT example_no FROM pull_example WHERE NOT malicious OR coalesce(len(failed_by), 0) > 0",
     "rows_with_code": "SELECT example_no FROM pull_example WHERE coalesce(cardinality(files), 0) > 0 OR coalesce(diff, '') <> ''",
@@ -226,7 +226,7 @@ SQL = {
     "jsonl_round_trip": "SELECT coalesce(variant, 'None') AS variant, count(*) AS n, CAST(sum(coalesce(cardinality(files), 0)) AS BIGINT) AS n_files, CAST(sum(length(diff)) AS BIGINT) AS n_chars FROM pull_example GROUP BY ALL",
     "csv_report": f"""WITH {RESULTS} SELECT framing AS attack_type, count(*) FILTER (WHERE mode = 'baseline') AS baseline_malicious_n, count(*) FILTER (WHERE mode = 'hybrid') AS hybrid_malicious_n,
       count(*) FILTER (WHERE mode = 'hybrid' AND verdict = 'APPROVE')::DOUBLE / nullif(count(*) FILTER (WHERE mode = 'hybrid'), 0) AS hybrid_asr FROM results
-      WHERE malicious AND source = 'sevra' AND variant = 'original' AND framing IS NOT NULL AND framing <> '' AND mode IN ('baseline', 'hybrid') GROUP BY framing""",
+      WHERE malicious AND source = '{DEFAULT_SOURCE}' AND variant = 'original' AND framing IS NOT NULL AND framing <> '' AND mode IN ('baseline', 'hybrid') GROUP BY framing""",
     "streamed_keys": "SELECT DISTINCT id, malicious, mode FROM eval_result",
     "streamed_daily": f"""SELECT date_trunc('day', evaluated_at AT TIME ZONE 'UTC') AS day, mode, {_v} AS verdict, count(*) AS n FROM (SELECT * REPLACE (coalesce(response, '') AS response) FROM eval_result) GROUP BY ALL""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
@@ -21,13 +22,18 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp(prefix="sluicebed-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    name = f"{folder}/{root.name}.zip"
-    with zipfile.ZipFile(name, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_folder(spark)}-code/{root.name}.zip")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    spark.sparkContext.addPyFile(fs.makeQualified(path).toString())
     _shipped.add(app)
 
 
@@ -47,6 +53,11 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/sluicebed-{spark.sparkContext.applicationId}"
 
 
+def place(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted by clear()."""
+    return f"{_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application wrote; DataFrames made from them can't be read any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))

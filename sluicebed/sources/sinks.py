@@ -7,7 +7,6 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebed.plans.shared import shared_dir
 
 
 def check_output(path: str) -> str:
@@ -43,9 +42,9 @@ def write_summary(metrics: DataFrame, path: str) -> None:
 
 
 def guard_run(df: DataFrame, settings: dict) -> None:
-    """Refuse to go on in a folder written under other settings: the first run stores them, later ones compare."""
+    """Refuse to go on in a folder written under other settings: the first run stores them beside it, later ones compare."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/run-settings-{settings.get('run', 'default')}"
+    path = f"{settings['output']}-settings"
     want = json.dumps(settings, sort_keys=True)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):

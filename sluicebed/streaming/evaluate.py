@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebed.operators.review import verdict
-from sluicebed.plans.shared import shared_dir
+from sluicebed.plans.shared import place
 
 
 def unique_stream(rows: DataFrame, keys: tuple[str, ...] = ("id", "malicious", "mode"), time: str = "evaluated_at", late: str = "60 days") -> DataFrame:
@@ -28,7 +26,7 @@ def hourly(rows: DataFrame, time: str = "evaluated_at", late: str = "60 days", w
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows a stream gives now: written by a checkpointed query into the shared folder and read back."""
     spark: SparkSession = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = place(spark, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         writer.outputMode("append").format("parquet").start(f"{base}/rows").awaitTermination()
