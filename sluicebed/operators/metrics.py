@@ -88,7 +88,7 @@ def attack_types(results: DataFrame) -> DataFrame:
 def ranked_attack_types(results: DataFrame) -> DataFrame:
     """attack_types with the order of the report: by hybrid rate, then name. The table has one row per attack type."""
     order = W.Window.orderBy(F.coalesce("hybrid_asr", F.lit(0.0)), "attack_type")
-    return attack_types(results).withColumn("rank", F.row_number().over(order))
+    return attack_types(results).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def detection_rates(rows: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def detection_rates(rows: DataFrame) -> DataFrame:
 def kind_counts(rows: DataFrame) -> DataFrame:
     """(cwe, kind, n, rank): finding kinds by weakness, the most frequent first, ties by name."""
     counts = rows.select(F.coalesce(cwe_codes(F.col("cwe")), F.lit("None")).alias("cwe"), F.explode("findings").alias("f")).groupBy("cwe", F.col("f.kind").alias("kind")).agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(W.Window.partitionBy("cwe").orderBy(F.desc("n"), "kind")))
+    return counts.withColumn("rank", F.row_number().over(W.Window.partitionBy("cwe").orderBy(F.desc("n"), "kind")).cast("long"))
 
 
 def extension_counts(rows: DataFrame) -> DataFrame:
