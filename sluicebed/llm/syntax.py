@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sluicebed.functions.names import repo_name
 from sluicebed.functions.lexing import SUFFIXES, tokens
+from sluicebed.plans.shared import written
 
 CHUNK = 262_144
 PARSE_WHOLE = 1_000_000
@@ -357,23 +358,38 @@ def sources(pulls: DataFrame, fields: tuple[str, ...] = ("files", "repository_fi
 
 
 _OUT = "example_no long, field string, path string"
-
-
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple[str, int, int], bool] = {}
-    for b in batches:
-        keep = []
-        for i, (lang, text) in enumerate(zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), strict=True)):
-            key = (lang, hash(text), len(text))
-            bad = known.get(key)
-            if bad is None:
-                if len(known) > 200_000:
-                    known.clear()
-                bad = known[key] = fails(text, lang)
-            if bad:
-                keep.append(i)
-        if keep:
-            yield b.select(["example_no", "field", "path"]).take(pa.array(keep))
+_FIRST = pa.schema([("example_no", pa.int64()), ("field", pa.string()), ("path", pa.string()), ("lang", pa.string()), ("chunk_no", pa.int32()), ("chunk", pa.string())])
+
+
+def _check(chunk: int):
+    """Invalid files as one row without chunk; longer files as one row per chunk, not judged yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, int, int], bool] = {}
+        for b in batches:
+            keep, numbers, texts = [], [], []
+            for i, (lang, text) in enumerate(zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), strict=True)):
+                if len(text) > chunk and lang not in ("py", "json"):
+                    for n, part in enumerate(chunks(text, chunk)):
+                        keep.append(i)
+                        numbers.append(n)
+                        texts.append(part)
+                    continue
+                key = (lang, hash(text), len(text))
+                bad = known.get(key)
+                if bad is None:
+                    if len(known) > 200_000:
+                        known.clear()
+                    bad = known[key] = fails(text, lang)
+                if bad:
+                    keep.append(i)
+                    numbers.append(None)
+                    texts.append(None)
+            if keep:
+                own = b.select(["example_no", "field", "path", "lang"]).take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], schema=_FIRST)
+
+    return run
 
 
 def _read_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -392,18 +408,14 @@ def _join_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def invalid_files(pulls: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(example_no, field, path) of the files that are not valid in the language of their suffix."""
-    all_files = sources(pulls)
-    by_grammar = F.col("lang").isin("py", "json")
-    short = all_files.filter(by_grammar | (F.length("source") <= chunk)).mapInArrow(_check, _OUT)
-
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([chunks(t, chunk) for t in texts])
+    """(example_no, field, path) of the files that are not valid in the language of their suffix.
 
+    One scan judges the short files and cuts the long ones; what it gives is written once, a small table.
+    """
+    first = written(sources(pulls).mapInArrow(_check(chunk), f"{_OUT}, lang string, chunk_no int, chunk string"))
+    short = first.filter("chunk is null").select("example_no", "field", "path")
     long = (
-        all_files.filter(~by_grammar & (F.length("source") > chunk))
-        .select("example_no", "field", "path", "lang", F.posexplode(cut("source")).alias("chunk_no", "chunk"))
+        first.filter("chunk is not null")
         .repartition("example_no", "field", "path", "chunk_no")
         .mapInPandas(_read_chunks, f"{_OUT}, lang string, chunk_no int, chunk string, states string")
         .groupBy("example_no", "field", "path")
