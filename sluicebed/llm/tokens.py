@@ -1,12 +1,13 @@
 """Encoding of the whole corpus with a public tokenizer.
 
-Texts are split into pre-tokens; each task folds the texts it reads into one row per distinct pre-token with the texts
-and positions where it stands, and those rows are shuffled by pre-token. There each distinct pre-token is encoded once,
-its ids are joined back to all its positions, and a second shuffle by text puts them in order. Pre-tokens that are frequent
-in a batch are spread over SALTS tasks, so " the" is encoded at most SALTS times and never fills one task.
-
-Cases: null and empty texts give the empty list; strings that look like special tokens are ordinary text; rows that are
-repeated as a whole give one row; rows with one doc_id and different texts give one row each; a null doc_id stays null.
+Texts are split into pre-tokens; each Arrow batch of texts is folded to its distinct pre-tokens and, for every text, the
+sequence of their numbers, which keeps the positions. Only the distinct pre-tokens are shuffled by pre-token: where one
+lands it is encoded once, and its ids are joined back to every batch that holds it. A second shuffle brings ids and
+sequences of a batch together, and each text's ids are put in order. A pre-token has one row per batch however often it
+stands there, so " the" fills no task, and what is shuffled is near the size of the compressed texts.
+
+Cases: null and empty texts give the empty list; strings that look like special tokens are ordinary text; every row gives
+one row, repeated ones too; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluicebed.plans.shared import written
+
 FOLDER = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
-SALTS = 32
-FREQUENT = 256
 #: The public split pattern of this tokenizer's kind (fixed value).
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,147 +59,101 @@ def pretokens(text: str) -> list[str]:
     return _cache["split"].findall(text)
 
 
-_WORDS = pa.schema([("word", pa.string()), ("salt", pa.int32()), ("doc", pa.list_(pa.int64())), ("tag", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32()))])
-_PARTS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("pos", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
+_ROWS = "batch long, kind int, no long, word string, seq array<int>"
+_FOLDED = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("no", pa.int64()), ("word", pa.string()), ("seq", pa.list_(pa.int32()))])
+_PARTS = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("no", pa.int64()), ("seq", pa.list_(pa.int32()))])
+WORD, TEXT = 0, 1
 
 
-def _lists(values, starts, kind):
-    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, kind))
+def _lists(values, starts):
+    return pa.ListArray.from_arrays(pa.array(np.asarray(starts, np.int32), pa.int32()), pa.array(values, pa.int32()))
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, tag, text) to one row per distinct pre-token of a batch (and per SALTS-th of a frequent one)."""
-    for b in batches:
-        docs, tags = b.column("doc").to_numpy(), b.column("tag").to_numpy()
+    """(doc_id, text) to the rows of a batch: (batch, WORD, number, pre-token, -) and (batch, TEXT, doc_id, -, numbers)."""
+    part = TaskContext.get().partitionId() << 32
+    for k, b in enumerate(batches):
         words: dict[str, int] = {}
-        which, rows, poss = [], [], []
-        for i, text in enumerate(b.column("text").to_pylist()):
-            found = pretokens(text) if text else [""]
-            which.extend([words.setdefault(w, len(words)) for w in found])
-            rows.append(len(found))
-        if not rows:
-            continue
-        which = np.array(which, np.int64)
-        lens = np.array(rows)
-        row = np.repeat(np.arange(len(lens)), lens)
-        poss = np.arange(len(which)) - np.repeat(np.cumsum(lens) - lens, lens)
-        counts = np.bincount(which, minlength=len(words))
-        salt = np.where(counts[which] > FREQUENT, row % SALTS, 0)
-        order = np.lexsort((row, salt, which))
-        which, salt, row, poss = which[order], salt[order], row[order], poss[order]
-        first = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (salt[1:] != salt[:-1])])
-        starts = np.r_[first, len(which)].astype(np.int32)
-        names = list(words)
+        numbers: list[int] = []
+        starts = [0]
+        for text in b.column("text").to_pylist():
+            if text:
+                numbers.extend([words.setdefault(w, len(words)) for w in pretokens(text)])
+            starts.append(len(numbers))
+        n, m = b.num_rows, len(words)
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([names[k] for k in which[first].tolist()], pa.string()),
-                pa.array(salt[first], pa.int32()),
-                _lists(docs[row], starts, pa.int64()),
-                _lists(tags[row], starts, pa.int64()),
-                _lists(poss, starts, pa.int32()),
-            ],
-            schema=_WORDS,
+            [pa.array([part + k] * m, pa.int64()), pa.array([WORD] * m, pa.int32()), pa.array(range(m), pa.int64()), pa.array(words, pa.string()), pa.nulls(m, pa.list_(pa.int32()))],
+            schema=_FOLDED,
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part + k] * n, pa.int64()), pa.array([TEXT] * n, pa.int32()), b.column("doc_id"), pa.nulls(n, pa.string()), _lists(np.array(numbers, np.int32), starts)],
+            schema=_FOLDED,
         )
 
 
 def _encode(folder: str, name: str):
+    """(batch, no, word) of one share of the pre-tokens to (batch, WORD, no, ids); each is encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(folder, name).encode_ordinary
-        known: dict[str, list[int]] = {}
+        last, ids = None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids = []
+            got = []
             for w in b.column("word").to_pylist():
-                got = known.get(w)
-                if got is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    got = known[w] = one(w)
-                ids.append(got)
-            n_ids = np.array([len(x) for x in ids])
-            flat_ids = np.array([y for x in ids for y in x], np.int32)
-            at = np.cumsum(n_ids) - n_ids
-            lists = b.column("doc")
-            word = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-            docs, tags, poss = (b.column(c).flatten().to_numpy() for c in ("doc", "tag", "pos"))
-            order = np.lexsort((poss, tags, docs))
-            docs, tags, poss, word = docs[order], tags[order], poss[order], word[order]
-            first = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])])
-            starts = np.r_[first, len(docs)].astype(np.int32)
-            n = n_ids[word]
-            ends = np.cumsum(n)
-            take = np.repeat(at[word] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-            id_starts = np.r_[0, ends][starts].astype(np.int32)
+                if w != last:
+                    last, ids = w, one(w)
+                got.append(ids)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(docs[first]),
-                    pa.array(tags[first]),
-                    _lists(poss.astype(np.int32), starts, pa.int32()),
-                    _lists(n.astype(np.int32), starts, pa.int32()),
-                    _lists(flat_ids[take], id_starts, pa.int32()),
-                ],
-                schema=_PARTS,
+                [b.column("batch"), pa.array([WORD] * len(got), pa.int32()), b.column("no"), pa.array(got, pa.list_(pa.int32()))], schema=_PARTS
             )
 
     return run
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts sorted by (doc, tag) to one row of ids per text; a text may go on in the next batch."""
-    open_key, held = None, []
-    done: list[tuple] = []
+    """Rows sorted by (batch, kind) to (doc_id, ids); a batch may go on in the next record batch."""
+    current, held = None, []
+    start = size = flat = None
 
     def close():
-        poss = np.concatenate([h[0] for h in held])
-        n = np.concatenate([h[1] for h in held])
-        ids = np.concatenate([h[2] for h in held])
-        poss, keep = np.unique(poss, return_index=True)
-        ends = np.cumsum(n)
-        n, at = n[keep], (ends - n)[keep]
-        total = np.cumsum(n)
-        take = np.repeat(at - (total - n), n) + np.arange(total[-1])
-        done.append((*open_key, ids[take]))
-
-    def out():
-        starts = np.cumsum([0, *(len(d[2]) for d in done)]).astype(np.int32)
-        ids = np.concatenate([d[2] for d in done]).astype(np.int32) if done else np.array([], np.int32)
-        b = pa.RecordBatch.from_arrays(
-            [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), _lists(ids, starts, pa.int32())],
-            ["doc", "tag", "ids"],
-        )
-        done.clear()
-        return b
+        """The ids of the current batch's pre-tokens by number."""
+        no = np.concatenate([h[0] for h in held]) if held else np.array([], np.int64)
+        lens = np.concatenate([h[1] for h in held]) if held else np.array([], np.int64)
+        ids = np.concatenate([h[2] for h in held]) if held else np.array([], np.int32)
+        at = np.zeros(len(no), np.int64)
+        count = np.zeros(len(no), np.int64)
+        at[no], count[no] = np.cumsum(lens) - lens, lens
+        return at, count, ids
 
     for b in batches:
-        cols = [b.column(c) for c in ("pos", "n", "ids")]
-        offs = [c.offsets.to_numpy() for c in cols]
-        vals = [c.values.to_numpy() for c in cols]
-        for i, key in enumerate(zip(b.column("doc").to_pylist(), b.column("tag").to_pylist(), strict=True)):
-            if key != open_key:
-                if held:
-                    close()
-                open_key, held = key, []
-            held.append([v[o[i] : o[i + 1]] for v, o in zip(vals, offs, strict=True)])
-        if len(done) > 2000:
-            yield out()
-    if held:
-        close()
-    if done:
-        yield out()
+        keys = b.column("batch").to_numpy() * 2 + b.column("kind").to_numpy()
+        lists = b.column("seq")
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        edges = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)] if len(keys) else []
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            batch, kind = divmod(int(keys[i]), 2)
+            if batch != current:
+                current, held, flat = batch, [], None
+            seq, off = values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if kind == WORD:
+                held.append((b.column("no").slice(i, j - i).to_numpy(), np.diff(off), seq))
+                continue
+            if flat is None:
+                start, size, flat = close()
+            n = size[seq]
+            ends = np.cumsum(n)
+            take = np.repeat(start[seq] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+            yield pa.RecordBatch.from_arrays([b.column("no").slice(i, j - i), _lists(flat[take], np.r_[0, ends][off])], ["doc_id", "ids"])
 
 
 def encoded(documents: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFrame:
     """(doc_id, ids) of documents(doc_id, text); see the head of this module for the cases."""
-    tag = F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), tag.alias("tag"), "text")
-    folded = texts.mapInArrow(_fold, "word string, salt int, doc array<long>, tag array<long>, pos array<int>")
-    parts = folded.repartition("word", "salt").mapInArrow(
-        _encode(folder, name), "doc long, tag long, pos array<int>, n array<int>, ids array<int>"
-    )
-    ordered = parts.repartition("doc", "tag").sortWithinPartitions("doc", "tag")
-    whole = ordered.mapInArrow(_assemble, "doc long, tag long, ids array<int>")
-    return whole.select(F.when(F.col("tag").bitwiseAND(F.lit(1)) == 0, F.col("doc")).alias("doc_id"), "ids")
+    folded = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fold, _ROWS))
+    words = folded.filter(F.col("kind") == WORD).select("batch", "no", "word")
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(folder, name), "batch long, kind int, no long, seq array<int>")
+    texts = folded.filter(F.col("kind") == TEXT).select("batch", "kind", "no", "seq")
+    together = ids.unionByName(texts).repartition("batch").sortWithinPartitions("batch", "kind")
+    return together.mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decoded(ids: DataFrame, folder: str = FOLDER, name: str = NAME) -> DataFrame:

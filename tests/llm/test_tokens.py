@@ -30,9 +30,9 @@ def test_ids_equal_the_library(spark, data):
 def test_hot_words_and_repeated_rows(spark):
     rows = [(i, "the the the the cat") for i in range(3000)] + [(7, "the the the the cat"), (7, "other"), (None, "null id"), (None, None)]
     got = T.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert len(got) == 3000 + 1 + 2
+    assert len(got) == len(rows)
     want = library()(["the the the the cat", "other", "null id"])
-    assert sorted(r[1] for r in got if r[0] == 7) == sorted([want[0], want[1]])
+    assert sorted(r[1] for r in got if r[0] == 7) == sorted([want[0], want[0], want[1]])
     assert sorted(r[1] for r in got if r[0] is None) == [[], want[2]]
     assert all(r[1] == want[0] for r in got if r[0] not in (7, None))
 
