@@ -52,6 +52,10 @@ _F = {
 _K["ts"] = _K["js"] + " type interface declare namespace module abstract readonly is keyof infer enum public private protected implements satisfies asserts unique override accessor out global"
 _C["ts"], _F["ts"] = _C["js"], _F["js"]
 _WORD = {lang: {w: "k" for w in _K[lang].split()} | {w: "c" for w in _C[lang].split()} | {w: "f" for w in _F[lang].split()} for lang in _K}
+#: Words that only begin a statement; where statements end with a mark, none follows a value.
+_BEGIN = {"java": "return break continue", "c": "return break continue goto", "php": "return break continue echo"}
+for _lang, _words in _BEGIN.items():
+    _WORD[_lang] |= {w: "r" for w in _words.split()}
 _BINARY = {"==", "!=", "===", "!==", "&&", "||", "/", "%", "<=", ">=", "??", "<=>", "=~", "!~", "**", "^"}
 _ASSIGN = {"=", ":=", "+=", "-=", "*=", "/=", "%=", "|=", "&=", "^=", "<<=", ">>=", ">>>=", ".=", "**=", "&&=", "||=", "??=", "&^="}
 _RB_OPEN = {"def", "class", "module", "begin", "case", "do", "for"}
@@ -60,10 +64,10 @@ _RB_COND = {"if", "unless", "while", "until"}
 #: What no valid statement holds, by language, over class strings.
 _NEVER = {
     "js": r"[=b]\s*[=b]|[=b][;)\]},]|(?:^|[;{(\[,])\s*[=b]|@@|[wns\]] *[ws](?![kw])|[wns]n|f[wn]|\)n|^\s*[=b<]",
-    "java": r"[=b][=b]|[=b][;)\]},]|(?:^|[;{(\[,])[=b]|[ns][wns]|w[ns]|www|f[wn]|^[^kf@;#]",
-    "c": r"[=b][=b]|[=b][;)\]},]|(?:^|[;{(\[,])[=b]|n[wns]|wn|f[w]|\):|^[=b]",
+    "java": r"[=b][=b]|[=b][;)\]},]|(?:^|[;{(\[,])[=b]|[ns][wns]|w[ns]|www|f[wn]|[ns\]]r|=[wns]\}|^[^kf@;#]",
+    "c": r"[=b][=b]|[=b][;)\]},]|(?:^|[;{(\[,])[=b]|n[wns]|wn|f[w]|[ns\]]r|\):|^[=b]",
     "go": r"[=b]\s*[=b]|[=b][;)\]},]|(?:^|[;{(\[,])\s*[=b]|[ns][wn]|f[w]",
-    "php": r"[=b][=b]|[=b][;)\]},]|(?:^|[;{(\[,])[=b]|[vns][vwn]|ns|vs|ww|w[ns](?!:)|f[w]",
+    "php": r"[=b][=b]|[=b][;)\]},]|(?:^|[;{(\[,])[=b]|[vns][vwn]|ns|vs|ww|w[ns](?!:)|f[w]|[vns\]]r|=[vns]\}",
     "rb": r"[=b]\s*[=b](?!\()|(?<!:w)(?<!:)[b=][;)\]},]|[ns][wn]|\):\n",
 }
 _NEVER["ts"] = _NEVER["js"].replace("|@@", "")
@@ -113,7 +117,7 @@ def classes(text: str, lang: str, state: str | None = None) -> tuple[str, str]:
             if lines:
                 out.append("\n")
         elif kind in "SN":
-            out.append(kind.lower())
+            out.append("E" if kind == "N" and text[b - 1] == "_" and lang != "c" else kind.lower())
         elif kind == "C":
             continue
         elif kind == "D":

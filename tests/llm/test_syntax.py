@@ -20,10 +20,10 @@ VALID = {
 BROKEN = {
     "js": ["function f() { return [1, 2; }", "const x = = 5;\n", 'const s = "a\n";\n', "import os\nimport logging\n\ndef f(a, b):\n    return a\n", "package main\n\nimport (\n)\n", "let x = `a${b`;\n", "if (x) {\n<<<<<<< HEAD\n  y()\n=======\n  z()\n>>>>>>> b\n}\n", "function f("],
     "ts": ["export function f(x: string {\n}\n", "const x: number = ;\n", "import { a } from 'b';\nexport"],
-    "java": ["class A { void f() { g(1; } }\n", 'class A { String s = "x; }\n', "const x = require('y');\nfunction f() {}\n", "class A { int x = 1 2; }\n", "package a.b;\npublic class A {\n  void f() {\n", "#include <x.h>\nint f() { return 1; }\n"],
+    "java": ["class A { void f() { g(1; } }\n", 'class A { String s = "x; }\n', "const x = require('y');\nfunction f() {}\n", "class A { int x = 1 2; }\n", "class A { int f() { int x = 1\n return x; } }\n", "package a.b;\npublic class A {\n  void f() {\n", "#include <x.h>\nint f() { return 1; }\n"],
     "c": ["int f(void) { return (1; }\n", "int x = = 1;\n", "package main\n\nfunc f() {\n}\n", "import os\ndef f(a):\n    return a\n", "int f() { /* open\n", "static int"],
     "go": ["package a\nfunc f() { x := [1 }\n", "func f() {}\n", "package a\nfunction f(x) { return x; }\n", "package a\nvar x = `open\n"],
-    "php": ["<?php\nfunction f( { }\n", "<?php\n$x = 1 $y;\n", "<?php\n$a = 'open;\n", "<?php\nfunction f() {\n  return"],
+    "php": ['<?php\nfunction f() {\n  $x = "open\n  g("# none" . $y);\n  return $x;\n}\n', "<?php\nfunction f( { }\n", "<?php\n$x = 1 $y;\n", "<?php\n$a = 'open;\n", "<?php\nfunction f() {\n  return"],
     "rb": ["def f\n  if x\nend\n", "class A\n  def f(a, b)\n    x = [1\n  end\nend\n", 'x = "open\n', "def f\n  raise\n"],
     "py": ["def f(:\n", "x = 'a\n", "\tif x:\ny\n", "a\x00b"],
     "json": ["{'a': 1}", '{"a": 1,}', "[1, NaN]", "// x\n{}", '{"a": 1'],
