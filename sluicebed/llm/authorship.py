@@ -26,7 +26,7 @@ from sluicebed.functions.lexing import SUFFIXES, tokens
 from sluicebed.plans.shared import written
 
 GRAM, WINDOW = 6, 6
-IN_LIBRARY, OF_LIBRARY = 0.5, 0.55  # shares of the file and of the library that a copy holds
+IN_LIBRARY, OF_LIBRARY = 0.6, 0.5  # shares of the file and of the library that a copy holds
 SALTS = 16
 #: Fingerprints for recurrence span several statements, so that none recurs by chance however large the corpus is.
 FAR_GRAM, FAR_WINDOW = 32, 16
