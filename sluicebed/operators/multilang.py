@@ -37,6 +37,15 @@ SOURCES = {
     "ruby": r"\bparams\b|\brequest\.(?:body|params|headers)\b|\bENV\b|\bARGV\b",
     "rust": r"\benv::args\b|\benv::var\b|\bstd::io::stdin\b",
 }
+# The texts of findings and warnings.
+SAY = {
+    "language": "{0}: unsupported language for multilingual analysis",
+    "rules": "{0}: no multilingual sink rules for {1}",
+    "syntax": "{0}: syntax errors; multilingual analysis incomplete",
+    "sink": "Call to {0}",
+    "together": "Heuristic: known source and sink `{0}` co-occur in the same {1} function (not a symbolic proof)",
+    "risk": "Heuristic: high-risk {1} sink `{0}` (not a symbolic proof)",
+}
 _sources = {k: re.compile(v) for k, v in SOURCES.items()}
 _risk = {k: {n: r for r, names in zip(("high", "medium"), v, strict=True) for n in names.split()} for k, v in SINKS.items()}
 _CONTROL = set("if for foreach while switch catch elseif with match sizeof return synchronized using lock when".split())
@@ -124,14 +133,14 @@ def scan(path: str, source: str, disabled: frozenset[str] = frozenset()) -> tupl
     same file outside of functions) or the sink is of high risk. Later calls come first."""
     language = language_of(path)
     if language is None:
-        return [], [f"{path}: unsupported language for multilingual analysis"]
+        return [], [SAY["language"].format(path)]
     if language == "python":
         return [], []
     if language not in SINKS:
-        return [], [f"{path}: no multilingual sink rules for {language}"]
+        return [], [SAY["rules"].format(path, language)]
     lang = LEXER[language]
     toks = tokens(source, lang)
-    notes = [f"{path}: syntax errors; multilingual analysis incomplete"] if unbalanced(toks) or any(k in "UVXM" for k, _, _ in toks) else []
+    notes = [SAY["syntax"].format(path)] if unbalanced(toks) or any(k in "UVXM" for k, _, _ in toks) else []
     spans = functions_of(source, lang, toks)
     has = [bool(_sources[language].search(source, a, b)) for a, b in spans]
     whole = bool(_sources[language].search(source))
@@ -141,13 +150,13 @@ def scan(path: str, source: str, disabled: frozenset[str] = frozenset()) -> tupl
         if risk is None:
             continue
         line = source.count("\n", 0, a) + 1
-        found = [("sink", f"Call to {name}")]
+        found = [("sink", SAY["sink"].format(name))]
         inside = next((h for (x, y), h in zip(spans, has, strict=True) if x <= a and b <= y), None)
         if "taint" not in disabled:
             if whole if inside is None else inside:
-                found.append(("taint", f"Heuristic: known source and sink `{name}` co-occur in the same {language} function (not a symbolic proof)"))
+                found.append(("taint", SAY["together"].format(name, language)))
             elif risk == "high":
-                found.append(("taint", f"Heuristic: high-risk {language} sink `{name}` (not a symbolic proof)"))
+                found.append(("taint", SAY["risk"].format(name, language)))
         for kind, detail in found:
             out.setdefault((kind, line, detail), {"kind": kind, "path": path, "line": line, "detail": detail})
     return list(out.values()), notes

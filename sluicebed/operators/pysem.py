@@ -24,6 +24,30 @@ SOURCES = frozenset(
     "input os.getenv os.environ.get request.args.get request.form.get request.GET.get request.POST.get flask.request.args.get flask.request.form.get sys.stdin.readline socket.recv".split()
 )
 SINKS = frozenset("eval exec os.system os.popen pickle.loads yaml.load subprocess.run subprocess.call subprocess.Popen cursor.execute db.execute".split())
+# The texts of findings and warnings.
+SAY = {
+    "parse": "{0}: Python parse failed",
+    "expression": "{0}:{1}: unsupported expression {2}",
+    "symbolic expression": "{0}:{1}: unsupported symbolic expression",
+    "binding": "{0}:{1}: SQL query argument binding incomplete",
+    "call": "{0}:{1}: unsupported call {2}",
+    "sink": "Call to {0}",
+    "taint": "Untrusted data reaches {0}",
+    "path": "Satisfiable modeled path to {0}; witness is not an exploit proof",
+    "solver": "{0}: solver timeout/unknown",
+    "depth": "{0}: call-depth limit",
+    "cross-file": "{0}: cross-file resolution disabled",
+    "resolves": "{0} resolves to {1}:{2}",
+    "keywords": "{0}: unsupported keyword/variadic call binding",
+    "steps": "symbolic step limit reached",
+    "states": "symbolic state limit reached",
+    "target": "{0}: unsupported assignment target",
+    "statement": "{0}:{1}: unsupported statement {2}",
+    "guard": "{0}:{1}: unmodeled branch guard",
+    "request": "{0}:{1}: standalone parameter 'request' assumed to be an HTTP request",
+    "class": "{0}:{1}: class body/method semantics unsupported",
+    "nested": "{0}:{1}: nested function/method semantics unsupported",
+}
 SQL_CALLS = (".execute", ".executemany")
 QUERY_NAMES = frozenset("query sql statement operation".split())
 
@@ -131,7 +155,7 @@ class Analysis:
                 warnings.simplefilter("ignore")
                 tree = ast.parse(source)
         except (SyntaxError, ValueError, RecursionError):
-            self.notes.add(f"{path}: Python parse failed")
+            self.notes.add(SAY["parse"].format(path))
             return
         module = self.modules[name] = Module(name, path, tree)
         here = name.split(".") if path.endswith("__init__.py") else name.split(".")[:-1]
@@ -201,7 +225,7 @@ class Analysis:
             case ast.UnaryOp():
                 return self.computed(node, [go(node.operand)], module)
         parts = [go(n) for n in ast.iter_child_nodes(node) if isinstance(n, ast.expr)]
-        self.note(f"{module.name}:{getattr(node, 'lineno', 0)}: unsupported expression {type(node).__name__}")
+        self.note(SAY["expression"].format(module.name, getattr(node, 'lineno', 0), type(node).__name__))
         return Value(None, any(p.tainted for p in parts))
 
     def computed(self, node: ast.expr, parts: list[Value], module: Module) -> Value:
@@ -209,7 +233,7 @@ class Analysis:
         terms = [p.term for p in parts]
         term = self._term(node, terms) if all(terms) else None
         if term is None:
-            self.note(f"{module.name}:{node.lineno}: unsupported symbolic expression")
+            self.note(SAY["symbolic expression"].format(module.name, node.lineno))
         return Value(term, tainted)
 
     @staticmethod
@@ -257,7 +281,7 @@ class Analysis:
                 args = placed[:1] if node.args else [v for k, v in named if k in QUERY_NAMES]
                 tainted = any(a.tainted for a in args)
                 if not args or any(k is None for k, _ in named):
-                    self.note(f"{module.name}:{node.lineno}: SQL query argument binding incomplete")
+                    self.note(SAY["binding"].format(module.name, node.lineno))
             self.sink(name, node, module, state, args, tainted)
             return Value(None, tainted)
         if name in self.functions:
@@ -267,36 +291,36 @@ class Analysis:
                 return Value(_combine("int", [t], len), args[0].tainted)
             if t.kind == name:
                 return args[0]
-        self.note(f"{module.name}:{node.lineno}: unsupported call {name}")
+        self.note(SAY["call"].format(module.name, node.lineno, name))
         return Value(None, tainted)
 
     def sink(self, name: str, node: ast.Call, module: Module, state: State, args: list[Value], tainted: bool) -> None:
-        self.add("sink", module, node.lineno, f"Call to {name}")
+        self.add("sink", module, node.lineno, SAY["sink"].format(name))
         if not (tainted and self.taint):
             return
-        self.add("taint", module, node.lineno, f"Untrusted data reaches {name}")
+        self.add("taint", module, node.lineno, SAY["taint"].format(name))
         known = all(a.term is not None for a in args if a.tainted)
         if not self.symbolic or state.conditions is None or not known:
             return
         answer, values = solve(state.conditions, tuple(a.term for a in args if a.term))
         if answer == "sat":
             witness = {k: str(v) for k, v in values.items()}
-            self.add("symbolic", module, node.lineno, f"Satisfiable modeled path to {name}; witness is not an exploit proof", witness)
+            self.add("symbolic", module, node.lineno, SAY["path"].format(name), witness)
         elif answer == "unknown":
-            self.note(f"{module.path}: solver timeout/unknown")
+            self.note(SAY["solver"].format(module.path))
 
     def inlined(self, name: str, node: ast.Call, module: Module, state: State, depth: int, args: list[Value], tainted: bool) -> Value:
         if depth >= self.max_depth:
-            self.note(f"{module.name}: call-depth limit")
+            self.note(SAY["depth"].format(module.name))
             return Value(None, tainted)
         home, fn = self.functions[name]
         if home is not module:
             if "cross_file" in self.disabled:
-                self.note(f"{module.name}: cross-file resolution disabled")
+                self.note(SAY["cross-file"].format(module.name))
                 return Value(None, tainted)
-            self.add("cross_file", module, node.lineno, f"{name} resolves to {home.path}:{fn.lineno}")
+            self.add("cross_file", module, node.lineno, SAY["resolves"].format(name, home.path, fn.lineno))
         if node.keywords or fn.args.vararg or fn.args.kwarg:
-            self.note(f"{module.name}: unsupported keyword/variadic call binding")
+            self.note(SAY["keywords"].format(module.name))
             return Value(None, tainted)
         names = dict(itertools.zip_longest((p.arg for p in fn.args.args), args[: len(fn.args.args)], fillvalue=Value()))
         ends = self.block(fn.body, State(names, state.conditions), home, depth + 1)
@@ -315,11 +339,11 @@ class Analysis:
                     continue
                 self.steps_left -= 1
                 if self.steps_left < 0:
-                    self.note("symbolic step limit reached")
+                    self.note(SAY["steps"])
                     return states
                 after += self.step(node, s, module, depth)
             if len(after) > MAX_STATES:
-                self.note("symbolic state limit reached")
+                self.note(SAY["states"])
             states = after[:MAX_STATES]
         return states
 
@@ -334,7 +358,7 @@ class Analysis:
                         if isinstance(target, ast.Name):
                             s.names[target.id] = v
                         else:
-                            self.note(f"{module.name}: unsupported assignment target")
+                            self.note(SAY["target"].format(module.name))
             case ast.Expr(value=v):
                 self.value(v, module, s, depth)
             case ast.Return(value=v):
@@ -343,7 +367,7 @@ class Analysis:
             case ast.If():
                 return self.fork(node, s, module, depth)
             case _:
-                self.note(f"{module.name}:{node.lineno}: unsupported statement {type(node).__name__}")
+                self.note(SAY["statement"].format(module.name, node.lineno, type(node).__name__))
                 s.conditions = None
         return [s]
 
@@ -351,7 +375,7 @@ class Analysis:
         test = self.value(node.test, module, s, depth)
         modeled = s.conditions is not None and test.term is not None and test.term.kind == "bool"
         if not modeled and self.symbolic:
-            self.note(f"{module.name}:{node.lineno}: unmodeled branch guard")
+            self.note(SAY["guard"].format(module.name, node.lineno))
         out: list[State] = []
         for branch, wanted in ((node.body, True), (node.orelse, False)):
             conditions = None
@@ -375,7 +399,7 @@ class Analysis:
                 names = {p.arg: Value() for p in (*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs)}
                 if "request" in names:
                     names["request"] = Value(symbol="request")
-                    self.note(f"{module.path}:{fn.lineno}: standalone parameter 'request' assumed to be an HTTP request")
+                    self.note(SAY["request"].format(module.path, fn.lineno))
                 self.block(fn.body, State(names, first), module)
         return list(self.found.values()), sorted(self.notes)
 
@@ -383,11 +407,11 @@ class Analysis:
         """Sinks by name alone, also in statements that are not walked."""
         for node in ast.walk(module.tree):
             if isinstance(node, ast.ClassDef):
-                self.note(f"{module.path}:{node.lineno}: class body/method semantics unsupported")
+                self.note(SAY["class"].format(module.path, node.lineno))
             elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef) and id(node) not in tops:
-                self.note(f"{module.path}:{node.lineno}: nested function/method semantics unsupported")
+                self.note(SAY["nested"].format(module.path, node.lineno))
             elif isinstance(node, ast.Call) and (name := self.called(node.func, module, {})) in SINKS:
-                self.add("sink", module, node.lineno, f"Call to {name}")
+                self.add("sink", module, node.lineno, SAY["sink"].format(name))
 
 
 def analyze(files: dict[str, str], disabled: frozenset[str] = frozenset(), steps: int = MAX_STEPS, depth: int = MAX_DEPTH) -> tuple[list[dict], list[str]]:
