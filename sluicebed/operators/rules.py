@@ -176,3 +176,13 @@ def findings_of(lines: DataFrame) -> DataFrame:
     )
     same = W.Window.partitionBy("example_no", "kind", "path", "detail").orderBy("rank", "line")
     return whole.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("example_no", F.col("rank").alias("seq"), "kind", "path", "line", "detail")
+
+
+def flagged(lines: DataFrame) -> DataFrame:
+    """(example_no) with any finding; no details are made and nothing is ranked."""
+    lines = written(relevant(lines))
+    parts = [f(lines).select("example_no") for f in (net_removed, first_sinks, bounds_weakened, csrf_deleted)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.distinct()

@@ -270,7 +270,7 @@ def bounds_weakened(spark, d):
 @query
 def advisory_rates(spark, d):
     """Flagship: rows whose changed lines raise a finding, as rates by weakness."""
-    hit = rules.findings_of(changed(spark, d)).select("example_no").distinct().withColumn("hit", F.lit(True))
+    hit = rules.flagged(changed(spark, d)).withColumn("hit", F.lit(True))
     rows = pulls(spark, d).select("example_no", "malicious", F.coalesce(cwe_codes(F.col("cwe_id")), F.lit("None")).alias("cwe")).join(hit, "example_no", "left")
     bad, raised = F.coalesce("malicious", F.lit(False)), F.coalesce("hit", F.lit(False))
     return rows.groupBy("cwe").agg(
