@@ -181,11 +181,11 @@ def _reader(libs):
         told: set[tuple] = set()
         for b in batches:
             kinds, keys, prints, owners = [], [], [], []
-            for path, text, owner in zip(b.column("path").to_pylist(), b.column("source").to_pylist(), b.column("owner").to_pylist(), strict=True):
+            for path, text, owner, named in zip(*(b.column(c).to_pylist() for c in ("path", "source", "owner", "named")), strict=True):
                 suffix = path[path.rfind(".") :] if "." in path else ""
                 lang = SUFFIXES.get(suffix)
                 if text is None or not text.strip():
-                    kinds.append(None)
+                    kinds.append("path" if named else None)
                     keys.append(None)
                     prints.append(None)
                     owners.append(None)
@@ -203,7 +203,7 @@ def _reader(libs):
                     found = winnow(hashes, FAR_GRAM, FAR_WINDOW) if kind is None else ()
                     mark = zlib.crc32(text.encode("utf-8", "surrogatepass")) << 31 ^ len(text)
                     got = known[key] = (kind, mark, found if kind is None and len(found) >= LEAST else None)
-                kinds.append(got[0])
+                kinds.append("path" if named else got[0])
                 keys.append(got[1] if got[2] is not None else None)
                 new = got[2] is not None and (got[1], owner) not in told
                 if new:
@@ -221,7 +221,8 @@ def _reader(libs):
 def read_files(pulls: DataFrame, libraries: DataFrame) -> DataFrame:
     """(example_no, field, path, kind, mark, prints, owner): what the sources and paths of both maps show by themselves.
 
-    mark identifies a text whose recurrence matters; prints are its fingerprints, once per task and owner.
+    mark identifies a text whose recurrence matters; prints are its fingerprints, once per task and owner. Sources that their
+    path alone makes a case are read too, as their owners count for the copies that stand elsewhere.
     """
     spark = pulls.sparkSession
     prints = library_prints(libraries)
@@ -236,15 +237,9 @@ def read_files(pulls: DataFrame, libraries: DataFrame) -> DataFrame:
         for f in ("files", "repository_files")
     ]
     both = parts[0].unionByName(parts[1]).filter("path is not null")
-    by_path = F.lower("path").rlike(BY_PATH)
-    read = both.filter(~by_path).select("example_no", "field", "path", "source", "owner").mapInArrow(
+    return both.withColumn("named", F.lower("path").rlike(BY_PATH)).select("example_no", "field", "path", "source", "owner", "named").mapInArrow(
         _reader(shared), "example_no long, field string, path string, kind string, mark long, prints array<long>, owner string"
     )
-    listed = both.filter(by_path).select(
-        "example_no", "field", "path", F.lit("path").alias("kind"), F.lit(None).cast("long").alias("mark"),
-        F.lit(None).cast("array<long>").alias("prints"), F.lit(None).cast("string").alias("owner"),
-    )
-    return read.unionByName(listed)
 
 
 def recurring(files: DataFrame, owners: int = OWNERS, share: float = RECUR) -> DataFrame:

@@ -72,6 +72,13 @@ def test_copies_without_a_library_recur(spark):
     assert set(got) == {(i, "files", f"x/{i}.py") for i in range(12)} and set(got.values()) == {"recurring"}
 
 
+def test_owners_that_hold_a_copy_in_a_vendored_folder_count(spark):
+    shared = program(21, 14)
+    rows = [(i, f"owner{i}/r", {f"vendor/{i}.py" if i < 6 else f"src/{i}.py": shared}, None, None) for i in range(9)]
+    got = run(spark, rows)
+    assert got == {(i, "files", f"vendor/{i}.py" if i < 6 else f"src/{i}.py"): "path" if i < 6 else "recurring" for i in range(9)}
+
+
 def test_winnowing_keeps_shared_stretches():
     a, b = list(range(100, 200)), list(range(300, 330)) + list(range(130, 160))
     assert set(A.winnow(a).tolist()) & set(A.winnow(b).tolist())
