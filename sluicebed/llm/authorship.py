@@ -2,7 +2,8 @@
 
 Normalized token streams (comments left out, literals reduced to their kind) are fingerprinted by winnowing. A file is a
 vendored copy if most of its fingerprints are those of a known library and it holds most of that library, or if most of
-its fingerprints recur in many unrelated repositories. Content shows generated, minified and data files, paths show lock
+its fingerprints recur in many unrelated repositories; a text too short for that is one if its whole token stream recurs
+there. Fewer than FAR_GRAM tokens (an import and a logger) are alike by chance and show nothing. Content shows generated, minified and data files, paths show lock
 files, vendored folders and outputs of tools. One pass reads the sources; only fingerprints are shuffled.
 
 Cases: null maps, null, empty and blank sources are no cases unless their path is one; null paths give no row; an entry of
@@ -12,6 +13,7 @@ entries of files_changed give one row; without known_library only recurrence cou
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -95,6 +97,14 @@ def winnow(hashes: list[int], gram: int = GRAM, window: int = WINDOW) -> np.ndar
     return np.unique(grams).view(np.int64)
 
 
+def far_prints(hashes: list[int]) -> np.ndarray:
+    """Fingerprints for recurrence; of a text with fewer than LEAST of them one hash of its whole token stream instead."""
+    found = winnow(hashes, FAR_GRAM, FAR_WINDOW)
+    if len(hashes) < FAR_GRAM or len(found) >= LEAST:
+        return found
+    return np.frombuffer(hashlib.blake2b(np.array(hashes, np.uint64).tobytes(), digest_size=8).digest(), np.int64)
+
+
 def content_kind(text: str, lang: str | None, toks: list[tuple[str, int, int]]) -> str | None:
     """generated, minified or data, if the text shows it."""
     head = []
@@ -200,9 +210,9 @@ def _reader(libs):
                     kind = content_kind(text, lang, toks)
                     if kind is None and _is_copy(winnow(hashes), owner_of, sizes):
                         kind = "copy"
-                    found = winnow(hashes, FAR_GRAM, FAR_WINDOW) if kind is None else ()
+                    found = far_prints(hashes) if kind is None else ()
                     mark = zlib.crc32(text.encode("utf-8", "surrogatepass")) << 31 ^ len(text)
-                    got = known[key] = (kind, mark, found if kind is None and len(found) >= LEAST else None)
+                    got = known[key] = (kind, mark, found if len(found) else None)
                 kinds.append("path" if named else got[0])
                 keys.append(got[1] if got[2] is not None else None)
                 new = got[2] is not None and (got[1], owner) not in told

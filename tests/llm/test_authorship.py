@@ -79,6 +79,17 @@ def test_owners_that_hold_a_copy_in_a_vendored_folder_count(spark):
     assert got == {(i, "files", f"vendor/{i}.py" if i < 6 else f"src/{i}.py"): "path" if i < 6 else "recurring" for i in range(9)}
 
 
+def test_short_copies_recur_as_a_whole(spark):
+    shared = "\n".join(program(22, 2).split("\n")[:10])
+    size = len(A._token_hashes(shared, "py")[0])
+    assert A.FAR_GRAM < size and len(A.winnow(A._token_hashes(shared, "py")[0], A.FAR_GRAM, A.FAR_WINDOW)) < A.LEAST
+    bare = "import os\nimport logging\n\nlogger = logging.getLogger(__name__)\n"  # alike by chance
+    files = lambda i: {f"x/{i}.py": f"# note {i}\n" + shared, f"y/{i}.py": bare, f"z/{i}.py": shared + f"\nrow_{i}(1)\n"}
+    got = run(spark, [(i, f"owner{i}/r", files(i), None, None) for i in range(9)])
+    assert got == {(i, "files", f"x/{i}.py"): "recurring" for i in range(9)}
+    assert run(spark, [(i, f"owner{i % 7}/r", {f"x/{i}.py": shared}, None, None) for i in range(14)]) == {}
+
+
 def test_winnowing_keeps_shared_stretches():
     a, b = list(range(100, 200)), list(range(300, 330)) + list(range(130, 160))
     assert set(A.winnow(a).tolist()) & set(A.winnow(b).tolist())
