@@ -164,13 +164,16 @@ def chunks(texts: DataFrame, key: str, column: str, budget: int) -> DataFrame:
 
 
 def packed_sizes(lines: Column, budget: int) -> Column:
-    """Number of chunks that packing whole lines gives, as a fold in the JVM (no line longer than budget)."""
+    """Number of chunks that pack_lines gives for lines that end with their line ends, as a fold in the JVM: a longer line
+    fills chunks of its own, and its rest is packed on."""
     start = F.struct(F.lit(1).alias("n"), F.lit(0).alias("size"))
 
     def step(a, x):
         n = F.length(x)
+        cut = F.when(n > budget, F.floor((n - 1) / budget).cast("int")).otherwise(0)
+        rest = n - cut * budget
         full = (a["size"] + n > budget) & (a["size"] > 0)
-        return F.struct(F.when(full, a["n"] + 1).otherwise(a["n"]).alias("n"), F.when(full, n).otherwise(a["size"] + n).alias("size"))
+        return F.struct((F.when(full, a["n"] + 1).otherwise(a["n"]) + cut).alias("n"), F.when(full, rest).otherwise(a["size"] + rest).alias("size"))
 
     return F.aggregate(lines, start, step)["n"]
 

@@ -50,6 +50,16 @@ def test_chunks_lose_nothing_and_fit(text, budget):
     assert "".join(parts) == text and all(len(p) <= budget for p in parts)
 
 
+def test_counted_chunks_are_those_of_packing(spark):
+    sizes = [(5000,), (2000,), (1999, 1), (1, 4000, 1), (2001,), (3, 4, 12), (0,), (1998, 0, 6001, 1997, 5), (3999, 0, 2000)]
+    texts = ["".join("x" * n + "\n" for n in s) for s in sizes]
+    df = spark.createDataFrame([(t[:-1],) for t in texts], "t string")
+    for budget in (7, 2000):
+        lines = F.transform(F.split("t", "\n"), lambda x: F.concat(x, F.lit("\n")))
+        got = [r[0] for r in df.coalesce(1).select(review.packed_sizes(lines, budget)).collect()]
+        assert got == [len(review.pack_lines(t, budget)) for t in texts]
+
+
 def test_memory_is_met_with_halves(spark):
     def model(system, user):
         if len(user) > 3:
