@@ -57,6 +57,12 @@ STAMP = re.compile(
     r"|создан[оа]? автоматически|сгенерирован|не (?:следует )?(?:редактировать|изменять|править)|自动生成|请勿(?:手动)?(?:修改|编辑)|自動生成|編集しないで|手で変更しないで|ツールが(?:生成|出力)",
     re.I,
 )
+#: Comments (and prologues) before the first line of another kind, for suffixes without a lexer; in prose "#" is a heading.
+_LEADING = re.compile(
+    r"\ufeff?(?:\s+|<\?xml[^>]*>|<!doctype[^>]*>|@charset[^;\n]*;|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\(\*[\s\S]*?\*\)|\{-[\s\S]*?-\}|(?://|--|::|[#;%']|@?rem\b)[^\n]*)*", re.I
+)
+_LEADING_PROSE = re.compile(r"\ufeff?(?:\s+|<!--[\s\S]*?-->|\[//\]:[ \t]*#[^\n]*|\.\.[ \t][^\n]*)*")
+PROSE = (".md", ".markdown", ".mdx", ".rst", ".txt", ".adoc")
 _WORDS = re.compile(r"\w+|[^\w\s]")
 _hash_of: dict[str, int] = {}
 
@@ -105,22 +111,19 @@ def far_prints(hashes: list[int]) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(np.array(hashes, np.uint64).tobytes(), digest_size=8).digest(), np.int64)
 
 
-def content_kind(text: str, lang: str | None, toks: list[tuple[str, int, int]]) -> str | None:
-    """generated, minified or data, if the text shows it."""
-    head = []
-    lines = 0
-    for kind, a, b in toks:
-        if kind == "C":
-            head.append(text[a:b])
-        elif kind == "L":
-            lines += 1
-        elif kind not in "HD" and not (kind == "W" and lang in ("go", "java") and text[a:b] == "package"):
-            break
-        if lines > 25 or a > 3000:
-            break
-    if lang is None:
-        head = [text[:400]]
-    if head and lang is not None and STAMP.search(re.sub(r"\s+(?:[*#/]+\s*)?", " ", " ".join(head))):
+def content_kind(text: str, lang: str | None, toks: list[tuple[str, int, int]], prose: bool = False) -> str | None:
+    """generated, minified or data, if the text shows it; the stamp of a tool may stand anywhere in the leading comments."""
+    if lang in (None, "json"):
+        head = re.sub(r"\s+(?:[*#/;%'-]+\s*)?", " ", (_LEADING_PROSE if prose else _LEADING).match(text)[0])
+    else:
+        comments = []
+        for kind, a, b in toks:
+            if kind == "C":
+                comments.append(text[a:b])
+            elif kind not in "LHD" and not (kind == "W" and lang in ("go", "java") and text[a:b] == "package"):
+                break
+        head = re.sub(r"\s+(?:[*#/]+\s*)?", " ", " ".join(comments))
+    if STAMP.search(head):
         return "generated"
     code = words = values = n_lines = packed = 0
     for kind, a, b in toks:
@@ -200,14 +203,15 @@ def _reader(libs):
                     prints.append(None)
                     owners.append(None)
                     continue
-                key = (lang, hash(text), len(text))
+                prose = path.lower().endswith(PROSE)
+                key = (lang, prose, hash(text), len(text))
                 got = known.get(key)
                 if got is None:
                     if len(known) > 50_000:
                         known.clear()
                         told.clear()
                     hashes, toks = _token_hashes(text, lang)
-                    kind = content_kind(text, lang, toks)
+                    kind = content_kind(text, lang, toks, prose)
                     if kind is None and _is_copy(winnow(hashes), owner_of, sizes):
                         kind = "copy"
                     found = far_prints(hashes) if kind is None else ()

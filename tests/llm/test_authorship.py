@@ -38,6 +38,23 @@ def test_content(text, path, want):
     assert kind(text, path) == want
 
 
+LICENCE = [" ".join("".join(random.Random(i * 9 + j).choices("abcdefghij", k=3 + j)) for j in range(2 + i % 7)) for i in range(60)]
+STAMPED = "Generated by mkstub from api.yaml. DO NOT EDIT."
+
+
+@pytest.mark.parametrize("path", ["a.py", "a.rb", "a.js", "a.h", "a.rs", "a.css", "a.sql", "a.yaml", "a.html", "a.json"])
+def test_stamps_below_long_licences(spark, path):
+    left, right = {"py": ("# ", ""), "rb": ("# ", ""), "yaml": ("# ", ""), "css": ("/* ", " */"), "sql": ("-- ", ""), "html": ("<!-- ", " -->")}.get(path[2:], ("// ", ""))
+    note = lambda *lines: "".join(f"{left}{x}{right}\n" for x in lines)
+    files = {"x/" + path: note(*LICENCE, STAMPED) + "a\n", "y/" + path: note(*LICENCE) + "a\n" + note(STAMPED)}
+    assert run(spark, [(1, "o/n", files, None, None)]) == {(1, "files", "x/" + path): "generated"}
+
+
+def test_headings_are_no_stamps(spark):
+    files = {"a.md": "# Auto-generated clients\n\nHow we make them.\n", "b.md": f"<!-- {STAMPED} -->\n# Clients\n"}
+    assert run(spark, [(1, "o/n", files, None, None)]) == {(1, "files", "b.md"): "generated"}
+
+
 PULL = "example_no long, repo string, files map<string,string>, repository_files map<string,string>, files_changed array<string>"
 
 
