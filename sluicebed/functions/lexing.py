@@ -118,6 +118,8 @@ def _js_template(text: str, i: int) -> int:
             i = _js_template(text, i)
             if i < 0:
                 return -1
+        elif ch == "/" and text[i + 1 : i + 2] not in ("/", "*") and text[:i].rstrip()[-1:] in "(,=:[!&|?{;" and (m := _regex_at.match(text, i)):
+            i = m.end()
         else:
             if ch == "{":
                 depth[-1] += 1
@@ -167,6 +169,18 @@ def _interpolated(text: str, i: int, lang: str) -> int:
     return -1
 
 
+def _closes_condition(out: list[tuple[str, int, int]], text: str) -> bool:
+    """True if the last token closes the condition of a statement, after which a slash begins a pattern."""
+    depth, i = 0, len(out) - 1
+    while i >= 0:
+        kind = out[i][0]
+        depth += (kind == ")") - (kind == "(")
+        if depth == 0 and kind == "(":
+            return i > 0 and text[out[i - 1][1] : out[i - 1][2]] in ("if", "while", "for", "with")
+        i -= 1
+    return False
+
+
 def tokens(text: str, lang: str, pos: int = 0, inside: bool = False) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all tokens from pos on, without blanks; inside: the text goes on from earlier code."""
     out: list[tuple[str, int, int]] = []
@@ -218,6 +232,8 @@ def tokens(text: str, lang: str, pos: int = 0, inside: bool = False) -> list[tup
                 opens = prev is None or prev[0] in "O([{;" or (prev[0] == "W" and text[prev[1] : prev[2]] in _BEFORE_REGEX)
                 if not opens and lang == "rb" and prev[0] == "W" and text[m.start() - 1] in " \t" and text[m.end() : m.end() + 1] not in (" ", "="):
                     opens = True
+                if not opens and lang != "rb" and prev[0] == ")":
+                    opens = _closes_condition(out, text)
                 e = _regex_at.match(text, m.start()) if opens else None
                 if e:
                     add(("S", m.start(), e.end()))
