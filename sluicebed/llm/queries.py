@@ -55,7 +55,7 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.invalid_files(table(spark, d, "pull_example"))
+    return syntax.invalid_files(table(spark, d, "pull_example")).select("example_no", "field", "path")
 
 
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Source files that do not parse.
 
 A chunk of a file is read into a lexer-state map: for each state in which the chunk may begin (code, inside a comment,
-inside a string that may span lines) the state in which it ends and its class string, one character per token. Maps are
-joined in order, associatively; brackets are summed up as unmatched closers and openers. Once all chunks of a file are
-joined, its balanced statements are checked by local grammars: patterns over the class string that no valid program of the
-language contains. Files up to CHUNK characters are one chunk; longer ones are cut at line ends, their chunks are read by
-different tasks and joined by file. Python statements are parsed by Python's own grammar, JSON by a strict reader.
+inside a string that may span lines) the state in which it ends and its classes, one per token. Balanced stretches in
+braces are parsed where they lie by the local grammar of the language (`grammars`) and shrink to a class that tells the
+roles they can play, so a chunk's summary is its unmatched brackets with little between them. Maps are joined in order,
+associatively; those of files with several chunks are reduced across tasks in levels, without their texts. What remains of
+a file is parsed last. Python files are parsed by Python's own grammar, JSON by a strict reader.
+
+Statuses: "invalid", or "deep" where a parser gave up because of nesting, which is never taken as valid.
 
 Cases: null, empty and blank sources are valid; null paths and other suffixes give no row; a null map gives none; copies of
 one source are parsed once per task; texts of any length are read whole.
@@ -14,8 +16,10 @@ one source are parsed once per task; texts of any length are read whole.
 from __future__ import annotations
 
 import ast
+import hashlib
 import json
 import re
+import sys
 import warnings
 from collections.abc import Iterator
 
@@ -24,322 +28,136 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluicebed.functions.lexing import SUFFIXES
 from sluicebed.functions.names import repo_name
-from sluicebed.functions.lexing import SUFFIXES, tokens
+from sluicebed.llm.grammars import GRAMMARS
+from sluicebed.llm.grammars.terminals import chunks, classes, join, state_map
+from sluicebed.llm.grammars.terminals import START, WRONG
 from sluicebed.plans.shared import written
 
-CHUNK = 262_144
-PARSE_WHOLE = 1_000_000
-
-# Words with a role in the grammar of each language. k: may stand before an operand; c: takes a condition.
-_K = {
-    "js": "return throw new case typeof in of else do instanceof await yield delete void extends const let var static function class import export default async get set from as",
-    "java": "return throw new case else do instanceof extends implements throws package import public private protected final static abstract class interface enum record void native synchronized transient volatile default int long short byte char float double boolean assert var sealed permits non strictfp this super yield when",
-    "c": "return case else do const static int char void unsigned signed long short float double struct union enum extern register volatile inline typedef goto sizeof auto restrict bool size_t",
-    "go": "return go defer case else func var const type package import range chan struct interface map goto select default break continue fallthrough",
-    "php": "return throw new case else do instanceof extends implements namespace use as function fn class interface trait enum abstract final public private protected static const echo print include include_once require require_once global var clone yield from insteadof and or xor goto default readonly array callable match",
-    "rb": "return and or not in then else do raise yield if unless while until rescue ensure when elsif end",
-}
-_C = {
-    "js": "if for while switch catch with", "java": "if for while switch catch try", "c": "if for while switch",
-    "go": "if for switch", "php": "if for foreach while switch catch elseif declare", "rb": "",
-}
-#: Words that open declarations in other languages and never do in this one.
-_F = {
-    "js": "def func elif elsif", "java": "function def func let const elif elsif end", "c": "function def func let var package import throw new class public private raise elif elsif",
-    "go": "function def let class public private static elif throw raise", "php": "def func let elif package import", "rb": "",
-}
-_K["ts"] = _K["js"] + " type interface declare namespace module abstract readonly is keyof infer enum public private protected implements satisfies asserts unique override accessor out global"
-_C["ts"], _F["ts"] = _C["js"], _F["js"]
-_WORD = {lang: {w: "k" for w in _K[lang].split()} | {w: "c" for w in _C[lang].split()} | {w: "f" for w in _F[lang].split()} for lang in _K}
-#: Words that only begin a statement; where statements end with a mark, none follows a value.
-_BEGIN = {"java": "return break continue", "c": "return break continue goto", "php": "return break continue echo"}
-for _lang, _words in _BEGIN.items():
-    _WORD[_lang] |= {w: "r" for w in _words.split()}
-_BINARY = {"==", "!=", "===", "!==", "&&", "||", "/", "%", "<=", ">=", "??", "<=>", "=~", "!~", "**", "^"}
-_ASSIGN = {"=", ":=", "+=", "-=", "*=", "/=", "%=", "|=", "&=", "^=", "<<=", ">>=", ">>>=", ".=", "**=", "&&=", "||=", "??=", "&^="}
-_RB_OPEN = {"def", "class", "module", "begin", "case", "do", "for"}
-_RB_COND = {"if", "unless", "while", "until"}
-
-#: What no valid statement holds, by language, over class strings.
-_NEVER = {
-    "js": r"[=b]\s*[=b]|[=b][;)\]},]|(?:^|[;{(\[,])\s*[=b]|@@|[wns\]] *[ws](?![kw])|[wns]n|f[wn]|\)n|^\s*[=b<]",
-    "java": r"[=b][=b]|[=b][;)\]},]|(?:^|[;{(\[,])[=b]|[ns][wns]|w[ns]|www|f[wn]|[ns\]]r|=[wns]\}|^[^kf@;#]",
-    "c": r"[=b][=b]|[=b][;)\]},]|(?:^|[;{(\[,])[=b]|n[wns]|wn|f[w]|[ns\]]r|\):|^[=b]",
-    "go": r"[=b]\s*[=b]|[=b][;)\]},]|(?:^|[;{(\[,])\s*[=b]|[ns][wn]|f[w]",
-    "php": r"[=b][=b]|[=b][;)\]},]|(?:^|[;{(\[,])[=b]|[vns][vwn]|ns|vs|ww|w[ns](?!:)|f[w]|[vns\]]r|=[vns]\}",
-    "rb": r"[=b]\s*[=b](?!\()|(?<!:w)(?<!:)[b=][;)\]},]|[ns][wn]|\):\n",
-}
-_NEVER["ts"] = _NEVER["js"].replace("|@@", "")
-_never = {lang: re.compile(p) for lang, p in _NEVER.items()}
-_LINES = {"js", "ts", "go", "rb"}
-_DIFF = re.compile(r"\A(?:diff --git [^\n]*\n(?:[^\n]*\n){0,4}?)?--- [^\n]*\n\+\+\+ [^\n]*\n@@ -\d")
-#: States other than code in which a chunk may begin, and where they end.
-STATES = {
-    "js": {"block": r"\*/"}, "ts": {"block": r"\*/"}, "java": {"block": r"\*/", "text": r'(?<!\\)"""'}, "c": {"block": r"\*/"},
-    "go": {"block": r"\*/", "`": "`"}, "php": {"html": "", "block": r"\*/", '"': r'(?:[^"\\]|\\[\s\S])*?"', "'": r"(?:[^'\\]|\\[\s\S])*?'"},
-    "rb": {'"': r'(?:[^"\\]|\\[\s\S])*?"', "'": r"(?:[^'\\]|\\[\s\S])*?'"},
-}
-
-
-#: The state in which a file begins, where it isn't code.
-START = {"php": "html"}
-
-
-def classes(text: str, lang: str, state: str | None = None) -> tuple[str, str]:
-    """The class string of a chunk that begins in this state, and the state in which it ends.
-
-    A state that STATES does not name stands for an unclosed construct that only a reading from its beginning can close.
-    """
-    pos, head = 0, ""
-    state = state or START.get(lang, "code")
-    if state not in ("code", "html"):
-        rule = STATES[lang][state]
-        m = re.compile(rule).match(text) if state in "\"'" else re.compile(rule).search(text)
-        if not m:
-            return "", state
-        pos, head = m.end(), "" if state == "block" else "s"
-    word, lines = _WORD[lang], lang in _LINES
-    out = [head]
-    toks = tokens(text, lang, pos, inside=state != "html")
-    for kind, a, b in toks:
-        if kind in "([{)]}":
-            out.append(kind)
-        elif kind == "W":
-            t = text[a:b]
-            out.append("v" if t[0] == "$" and lang == "php" else word.get(t, "w"))
-        elif kind == "O":
-            t = text[a:b]
-            if lang == "php" and t[:2] == "?>":
-                t = ";"
-            out.append("b" if t in _BINARY else "=" if t in _ASSIGN else t if len(t) == 1 and t in ";,:.?@<" else "o")
-        elif kind == "L":
-            if lines:
-                out.append("\n")
-        elif kind in "SN":
-            out.append("E" if kind == "N" and text[b - 1] == "_" and lang != "c" else kind.lower())
-        elif kind == "C":
-            continue
-        elif kind == "D":
-            out.append("#")
-        elif kind == "H":
-            out.append(";")
-        elif kind == "V":
-            return "".join(out) + "E", f"?{a}"
-        elif kind == "U":
-            opened = text[a : a + 3]
-            name = "block" if opened[:2] == "/*" else "text" if opened == '"""' else opened[:1]
-            if name in STATES[lang]:
-                return "".join(out), name
-            return "".join(out) + "E", f"?{a}"
-        else:
-            out.append("E")
-    if lang == "php" and (text.startswith("?>", toks[-1][1]) if toks and toks[-1][0] != "H" else state == "html"):
-        return "".join(out), "html"
-    return "".join(out), "code"
-
-
-def state_map(chunk: str, lang: str, first: bool) -> dict[str, tuple[str, str]]:
-    """Begin state -> (class string, end state); the first chunk of a file begins in code."""
-    return {s: classes(chunk, lang, s) for s in ([START.get(lang, "code")] if first else ["code", *STATES.get(lang, {})])}
-
-
-def joined(maps: list[dict], chunks: list[str], lang: str) -> tuple[str, str]:
-    """The class string and end state of a file from the maps of its chunks, in order.
-
-    Where a chunk ends in a construct without a named state (a template or here-document), it is read again together with
-    the next one.
-    """
-    done, state, held = [], START.get(lang, "code"), ""
-    for m, text in zip(maps, chunks, strict=True):
-        if held:
-            got, end = classes(held + text, lang, state)
-        else:
-            got, end = m[state] if state in m else classes(text, lang, state)
-        if end[0] == "?":
-            held += text
-            last = got
-            continue
-        done.append(got)
-        state, held = end, ""
-    if held:
-        done.append(last)
-        state = "?"
-    return "".join(done), state
-
-
-def brackets(s: str) -> tuple[str, str, bool]:
-    """(unmatched closers, unmatched openers, mismatch) of a class string."""
-    pair = {")": "(", "]": "[", "}": "{"}
-    closers, stack = [], []
-    for ch in re.findall(r"[()\[\]{}]", s):
-        if ch in "([{":
-            stack.append(ch)
-        elif not stack:
-            closers.append(ch)
-        elif stack.pop() != pair[ch]:
-            return "", "", True
-    return "".join(closers), "".join(stack), False
-
-
-def join_brackets(a: tuple[str, str, bool], b: tuple[str, str, bool]) -> tuple[str, str, bool]:
-    """The summary of two neighbouring stretches; associative."""
-    pair = {")": "(", "]": "[", "}": "{"}
-    openers, closers = a[1], b[0]
-    while openers and closers:
-        if openers[-1] != pair[closers[0]]:
-            return "", "", True
-        openers, closers = openers[:-1], closers[1:]
-    return a[0] + closers, openers + b[1], a[2] or b[2]
-
-
-def _ruby_ends(text: str) -> bool:
-    """True if Ruby's block words and their ends pair up."""
-    depth, start, loop = 0, True, False
-    prev = ""
-    for kind, a, b in tokens(text, "rb"):
-        if kind in "CL":
-            if kind == "L":
-                start, loop = prev not in (".", "&."), False
-            continue
-        t = text[a:b]
-        if kind == "W" and prev not in (".", "&.", "def", ":", "::") and text[b : b + 1] != ":":
-            if t == "end":
-                depth -= 1
-                if depth < 0:
-                    return False
-            elif t in _RB_OPEN:
-                if t == "do" and loop:
-                    loop = False
-                else:
-                    depth += 1
-                    loop = loop or t == "for"
-                if t == "def" and re.match(r"[ \t]+(?:\w+\.)?(?:\w+[?!]?|[-=<>+*/%!~^&|\[\]]+)(?:\([^()\n]*\))?[ \t]*=[ \t]", text[b : b + 200]):
-                    depth -= 1
-            elif t in _RB_COND and (start or prev in ("=", "(", "[", ",", "return", "<<", "||", "&&", "=>", "then", "do", "else", "||=")):
-                depth += 1
-                loop = t in ("while", "until")
-        start = t in (";", "{", "(", "then", "do", "else", "begin", "|") or (kind == "S" and False)
-        prev = t
-    return depth == 0
-
-
-def _top_level(s: str) -> str:
-    """The class string with everything inside brackets left out."""
-    while True:
-        t = re.sub(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", lambda m: {"(": "p", "[": "q", "{": "z"}[m[0][0]], s)
-        if t == s:
-            return s
-        s = t
-
-
-def _statements_fail(s: str, state: str, lang: str, text: str) -> bool:
-    if state not in ("code", "html") or "E" in s:
-        return True
-    closers, openers, crossed = brackets(s)
-    if closers or openers or crossed or _never[lang].search(s):
-        return True
-    flat = s.strip("\n")
-    if not flat:
-        return False
-    if lang in ("java", "c", "php"):
-        return flat[-1] not in ";}#"
-    if lang in ("js", "ts"):
-        return flat[-1] in "=bkcfo.?,:@<" and not re.search(r"(?:[wv)\]]o)$", flat) or bool(re.search(r"k(?:w\s*)?p?$", _top_level(flat)[-6:]) and re.search(r"\b(?:function|class|const|import)\b[^\n{}=;]*\Z", text.rstrip()))
-    if lang == "go":
-        top = _top_level(flat)
-        if not re.match(r"\s*package[ \t]+\w+[ \t]*(?:;|\r?\n|//|/\*|\Z)", _code_start(text)):
-            return True
-        return flat[-1] in "=bcfo.,:<" and not re.search(r"wo$", flat) or any(line and line[0] not in "k};" for line in re.split(r"[\n;]+", top))
-    return not _ruby_ends(text)
-
-
-def _code_start(text: str) -> str:
-    """The text from its first line that is neither blank nor comment."""
-    m = re.match(r"(?:\s+|//[^\n]*|/\*[\s\S]*?\*/)*", text)
-    return text[m.end() :]
-
-
-def _python_blocks(text: str) -> list[str]:
-    """Stretches of top-level statements of a very long Python text, each of which parses by itself."""
-    out, start, depth = [], 0, 0
-    last_line = True
-    for kind, a, _ in tokens(text, "py"):
-        if kind in "([{":
-            depth += 1
-        elif kind in ")]}":
-            depth -= 1
-        elif kind == "L":
-            last_line = True
-            continue
-        if last_line and depth == 0 and (a == 0 or text[a - 1] == "\n") and a - start > PARSE_WHOLE // 4 and not re.match(r"(?:else|elif|except|finally|case)\b|[)\]}@#]", text[a : a + 8]):
-            if not re.search(r"^@[^\n]*\n\Z", text[max(0, a - 300) : a], re.M):
-                out.append(text[start:a])
-                start = a
-        last_line = False
-    return [*out, text[start:]]
+CHUNK = 16_384
+FAN = 8  # maps joined by one task of a level
+DEPTH = 200_000  # frames of a grammar, which calls itself for nested brackets
+INVALID, DEEP = "invalid", "deep"
+
+_verdicts: dict[str, str | None] = {}
+
+
+def verdict(got: list[str], lang: str) -> str | None:
+    """Status of a whole file's classes, None if they are valid."""
+    if WRONG in got:
+        return INVALID
+    key = f"{lang} {' '.join(got)}"
+    if len(key) > 20_000:
+        key = ""
+    if key in _verdicts:
+        return _verdicts[key]
+    if sys.getrecursionlimit() < DEPTH:
+        sys.setrecursionlimit(DEPTH)
+    try:
+        out = None if GRAMMARS[lang].accepts(got) else INVALID
+    except RecursionError:
+        out = DEEP
+    if key:
+        if len(_verdicts) > 20_000:
+            _verdicts.clear()
+        _verdicts[key] = out
+    return out
 
 
-def _python_fails(text: str) -> bool:
-    parts = [text] if len(text) <= PARSE_WHOLE else _python_blocks(text)
+def _python(text: str) -> str | None:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        for p in parts:
-            try:
-                ast.parse(p)
-            except (SyntaxError, ValueError):
-                return True
-            except (RecursionError, MemoryError):
+        try:
+            ast.parse(text)
+        except (SyntaxError, ValueError):
+            return INVALID
+        except (RecursionError, MemoryError):
+            return DEEP
+    return None
+
+
+_JSON = re.compile(
+    r'[ \t\n\r]*(?:(?P<open>[{\[])|(?P<close>[}\]])|(?P<comma>,)|(?P<colon>:)|(?P<string>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")'
+    r"|(?P<value>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))"
+)
+
+
+def _json_steps(text: str) -> bool:
+    """True if the text is valid JSON, whatever its depth: one step a token, with a stack of open brackets."""
+    stack: list[str] = []
+    want = "value"  # value, first (a value or the end of a list), key, firstkey, colon, next
+    pos, end = 0, len(text.rstrip(" \t\n\r"))
+    while pos < end:
+        m = _JSON.match(text, pos)
+        if not m:
+            return False
+        pos, kind, t = m.end(), m.lastgroup, m.group(m.lastgroup)
+        if kind == "open" and want in ("value", "first"):
+            stack.append(t)
+            want = "firstkey" if t == "{" else "first"
+            continue
+        if kind == "close":
+            if not stack or want not in (("firstkey", "next") if t == "}" else ("first", "next")) or stack.pop() != {"}": "{", "]": "["}[t]:
                 return False
-    return False
+            want = "next" if stack else "end"
+        elif kind == "comma" and want == "next":
+            want = "key" if stack[-1] == "{" else "value"
+        elif kind == "colon" and want == "colon":
+            want = "value"
+        elif kind == "string" and want in ("key", "firstkey"):
+            want = "colon"
+        elif kind in ("string", "value") and want in ("value", "first"):
+            want = "next" if stack else "end"
+        else:
+            return False
+    return want == "end"
 
 
-def _json_fails(text: str) -> bool:
+def _json(text: str) -> str | None:
     def no_constant(name: str):
         raise ValueError(name)
 
     try:
         json.loads(text, parse_constant=no_constant)
     except ValueError:
-        return True
+        return INVALID
     except RecursionError:
-        return False
-    return False
+        return None if _json_steps(text) else INVALID
+    return None
 
 
-def fails(text: str | None, lang: str) -> bool:
-    """True if the whole text is not syntactically valid."""
+def status(text: str | None, lang: str, chunk: int = CHUNK) -> str | None:
+    """Status of a whole text, None if it is valid."""
     if text is None or not text.strip():
-        return False
+        return None
     if lang == "py":
-        return _python_fails(text)
+        return _python(text)
     if lang == "json":
-        return _json_fails(text)
-    if _DIFF.match(text):
-        return True
-    if len(text) <= CHUNK:
-        s, state = classes(text, lang)
-    else:
-        cut = chunks(text)
-        s, state = joined([state_map(c, lang, not i) for i, c in enumerate(cut)], cut, lang)
-    return _statements_fail(s, state, lang, text)
-
-
-_NO_CUT = re.compile(r"[ \t]*/(?![/*])")  # a slash whose meaning depends on what stands before
-
-
-def chunks(text: str, size: int | None = None) -> list[str]:
-    """Stretches of about size characters that end with lines, but not with continued ones."""
-    size = size or CHUNK
-    out, at = [], 0
-    while at < len(text):
-        end = text.find("\n", min(len(text), at + size) - 1) + 1
-        while end and (text[:end].endswith(("\\\n", "\\\r\n")) if end < 4 else text[end - 3 : end].endswith(("\\\n", "\\\r\n"))) or end and _NO_CUT.match(text, end):
-            end = text.find("\n", end) + 1
-        end = end or len(text)
-        out.append(text[at:end])
-        at = end
-    return out
+        return _json(text)
+    if len(text) <= chunk:
+        got, state = classes(text, lang)
+        return verdict(got, lang) if state in ("code", "html") else INVALID
+    maps = [state_map(c, lang, not i) for i, c in enumerate(chunks(text, lang, chunk))]
+    return joined_status(maps, lang)
+
+
+def joined_status(maps: list[dict], lang: str) -> str | None:
+    whole = joined(maps, lang)
+    got, state = whole[START.get(lang, "code")]
+    return verdict(got, lang) if state in ("code", "html") else INVALID
+
+
+def joined(maps: list[dict], lang: str) -> dict:
+    """The map of neighbouring maps, joined by pairs."""
+    while len(maps) > 1:
+        maps = [join(maps[i], maps[i + 1], lang) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
+
+
+def fails(text: str | None, lang: str) -> bool:
+    """True if the whole text is not syntactically valid."""
+    return status(text, lang) is not None
 
 
 def _language(path):
@@ -362,81 +180,101 @@ def sources(pulls: DataFrame, fields: tuple[str, ...] = ("files", "repository_fi
 
 
 _OUT = "example_no long, field string, path string"
-_FIRST = pa.schema([("example_no", pa.int64()), ("field", pa.string()), ("path", pa.string()), ("lang", pa.string()), ("chunk_no", pa.int32()), ("chunk", pa.string())])
+_FIRST = pa.schema(
+    [("example_no", pa.int64()), ("field", pa.string()), ("path", pa.string()), ("lang", pa.string()), ("status", pa.string()), ("mark", pa.string()), ("chunk_no", pa.int32()), ("states", pa.string())]
+)
+
+
+def _packed(maps: dict) -> str:
+    return json.dumps({s: [" ".join("\\n" if x == "\n" else x for x in got), end] for s, (got, end) in maps.items()})
+
+
+def _unpacked(packed: str) -> dict:
+    return {s: (["\n" if x == "\\n" else x for x in got.split(" ")] if got else [], end) for s, (got, end) in json.loads(packed).items()}
 
 
 def _check(chunk: int):
-    """Invalid files as one row without chunk; longer files as one row per chunk, not judged yet."""
+    """Invalid files with their status; files of several chunks with a mark, and once per mark and task the chunks' maps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, int, int], bool] = {}
+        known: dict[tuple[str, int, int], tuple] = {}
         for b in batches:
-            keep, numbers, texts = [], [], []
+            keep, statuses, marks = [], [], []
             for i, (lang, text) in enumerate(zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), strict=True)):
-                if len(text) > chunk and lang not in ("py", "json"):
-                    for n, part in enumerate(chunks(text, chunk)):
-                        keep.append(i)
-                        numbers.append(n)
-                        texts.append(part)
-                    continue
                 key = (lang, hash(text), len(text))
-                bad = known.get(key)
-                if bad is None:
+                got = known.get(key)
+                if got is None:
                     if len(known) > 200_000:
                         known.clear()
-                    bad = known[key] = fails(text, lang)
-                if bad:
+                    if len(text) > chunk and lang in GRAMMARS and text.strip():
+                        mark = hashlib.blake2b(f"{lang}\n{text}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+                        got = (None, mark)
+                        for n, part in enumerate(chunks(text, lang, chunk)):
+                            row = [None, None, None, lang, None, mark, n, _packed(state_map(part, lang, n == 0))]
+                            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _FIRST, strict=True)], schema=_FIRST)
+                    else:
+                        got = (status(text, lang, chunk), None)
+                    known[key] = got
+                if got[0] or got[1]:
                     keep.append(i)
-                    numbers.append(None)
-                    texts.append(None)
+                    statuses.append(got[0])
+                    marks.append(got[1])
             if keep:
                 own = b.select(["example_no", "field", "path", "lang"]).take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], schema=_FIRST)
+                none = pa.nulls(len(keep))
+                yield pa.RecordBatch.from_arrays(
+                    [*own.columns, pa.array(statuses, pa.string()), pa.array(marks, pa.string()), none.cast(pa.int32()), none.cast(pa.string())], schema=_FIRST
+                )
 
     return run
 
 
-def _read_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        pdf["states"] = [json.dumps(state_map(t, g, n == 0)) for t, g, n in zip(pdf["chunk"], pdf["lang"], pdf["chunk_no"], strict=True)]
-        yield pdf
+def _join_some(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The joined map of neighbouring chunks of one file."""
+    pdf = pdf.sort_values("chunk_no")
+    lang = pdf["lang"].iloc[0]
+    whole = joined([_unpacked(x) for x in pdf["states"]], lang)
+    return pd.DataFrame({"mark": [pdf["mark"].iloc[0]], "lang": [lang], "chunk_no": [int(pdf["group"].iloc[0])], "states": [_packed(whole)]})
 
 
-def _join_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("chunk_no")
-    texts, lang = pdf["chunk"].tolist(), pdf["lang"].iloc[0]
-    s, state = joined([{k: tuple(v) for k, v in json.loads(x).items()} for x in pdf["states"]], texts, lang)
-    text = "".join(texts)
-    bad = bool(_DIFF.match(text)) or _statements_fail(s, state, lang, text)
-    return pdf[["example_no", "field", "path"]].head(int(bad))
+def _last(pdf: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in pdf:
+        p["status"] = [joined_status([_unpacked(x)], g) for x, g in zip(p["states"], p["lang"], strict=True)]
+        yield p[["mark", "status"]]
 
 
 def invalid_files(pulls: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(example_no, field, path) of the files that are not valid in the language of their suffix.
+    """(example_no, field, path, status) of the files that are not valid in the language of their suffix.
 
-    One scan judges the short files and cuts the long ones; what it gives is written once, a small table.
+    One scan judges files of one chunk and reads the chunks of the others into maps; what it gives is written once, a small
+    table. Maps are joined FAN at a time in as many levels as the longest file needs; only maps are shuffled.
     """
-    first = written(sources(pulls).mapInArrow(_check(chunk), f"{_OUT}, lang string, chunk_no int, chunk string"))
-    short = first.filter("chunk is null").select("example_no", "field", "path")
-    long = (
-        first.filter("chunk is not null")
-        .repartition("example_no", "field", "path", "chunk_no")
-        .mapInPandas(_read_chunks, f"{_OUT}, lang string, chunk_no int, chunk string, states string")
-        .groupBy("example_no", "field", "path")
-        .applyInPandas(_join_chunks, _OUT)
-    )
-    return short.unionByName(long)
+    first = written(sources(pulls).mapInArrow(_check(chunk), f"{_OUT}, lang string, status string, mark string, chunk_no int, states string"))
+    short = first.filter("status is not null").select("example_no", "field", "path", "status")
+    maps = first.filter("chunk_no is not null").select("mark", "lang", "chunk_no", "states").dropDuplicates(["mark", "chunk_no"])
+    most = first.agg(F.max("chunk_no")).first()[0]
+    if most is None:
+        return short
+    while most > 0:
+        most //= FAN
+        maps = maps.withColumn("group", F.floor(F.col("chunk_no") / FAN).cast("int")).groupBy("mark", "group").applyInPandas(
+            _join_some, "mark string, lang string, chunk_no int, states string"
+        )
+    judged = maps.mapInPandas(_last, "mark string, status string").filter("status is not null")
+    long = first.filter("mark is not null and example_no is not null").select("example_no", "field", "path", "mark").join(judged, "mark")
+    return short.unionByName(long.select("example_no", "field", "path", "status"))
 
 
 def invalid_rates(pulls: DataFrame) -> DataFrame:
-    """(repo, lang, n_files, n_invalid, rate): repo is the canonical name, null where missing."""
+    """(repo, lang, n_files, n_invalid, n_deep, rate): repo is the canonical name, null where missing; n_deep counts the
+    files among n_invalid whose nesting a parser couldn't follow."""
     all_files = sources(pulls).select("example_no", "field", "path", "lang").join(
-        invalid_files(pulls).withColumn("bad", F.lit(1)), ["example_no", "field", "path"], "left"
+        invalid_files(pulls), ["example_no", "field", "path"], "left"
     )
     repos = pulls.select("example_no", repo_name(F.col("repo")).alias("repo"))
     return (
         all_files.join(repos, "example_no")
         .groupBy("repo", "lang")
-        .agg(F.count("*").alias("n_files"), F.count("bad").alias("n_invalid"))
+        .agg(F.count("*").alias("n_files"), F.count("status").alias("n_invalid"), F.count_if(F.col("status") == DEEP).alias("n_deep"))
         .withColumn("rate", F.col("n_invalid") / F.col("n_files"))
     )
