@@ -15,7 +15,7 @@ OPEN = (BINARY - {"..", "..."}) | ASSIGN | frozenset(", ( [ { _( _[ => l . &. ::
 #: Classes with which an argument without parentheses begins.
 ARGUMENT = frozenset("w n s l u- u* u** u& u:: _[ _( -> ~ nil true false self not defined? super yield case def __FILE__ __LINE__ __ENCODING__ u! u.. u<< begin".split())
 STOPS = frozenset("\n ) ] } then do if unless while until rescue and or , => : end | in".split()) | {""}
-OPERATORS = frozenset("+ - * / % ** & | ^ << >> == != === =~ !~ <=> < > <= >= ! ~ [ _[ u- u+ ` u* u& u<<".split())
+OPERATORS = frozenset("+ - * / % ** & | ^ << >> == != === =~ !~ <=> < > <= >= ! ~ [ _[ u- u+ u! u~ ` u* u& u<<".split())
 
 
 class RubySource(Grammar):
