@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -74,6 +75,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(big: DataFrame, small: DataFrame, key: str, total: int, most: int = 10_000) -> DataFrame:
+    """big joined with small, which has one row a key, such that no key fills a task.
+
+    A key is hot if it holds at least 1/most of total, a number that is not below the rows of big; so at most `most` keys
+    are hot, and their rows of small are broadcast. All other keys hold fewer rows each and are shuffled.
+    """
+    counts = big.groupBy(key).count()
+    hot = written(counts.filter(F.col("count") * most >= max(1, total)).filter("count > 1000").select(key))
+    if hot.isEmpty():
+        return big.join(small, key)
+    few = written(small.join(F.broadcast(hot), key))
+    return big.join(F.broadcast(few), key).unionByName(big.join(F.broadcast(hot), key, "left_anti").join(small, key))
+
+
+def broadcast_below(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows; otherwise the planner's join takes it. df should be written."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def few_files(df: DataFrame, columns: list[str], most: int = 4) -> DataFrame:
     """columns of at most `most` of df's Parquet files, evenly spaced by name, for fitting on a bounded sample; all of df
     where it isn't read from Parquet files."""

@@ -1,6 +1,8 @@
 import os
 
-from sluicebed.plans.shared import clear, few_files, shared_dir, ship, written
+from pyspark.sql import functions as F
+
+from sluicebed.plans.shared import broadcast_below, clear, few_files, join_hot, shared_dir, ship, written
 
 
 def test_tables_in_the_shared_folder(spark, tmp_path):
@@ -29,3 +31,20 @@ def test_code_is_shipped_once(spark):
     ship(spark)
     ship(spark)
     assert sum("sluicebed" in f for f in spark.sparkContext.listFiles) == 1
+
+
+def test_hot_keys_are_joined_apart(spark):
+    big = spark.range(6000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    small = spark.range(0, 6000, 7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    want = sorted(map(tuple, big.join(small, "k").collect()))
+    for most in (1, 3, 10_000):
+        assert sorted(map(tuple, join_hot(big, small, "k", 6000, most).collect())) == want
+    hot = join_hot(big, small, "k", 6000, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in hot and "LeftAnti" in hot
+    assert join_hot(big.limit(0), small, "k", 0).count() == 0
+
+
+def test_small_tables_are_broadcast(spark):
+    df = written(spark.range(10).toDF("k"))
+    plan = lambda most: spark.range(5).toDF("k").join(broadcast_below(df, most), "k")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(10).lower() and "broadcast" not in plan(9).lower()
