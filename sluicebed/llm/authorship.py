@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from sluicebed.functions.names import repo_name
 from sluicebed.functions.lexing import SUFFIXES, tokens
-from sluicebed.plans.shared import written
+from sluicebed.plans.shared import broadcast_below, join_hot, written
 
 GRAM, WINDOW = 6, 6
 IN_LIBRARY, OF_LIBRARY = 0.6, 0.5  # shares of the file and of the library that a copy holds
-SALTS = 16
+LIBRARIES = 50_000
+MARKS = 2_000_000  # most marks of texts that are broadcast
 #: Fingerprints for recurrence span several statements, so that none recurs by chance however large the corpus is.
 FAR_GRAM, FAR_WINDOW = 32, 16
 OWNERS, RECUR, LEAST = 8, 0.8, 6  # owners that share a fingerprint, share of such fingerprints, fingerprints of a file
@@ -48,15 +49,71 @@ TOOLED = (
 )
 BY_PATH = r"(?:^|/)(?:" + FOLDERS + r")/|(?:^|/)(?:" + "|".join(re.escape(x) for x in LOCKS) + r")$|" + "|".join(TOOLED)
 
-# What tools write at the head of their output.
-STAMP = re.compile(
-    r"@generated\b|\bauto-?\s?generated\b|\bautomatically generated|\bgenerated automatically|\b(?:code|file|source) generated by|generated (?:by|from|with) \S+[^.]*\b(?:do not|don't)|do not (?:edit|modify)\b"
-    r"|\bproduced by \S+ from|\bregenerate with|changes will be lost|edits made here are overwritten|overwritten by the next|output of \S+ [\d.]+, regenerate"
-    r"|automatisch (?:erzeugt|generiert)|nicht von hand (?:ge)?[aä]ndern|creado por una herramienta|generado autom[aá]ticamente|no (?:se debe )?editar"
-    r"|produit par un outil|g[eé]n[eé]r[eé] automatiquement|ne pas modifier|modification manuelle sera perdue|gerado (?:automaticamente|por uma ferramenta)|n[aã]o (?:deve ser )?edit"
-    r"|создан[оа]? автоматически|сгенерирован|не (?:следует )?(?:редактировать|изменять|править)|自动生成|请勿(?:手动)?(?:修改|编辑)|自動生成|編集しないで|手で変更しないで|ツールが(?:生成|出力)",
-    re.I,
+# Words with which a leading comment says that a tool wrote the file, by their part in the sentence, as stems
+# in en, de, es, fr, pt, ru, zh and ja.
+SUBJECT = (
+    "file", "code", "source", "module", "script", "header", "document", "output", "datei", "quelltext", "archivo", "fichero", "código", "fichier", "arquivo", "ficheiro", "файл", "код",
+    "文件", "代码", "ファイル", "コード",
+)
+GENERATED = ("generated", "regenerated", "autogenerated", "auto-generated", "emitted", "generiert", "erzeugt", "generado", "généré", "gerado", "сгенерирован", "生成")
+MADE = ("produced", "created", "built", "written", "compiled", "output of", "erstellt", "geschrieben", "creado", "producido", "produit", "créé", "criado", "produzido", "создан", "написан", "作成", "出力", "创建")
+TOOL = (
+    "automatic", "tool", "generator", "compiler", "build", "regenerate", "machine", "automatisch", "werkzeug", "automátic", "herramienta", "outil", "automatique", "ferramenta",
+    "автоматическ", "инструмент", "генератор", "工具", "自动", "自動", "ツール",
+)
+EDIT = (
+    "edit", "modif", "change", "alter", "touch", "änder", "bearbeit", "cambi", "changement", "alter", "mudanç", "редактир", "измен", "прав", "修改", "编辑", "更改", "編集", "変更",
+)
+NEVER = ("do not", "don't", "never", "must not", "should not", "instead of", "nicht", "kein", "no ", "ne pas", "ne ", "não", "не ", "请勿", "不要", "勿", "ないで", "しない")
+LOST = ("lost", "overwritten", "overwrite", "discarded", "wiped", "verloren", "überschrieben", "perder", "perdid", "sobrescri", "perdu", "écras", "потеря", "перезапис", "丢失", "覆盖", "失われ", "上書き")
+_LETTER = r"(?<![A-Za-z\u00c0-\u024f\u0400-\u04ff])"  # where a word of an alphabetic script may begin
+_part = {
+    name: _LETTER + "(?:" + "|".join(re.escape(w) for w in words) + ")"
+    for name, words in (("subject", SUBJECT), ("generated", GENERATED), ("made", MADE), ("tool", TOOL), ("edit", EDIT), ("never", NEVER), ("lost", LOST))
+}
+_near = r"[^.。!?;]{0,60}?"
+#: The word alone, as a mark; what follows it is of no importance.
+_TAG = re.compile(r"@generated\b|(?:^|[*#/%;-]\s*|-\s)\s*auto-?\s?generated\b(?!\s+\w+\s+(?:are|is|values|ids))", re.I | re.M)
+_BEGINS = r"^(?:\W|-\*-[^*]*-\*-)*(?:(?:this|the|der|die|das|el|la|le|o|a|este|esta|ce|cette|этот|此|この)\s*)?"
+_GENERATED = re.compile(rf"{_part['subject']}{_near}{_part['generated']}|{_part['generated']}{_near}{_part['subject']}|{_BEGINS}{_part['generated']}", re.I | re.M)
+_MADE = re.compile(rf"{_part['subject']}{_near}{_part['made']}|{_BEGINS}{_part['made']}", re.I | re.M)
+_BY_TOOL = re.compile(
+    rf"{_part['made']}{_near}(?<!\w)(?:by|with|from|using|von|mit|durch|por|con|com|par|avec)\s{_near}{_part['tool']}|{_part['made']}\W+(?:automat|автомат|инструмент)|(?:automati\w+|自动|自動|工具|ツール){_near}{_part['made']}", re.I
 )
+_TOOLED = re.compile(_part["tool"], re.I)
+_BY = re.compile(rf"{_part['generated']}\W+(?:by|with|from|using|von|mit|aus|por|con|par|avec|de)\s+\S+", re.I)
+_WARNED = re.compile(rf"{_part['never']}{_near}{_part['edit']}", re.I)
+_LOST = re.compile(rf"{_part['edit']}{_near}{_part['lost']}", re.I)
+
+
+_MARKS_OF_LINE = re.compile(r"^(?:[\s*#;%'|]|//+|--+|<!--|\(\*|\{-|/\*+|::|@?rem\b)+", re.I)
+
+
+def sentences(comments: str) -> str:
+    """Leading comments without their marks; a line that begins in lower case goes on with the line before."""
+    out, fresh = [], True
+    for line in comments.splitlines():
+        s = " ".join(_MARKS_OF_LINE.sub("", line).split())
+        if s:
+            out.append(("\n" if fresh or not s[0].islower() else " ") + s)
+        fresh = not s
+    return "".join(out)
+
+
+def stamped(head: str) -> bool:
+    """True if leading comments say that a tool wrote the file: a mark; that the file was generated, by something or with a
+    warning against edits; that it was made by a tool, or made with such a warning; or that a tool's next run undoes edits."""
+    if _TAG.search(head):
+        return True
+    lost = _LOST.search(head) is not None
+    if lost and _TOOLED.search(head):
+        return True
+    warned = lost or _WARNED.search(head) is not None
+    if _GENERATED.search(head) and (warned or _TOOLED.search(head) or _BY.search(head)):
+        return True
+    return _MADE.search(head) is not None and (warned or _BY_TOOL.search(head) is not None)
+
+
 #: Comments (and prologues) before the first line of another kind, for suffixes without a lexer; in prose "#" is a heading.
 _LEADING = re.compile(
     r"\ufeff?(?:\s+|<\?xml[^>]*>|<!doctype[^>]*>|@charset[^;\n]*;|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\(\*[\s\S]*?\*\)|\{-[\s\S]*?-\}|(?://|--|::|[#;%']|@?rem\b)[^\n]*)*", re.I
@@ -114,7 +171,7 @@ def far_prints(hashes: list[int]) -> np.ndarray:
 def content_kind(text: str, lang: str | None, toks: list[tuple[str, int, int]], prose: bool = False) -> str | None:
     """generated, minified or data, if the text shows it; the stamp of a tool may stand anywhere in the leading comments."""
     if lang in (None, "json"):
-        head = re.sub(r"\s+(?:[*#/;%'-]+\s*)?", " ", (_LEADING_PROSE if prose else _LEADING).match(text)[0])
+        head = (_LEADING_PROSE if prose else _LEADING).match(text)[0]
     else:
         comments = []
         for kind, a, b in toks:
@@ -122,8 +179,8 @@ def content_kind(text: str, lang: str | None, toks: list[tuple[str, int, int]],
                 comments.append(text[a:b])
             elif kind not in "LHD" and not (kind == "W" and lang in ("go", "java") and text[a:b] == "package"):
                 break
-        head = re.sub(r"\s+(?:[*#/]+\s*)?", " ", " ".join(comments))
-    if STAMP.search(head):
+        head = "\n".join(comments)
+    if stamped(sentences(head)):
         return "generated"
     code = words = values = n_lines = packed = 0
     for kind, a, b in toks:
@@ -171,9 +228,12 @@ def content_kind(text: str, lang: str | None, toks: list[tuple[str, int, int]],
 
 
 def library_prints(libraries: DataFrame) -> dict[int, np.ndarray]:
-    """lib_id -> fingerprints; a small table of published sources, read once on the driver."""
+    """lib_id -> fingerprints; a fixed table of at most LIBRARIES published sources, read once on the driver."""
     out = {}
-    for r in libraries.select("lib_id", "path", "source").collect():
+    rows = libraries.select("lib_id", "path", "source").limit(LIBRARIES + 1).collect()
+    if len(rows) > LIBRARIES:
+        raise ValueError(f"known_library has more than {LIBRARIES} rows; its prints are broadcast")
+    for r in rows:
         if r[2]:
             out[r[0]] = winnow(_token_hashes(r[2], SUFFIXES.get((r[1] or "")[(r[1] or "").rfind(".") :]))[0])
     return {k: v for k, v in out.items() if len(v)}
@@ -187,73 +247,76 @@ def _is_copy(prints: np.ndarray, owner_of: dict[int, list[int]], sizes: dict[int
     return any(n >= OF_LIBRARY * sizes[lib] and n >= IN_LIBRARY * len(prints) for lib, n in hits.items())
 
 
+_READ = "example_no long, field string, path string, named boolean, kind string, mark binary, prints array<long>, owner string"
+
+
 def _reader(libs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner_of, sizes = libs.value
-        known: dict[tuple, tuple] = {}
+        known: dict[bytes, tuple] = {}
         told: set[tuple] = set()
         for b in batches:
-            kinds, keys, prints, owners = [], [], [], []
-            for path, text, owner, named in zip(*(b.column(c).to_pylist() for c in ("path", "source", "owner", "named")), strict=True):
-                suffix = path[path.rfind(".") :] if "." in path else ""
-                lang = SUFFIXES.get(suffix)
-                if text is None or not text.strip():
-                    kinds.append("path" if named else None)
-                    keys.append(None)
+            kinds, prints, owners = [], [], []
+            for path, text, owner, mark in zip(*(b.column(c).to_pylist() for c in ("path", "source", "owner", "mark")), strict=True):
+                if mark is None:
+                    kinds.append(None)
                     prints.append(None)
                     owners.append(None)
                     continue
-                prose = path.lower().endswith(PROSE)
-                key = (lang, prose, hash(text), len(text))
-                got = known.get(key)
+                got = known.get(mark)
                 if got is None:
                     if len(known) > 50_000:
                         known.clear()
                         told.clear()
+                    lang = SUFFIXES.get(path[path.rfind(".") :] if "." in path else "")
                     hashes, toks = _token_hashes(text, lang)
-                    kind = content_kind(text, lang, toks, prose)
-                    if kind is None and _is_copy(winnow(hashes), owner_of, sizes):
-                        kind = "copy"
-                    found = far_prints(hashes) if kind is None else ()
-                    mark = zlib.crc32(text.encode("utf-8", "surrogatepass")) << 31 ^ len(text)
-                    got = known[key] = (kind, mark, found if len(found) else None)
-                kinds.append("path" if named else got[0])
-                keys.append(got[1] if got[2] is not None else None)
-                new = got[2] is not None and (got[1], owner) not in told
+                    kind = "copy" if _is_copy(winnow(hashes), owner_of, sizes) else content_kind(text, lang, toks, path.lower().endswith(PROSE))
+                    found = far_prints(hashes)
+                    got = known[mark] = (kind, found if len(found) else None)
+                kinds.append(got[0])
+                new = got[1] is not None and (mark, owner) not in told
                 if new:
-                    told.add((got[1], owner))
-                prints.append(got[2] if new else None)
+                    told.add((mark, owner))
+                prints.append(got[1] if new else None)
                 owners.append(owner if new else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("example_no"), b.column("field"), b.column("path"), pa.array(kinds, pa.string()), pa.array(keys, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(owners, pa.string())],
-                ["example_no", "field", "path", "kind", "mark", "prints", "owner"],
+                [b.column("example_no"), b.column("field"), b.column("path"), b.column("named"), pa.array(kinds, pa.string()), b.column("mark"), pa.array(prints, pa.list_(pa.int64())), pa.array(owners, pa.string())],
+                ["example_no", "field", "path", "named", "kind", "mark", "prints", "owner"],
             )
 
     return run
 
 
+def sources(pulls: DataFrame) -> DataFrame:
+    """(example_no, field, path, source, owner, named, mark) of the files of both maps.
+
+    named: the path alone makes it a case. mark: 128 bits of the text and the suffix in which it is read, null without a text.
+    """
+    owned = pulls.withColumn("owner", F.split_part(repo_name(F.col("repo")), F.lit("/"), F.lit(1)))
+    parts = [
+        owned.select("example_no", F.lit(f).alias("field"), "owner", F.explode(f).alias("path", "source"))
+        for f in ("files", "repository_files")
+    ]
+    suffix = F.regexp_extract(F.col("path"), r"(\.[^.]*)$", 1)
+    has_text = F.col("source").rlike(r"\S")
+    return parts[0].unionByName(parts[1]).filter("path is not null").withColumns(
+        {"named": F.lower("path").rlike(BY_PATH), "mark": F.when(has_text, F.unhex(F.md5(F.concat(suffix, F.lit("\n"), F.col("source")))))}
+    )
+
+
 def read_files(pulls: DataFrame, libraries: DataFrame) -> DataFrame:
-    """(example_no, field, path, kind, mark, prints, owner): what the sources and paths of both maps show by themselves.
+    """(example_no, field, path, named, kind, mark, prints, owner): what the sources and paths of both maps show by themselves.
 
-    mark identifies a text whose recurrence matters; prints are its fingerprints, once per task and owner. Sources that their
-    path alone makes a case are read too, as their owners count for the copies that stand elsewhere.
+    prints are the fingerprints of a text, once per task and owner. Every text is fingerprinted, also those that their path or
+    content makes a case, as their owners count for the copies that stand elsewhere.
     """
-    spark = pulls.sparkSession
     prints = library_prints(libraries)
     owner_of: dict[int, list[int]] = {}
     for lib, p in prints.items():
         for x in p.tolist():
             owner_of.setdefault(x, []).append(lib)
-    shared = spark.sparkContext.broadcast((owner_of, {k: len(v) for k, v in prints.items()}))
-    named = pulls.withColumn("owner", F.split_part(repo_name(F.col("repo")), F.lit("/"), F.lit(1)))
-    parts = [
-        named.select("example_no", F.lit(f).alias("field"), "owner", F.explode(f).alias("path", "source"))
-        for f in ("files", "repository_files")
-    ]
-    both = parts[0].unionByName(parts[1]).filter("path is not null")
-    return both.withColumn("named", F.lower("path").rlike(BY_PATH)).select("example_no", "field", "path", "source", "owner", "named").mapInArrow(
-        _reader(shared), "example_no long, field string, path string, kind string, mark long, prints array<long>, owner string"
-    )
+    shared = pulls.sparkSession.sparkContext.broadcast((owner_of, {k: len(v) for k, v in prints.items()}))
+    return sources(pulls).select("example_no", "field", "path", "source", "owner", "named", "mark").mapInArrow(_reader(shared), _READ)
 
 
 def recurring(files: DataFrame, owners: int = OWNERS, share: float = RECUR) -> DataFrame:
@@ -269,11 +332,10 @@ def recurring(files: DataFrame, owners: int = OWNERS, share: float = RECUR) -> D
         .select("print")
     )
     texts = printed.groupBy("mark").agg(F.first("prints").alias("prints"))
-    # a fingerprint may stand in a third of all texts: its rows are spread by a salt
-    salted = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    total = printed.agg(F.sum(F.size("prints"))).first()[0] or 0
+    each = texts.select("mark", F.size("prints").alias("size"), F.explode("prints").alias("print"))
     return (
-        texts.select("mark", F.pmod("mark", F.lit(SALTS)).cast("int").alias("salt"), F.size("prints").alias("size"), F.explode("prints").alias("print"))
-        .join(salted, ["print", "salt"])
+        join_hot(each, written(spread), "print", total)
         .groupBy("mark", "size")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= F.col("size") * share)
@@ -281,14 +343,21 @@ def recurring(files: DataFrame, owners: int = OWNERS, share: float = RECUR) -> D
     )
 
 
+def _judged(pulls: DataFrame, libraries: DataFrame) -> DataFrame:
+    """(example_no, field, path, mark, kind) of the cases in files and repository_files.
+
+    kind is the strongest evidence: copy (of a known library), recurring, then what the content shows, then path.
+    """
+    files = written(read_files(pulls, libraries))
+    copied = written(recurring(files)).withColumn("copied", F.lit(True))
+    rows = files.drop("prints", "owner").join(broadcast_below(copied, MARKS), "mark", "left")
+    kind = F.coalesce(F.when(F.col("kind") == "copy", F.col("kind")), F.when(F.col("copied"), F.lit("recurring")), F.col("kind"), F.when(F.col("named"), F.lit("path")))
+    return rows.withColumn("kind", kind).filter("kind is not null").select("example_no", "field", "path", "mark", "kind")
+
+
 def not_by_hand(pulls: DataFrame, libraries: DataFrame) -> DataFrame:
     """(example_no, field, path, kind) of the files nobody wrote by hand, in files, repository_files and files_changed."""
-    files = written(read_files(pulls, libraries))
-    copied = recurring(files).withColumn("copied", F.lit(True))
-    judged = files.filter("kind is null and mark is not null").select("example_no", "field", "path", "mark").join(copied, "mark")
-    cases = files.filter("kind is not null").select("example_no", "field", "path", "kind").unionByName(
-        judged.select("example_no", "field", "path", F.lit("recurring").alias("kind"))
-    )
+    cases = written(_judged(pulls, libraries).drop("mark"))
     listed = pulls.select(
         "example_no", F.explode(F.array_distinct("files_changed")).alias("path"), F.coalesce(F.map_keys("files"), F.array().cast("array<string>")).alias("held")
     ).filter("path is not null")
@@ -305,7 +374,11 @@ def not_by_hand(pulls: DataFrame, libraries: DataFrame) -> DataFrame:
 
 
 def hand_written(pulls: DataFrame, libraries: DataFrame) -> DataFrame:
-    """(example_no, field, path, source) of files and repository_files that remain."""
-    cases = not_by_hand(pulls, libraries).filter("field != 'files_changed'").select("example_no", "field", "path")
-    parts = [pulls.select("example_no", F.lit(f).alias("field"), F.explode(f).alias("path", "source")) for f in ("files", "repository_files")]
-    return parts[0].unionByName(parts[1]).join(cases, ["example_no", "field", "path"], "left_anti")
+    """(example_no, field, path, source) of files and repository_files that remain.
+
+    The second scan only needs the marks of the texts that are cases: they are broadcast while there are at most MARKS of
+    them (48 MB), so no source is shuffled; beyond that the join by mark is the planner's.
+    """
+    marks = written(_judged(pulls, libraries).filter("kind != 'path' and mark is not null").select("mark").distinct())
+    kept = sources(pulls).filter(~F.col("named"))
+    return kept.join(broadcast_below(marks, MARKS), "mark", "left_anti").select("example_no", "field", "path", "source")

@@ -93,7 +93,46 @@ def test_owners_that_hold_a_copy_in_a_vendored_folder_count(spark):
     shared = program(21, 14)
     rows = [(i, f"owner{i}/r", {f"vendor/{i}.py" if i < 6 else f"src/{i}.py": shared}, None, None) for i in range(9)]
     got = run(spark, rows)
-    assert got == {(i, "files", f"vendor/{i}.py" if i < 6 else f"src/{i}.py"): "path" if i < 6 else "recurring" for i in range(9)}
+    assert got == {(i, "files", f"vendor/{i}.py" if i < 6 else f"src/{i}.py"): "recurring" for i in range(9)}
+
+
+def test_recall_of_recurrence_alone(spark):
+    """Copies of twelve sources, each lightly edited in its own way under its own path, among as many files of other hands."""
+    rng, rows, want = random.Random(5), [], set()
+    for c in range(12):
+        lines = program(300 + c, 14 + c).split("\n")
+        for o in range(10):
+            mine = list(lines)
+            for _ in range(2):
+                mine.insert(rng.randrange(len(mine)), f"    audit_{o}_{rng.randrange(99)}({rng.randrange(9)})")
+            n = len(rows)
+            rows.append((n, f"owner{o}/r{c}", {f"src/m{n}.py": "\n".join(mine), f"src/own{n}.py": program(1000 + n, 14)}, None, None))
+            want.add((n, "files", f"src/m{n}.py"))
+    got = {k for k, kind in run(spark, rows).items() if kind == "recurring"}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize(
+    ("head", "want"),
+    [("// changes will be lost when the tab closes", False), ("// Helpers for ids generated by the database", False), ("// This file was created by Jane Doe. Do what you like.", False), ("# Do not edit this list without asking the team", False),
+     ("// The lexer must not change the file while the tool runs", False), ("# This script was written to build the docs.", False), ("/* Utilities to build the code editor. Do not touch the DOM here. */", False),
+     ("# The code generator for widgets. Never modify the tree in place.", False), ("// Built-in functions of the language", False), ("// Generated by Django 3.2", True), ("/* Bison 3.0 generated file. Do not edit. */", True),
+     ("# Any changes will be overwritten by the next build", True), ("# Arquivo gerado por uma ferramenta", True), ("// このファイルはツールにより自動生成されました。", True), ("// @generated", True), ("// Built from a.y by the parser compiler, please leave alone", True)],
+)
+def test_stamps_are_told_by_their_sentence(head, want):
+    assert A.stamped(A.sentences(head)) is want
+    assert A.stamped(A.sentences("// Copyright\n// of us\n" + head)) is want
+
+
+def test_wrapped_sentences_are_one():
+    assert not A.stamped(A.sentences("# Helpers for values\n# generated by the database.\n"))
+    assert A.stamped(A.sentences("/*\n * This file was\n * generated by mkstub.\n */"))
+
+
+def test_marks_tell_equal_lengths_apart(spark):
+    got = A.sources(spark.createDataFrame([(1, "o/n", {"a.py": "x = 1", "b.py": "x = 2", "c.js": "x = 1", "d.py": "x = 1", "e.py": " "}, None, None)], PULL))
+    marks = {r.path: r.mark for r in got.collect()}
+    assert marks["a.py"] == marks["d.py"] and marks["e.py"] is None and len({bytes(m) for m in marks.values() if m}) == 3
 
 
 def test_short_copies_recur_as_a_whole(spark):
