@@ -71,7 +71,7 @@ _part = {
     name: _LETTER + "(?:" + "|".join(re.escape(w) for w in words) + ")"
     for name, words in (("subject", SUBJECT), ("generated", GENERATED), ("made", MADE), ("tool", TOOL), ("edit", EDIT), ("never", NEVER), ("lost", LOST))
 }
-_near = r"[^.。!?;]{0,60}?"
+_near = r"(?:[^.。!?;]|\.(?=\w)){0,60}?"
 #: The word alone, as a mark; what follows it is of no importance.
 _TAG = re.compile(r"@generated\b|(?:^|[*#/%;-]\s*|-\s)\s*auto-?\s?generated\b(?!\s+\w+\s+(?:are|is|values|ids))", re.I | re.M)
 _BEGINS = r"^(?:\W|-\*-[^*]*-\*-)*(?:(?:this|the|der|die|das|el|la|le|o|a|este|esta|ce|cette|этот|此|この)\s*)?"
