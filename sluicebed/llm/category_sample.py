@@ -1,9 +1,10 @@
 """Sample matching target category proportions.
 
-Quotas come from counts by category: largest remainder over the target shares, raised to the floors, capped by what is
-there; what a category lacks is reported and not given to others, which would push them above their share. Members are
-the records with the smallest random keys. The key's cut is found from counts by key range, so a category of any size
-is never sorted in one task.
+Quotas come from counts by category: seats are shared out in proportion to the target shares, each category kept between
+its floor and what is there, and rounded by largest remainder; so seats that one category can't fill are handed on to the
+others in proportion, and the sample has its full size where the categories hold enough records. The report names what each
+category lacks and the share it reached. Members are the records with the smallest random keys. The key's cut is found from
+counts by key range, so a category of any size is never sorted in one task.
 
 Cases: null ids are no records; an id delivered several times is one record, taken from its lowest example_no; values that
 mean "not known" match no category; empty tables give an empty sample and full shortfalls; equal keys are told apart by id.
@@ -20,7 +21,7 @@ from pyspark.sql import window as W
 from sluicebed.functions.names import cwe_codes, plain_name
 from sluicebed.plans.shared import written
 
-KEY_RANGES = 4096
+RANGE_DIGITS = 4  # leading digits of a key that name its range: 65,536 ranges a category
 
 
 def records(pulls: DataFrame) -> DataFrame:
@@ -45,30 +46,51 @@ def categories(targets: DataFrame) -> DataFrame:
     )
 
 
+def apportioned(seats: int, wanted: dict[int, tuple[int, int, int]]) -> dict[int, int]:
+    """category -> (share, least, most) to seats: in proportion to the shares, between least and most, whole numbers by
+    largest remainder (ties to the lowest category). The sum is seats, or as near as the bounds allow."""
+    fixed: dict[int, int] = {}
+    while True:
+        left = seats - sum(fixed.values())
+        free = {c: w for c, w in wanted.items() if c not in fixed}
+        whole = sum(w[0] for w in free.values())
+        over = {c: left * s - most * whole for c, (s, _, most) in free.items() if left * s > most * whole}
+        under = {c: least * whole - left * s for c, (s, least, _) in free.items() if left * s < least * whole}
+        if not over and not under or not whole:
+            break
+        if sum(over.values()) >= sum(under.values()):
+            fixed |= {c: wanted[c][2] for c in over}
+        else:
+            fixed |= {c: wanted[c][1] for c in under}
+    if not whole:
+        return fixed | {c: min(w[1], w[2]) for c, w in free.items()}
+    out = {c: left * w[0] // whole for c, w in free.items()}
+    for c in sorted(free, key=lambda c: (-(left * free[c][0] % whole), c))[: left - sum(out.values())]:
+        out[c] += 1
+    return fixed | out
+
+
 def quotas(size: int, wanted: list[tuple[int, int, int, int]]) -> list[dict]:
-    """wanted: (category, share in percent, floor, available) -> need, quota and shortfall of each category."""
-    whole = sum(w[1] for w in wanted) or 1
-    exact = {c: Fraction(size * s, max(100, whole)) for c, s, _, _ in wanted}
-    quota = {c: int(exact[c]) for c in exact}
-    spare = int(sum(exact.values())) - sum(quota.values())
-    for c in sorted(exact, key=lambda c: (quota[c] - exact[c], c))[:spare]:
-        quota[c] += 1
-    floor = {c: f for c, _, f, _ in wanted}
-    over = sum(max(0, floor[c] - quota[c]) for c in quota)
-    quota = {c: max(q, floor[c]) for c, q in quota.items()}
-    while over > 0 and (room := [c for c in quota if quota[c] > floor[c]]):
-        most = max(room, key=lambda c: (quota[c] - exact[c], quota[c], -c))
-        quota[most] -= 1
-        over -= 1
-    out = []
-    for c, s, f, have in wanted:
-        need = max(f, -(-size * s // 100))
-        out.append({"category_no": c, "need": need, "available": have, "quota": min(quota[c], have), "short": max(0, need - have)})
-    return out
+    """wanted: (category, share in percent, floor, available) -> need, quota and shortfall of each category.
+
+    need is the share rounded up or the floor. Rounding up can't be granted to all categories of a full sample, so where
+    nothing is short a quota may lie one below its need; floors are kept wherever there are records.
+    """
+    whole = sum(w[1] for w in wanted)
+    seats = size * whole // max(100, whole, 1)
+    quota = apportioned(seats, {c: (s, min(f, have), have) for c, s, f, have in wanted})
+    total = sum(quota.values())
+    return [
+        {
+            "category_no": c, "share_pct": s, "need": (need := max(f, -(-size * s // 100))), "available": have, "quota": quota[c], "short": max(0, need - have),
+            "reached_pct": 100 * quota[c] / total if total else 0.0,
+        }
+        for c, s, f, have in wanted
+    ]
 
 
 def sample_report(pulls: DataFrame, targets: DataFrame, share: Fraction = Fraction(1, 5)) -> DataFrame:
-    """(category_no, need, available, quota, short): one row per category of targets.
+    """(category_no, share_pct, need, available, quota, short, reached_pct): one row per category of targets.
 
     The sample size is the given share of all records, rounded down; need is the larger of min_rows and share_pct percent
     of it, rounded up. Counts are taken over all records; only one count per category reaches the driver.
@@ -89,17 +111,17 @@ def sample_report(pulls: DataFrame, targets: DataFrame, share: Fraction = Fracti
     size = int(total * share)
     rows = quotas(size, [(r[0], r[1], r[2], r[3]) for r in have])
     return spark.createDataFrame(
-        [(r["category_no"], r["need"], r["available"], r["quota"], r["short"]) for r in rows],
-        "category_no int, need long, available long, quota long, short long",
+        [tuple(r.values()) for r in rows],
+        "category_no int, share_pct int, need long, available long, quota long, short long, reached_pct double",
     )
 
 
 def category_sample(pulls: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """(id, category_no): of each category the records with the smallest keys, as many as its quota."""
+    """(id, category_no): of each category the records with the smallest keys (MD5 of seed and id), as many as its quota."""
     report = sample_report(pulls, targets)
     cats = categories(targets)
-    drawn = records(pulls).withColumn("key", F.xxhash64(F.lit(seed), "id")).withColumn(
-        "part", F.shiftrightunsigned("key", 52).cast("int")
+    drawn = records(pulls).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id")))).withColumn(
+        "part", F.substring("key", 1, RANGE_DIGITS)
     )
     member = written(
         drawn.join(F.broadcast(cats.drop("share_pct", "min_rows")), ["malicious", "cwe", "framing"])

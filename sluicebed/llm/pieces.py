@@ -5,8 +5,9 @@ each start the piece is packed as full as the limit allows and ends at the last
 it at least half full; if there is none, at the last boundary of any level; if there is none either, at the limit, but not
 before a combining mark or inside a line end. The next piece starts `overlap` characters before the end of the last one.
 
-Cases: null and empty values and values within the limit give no pieces; limits count Unicode code points; an overlap of
-half the limit or more is lowered to a quarter of the limit.
+Cases: null and empty values and values within the limit give no pieces; limits count Unicode code points; any overlap below
+the limit is kept exactly, a negative one counts as 0 and one of the limit or more as the limit less one, the largest with
+which a piece still brings something new.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPANS = "array<struct<start:int,stop:int>>"
 # Where a new unit begins, by level, from the widest unit to the narrowest.
 LEVELS = {
     "diff": (r"^diff --git ", r"^@@ ", r"(?<=\n)[ +-]?[ \t]*\n", r"(?<=\n)", r"(?<=[\s,;])(?=\S)"),
@@ -40,7 +40,7 @@ def spans(text: str, limit: int, overlap: int, kind: str = "files") -> list[tupl
     if n <= limit:
         return [(0, n)] if n else []
     limit = max(1, limit)
-    overlap = overlap if 0 <= overlap * 2 < limit else limit // 4
+    overlap = min(max(0, overlap), limit - 1)
     marks: list[list[int] | None] = [None] * len(_compiled[kind])
     out, start = [], 0
     while True:
@@ -67,15 +67,42 @@ def spans(text: str, limit: int, overlap: int, kind: str = "files") -> list[tupl
         start = end - overlap
 
 
-def _spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+HELD = 4_000_000  # characters of pieces in one record batch
+_KEY = "example_no long, field string, path string"
+_CUT = pa.schema([("example_no", pa.int64()), ("field", pa.string()), ("path", pa.string())])
+_PIECE = pa.schema([*_CUT, ("piece_no", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("piece", pa.string())])
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, str, list[tuple[int, int]]]]:
+    """(key, value, spans) of each value."""
     for b in batches:
-        d = b.to_pydict()
-        got = [
-            [{"start": s, "stop": e} for s, e in spans(t, m, o, f if f in _compiled else "files")]
-            for t, m, o, f in zip(d["value"], d["max_chars"], d["overlap_chars"], d["field"], strict=True)
-        ]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, kind)], [*b.schema.names, "spans"])
+        for n, f, p, t, m, o in zip(*(b.column(c).to_pylist() for c in ("example_no", "field", "path", "value", "max_chars", "overlap_chars")), strict=True):
+            yield (n, f, p), t, spans(t, m, o, f if f in _compiled else "files")
+
+
+def _cut_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = []
+    for key, _, got in _values(batches):
+        if len(got) > 1:
+            keys.append(key)
+        if len(keys) == 10_000:
+            yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, k, strict=True)) for k in keys], _CUT)
+            keys = []
+    if keys:
+        yield pa.RecordBatch.from_pylist([dict(zip(_CUT.names, k, strict=True)) for k in keys], _CUT)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+    for key, text, got in _values(batches):
+        for i, (a, b) in enumerate(got):
+            rows.append((*key, i, a, b, text[a:b]))
+            held += b - a
+            if held >= HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=_PIECE)
 
 
 def oversized(pulls: DataFrame, limits: DataFrame) -> DataFrame:
@@ -97,29 +124,30 @@ def oversized(pulls: DataFrame, limits: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
 
 
-def cut(values: DataFrame) -> DataFrame:
-    """values(example_no, field, path, value, max_chars, overlap_chars) with the spans of their pieces."""
-    return values.mapInArrow(
-        _spans_of,
-        f"example_no long, field string, path string, value string, max_chars int, overlap_chars int, spans {SPANS}",
-    )
-
-
 def pieces(pulls: DataFrame, limits: DataFrame) -> DataFrame:
-    """(example_no, field, path, piece_no, start, stop, piece): the ordered pieces of each value above its limit."""
-    return cut(oversized(pulls, limits)).select(
-        "example_no", "field", "path", "value", F.posexplode("spans").alias("piece_no", "span")
-    ).select(
-        "example_no",
-        "field",
-        "path",
-        "piece_no",
-        "span.start",
-        "span.stop",
-        F.expr("substring(value, span.start + 1, span.stop - span.start)").alias("piece"),
-    )
+    """(example_no, field, path, piece_no, start, stop, piece): the ordered pieces of each value above its limit.
+
+    One scan cuts and gives the pieces out as it goes, in batches of about HELD characters.
+    """
+    return oversized(pulls, limits).mapInArrow(_pieces, f"{_KEY}, piece_no int, start int, stop int, piece string")
 
 
 def cut_values(pulls: DataFrame, limits: DataFrame) -> DataFrame:
     """(example_no, field, path): the values that came out in more than one piece."""
-    return cut(oversized(pulls, limits)).filter(F.size("spans") > 1).select("example_no", "field", "path")
+    return oversized(pulls, limits).mapInArrow(_cut_keys, _KEY)
+
+
+def checked_pieces(pulls: DataFrame, limits: DataFrame) -> DataFrame:
+    """(example_no, field, path, text, fits, laps): of each cut value the MD5 of its text put together from its pieces again,
+    whether all pieces keep the limit, and whether each holds overlap_chars of the one before."""
+    caps = F.create_map(*[x for r in limits.collect() for x in (F.lit(r["field_name"]), F.struct(F.lit(r["max_chars"]).alias("max"), F.lit(r["overlap_chars"]).alias("lap")))])
+    cap = caps[F.col("field")]
+    whole = pieces(pulls, limits).groupBy("example_no", "field", "path").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "stop", "piece"))).alias("p"))
+    pairs = F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("a"), F.slice("p", 2, F.size("p") - 1).alias("b"))
+    fresh = F.transform(pairs, lambda x: F.substr(x["b"]["piece"], cap["lap"] + 1))
+    return whole.select(
+        "example_no", "field", "path",
+        F.md5(F.concat(F.col("p")[0]["piece"], F.array_join(fresh, ""))).alias("text"),
+        F.forall("p", lambda x: F.length(x["piece"]) <= cap["max"]).alias("fits"),
+        F.forall(pairs, lambda x: F.right(x["a"]["piece"], cap["lap"]) == F.left(x["b"]["piece"], cap["lap"])).alias("laps"),
+    )

@@ -23,6 +23,10 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return rs.split_report(p1_splits(spark, d), table(spark, d, "split_target"))
 
 
+def p1_checked(spark: SparkSession, d: str) -> DataFrame:
+    return rs.checked_splits(p1_splits(spark, d), table(spark, d, "pull_example"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_shares(spark, d).select("example_no", "field", "path", "lang")
 
@@ -70,6 +74,10 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "pull_example"), table(spark, d, "piece_limit"))
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.checked_pieces(table(spark, d, "pull_example"), table(spark, d, "piece_limit"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
@@ -110,10 +118,42 @@ _NAME = "regexp_replace(regexp_replace(lower({0}), '^\\s+|\\s+$', '', 'g'), '[-_
 _CWE = "regexp_replace(regexp_replace(lower({0}), '[\\[\\]\"''\\s_-]', '', 'g'), '^(?:cwe)?0*([0-9]+)$', 'cwe\\1')"
 
 
+def _quota_sql(rounds: int) -> str:
+    """SQL of the bounded apportionment: in each round categories beyond a bound are fixed there; rounds: at least as many as
+    categories."""
+    out = ["""a0 AS (SELECT *, least(min_rows, n) AS lo, n AS hi, CAST(NULL AS BIGINT) AS q, CAST(floor(size * (SELECT sum(share_pct) FROM c) / greatest(100, (SELECT sum(share_pct) FROM c))) AS BIGINT) AS seats FROM c)"""]
+    for i in range(rounds):
+        out.append(
+            f"""b{i} AS (SELECT *, seats - coalesce(sum(q) OVER (), 0) AS rem, coalesce(sum(share_pct) FILTER (q IS NULL) OVER (), 0) AS w FROM a{i}),
+          d{i} AS (SELECT *, sum(greatest(0, rem * share_pct - hi * w)) FILTER (q IS NULL) OVER () AS excess, sum(greatest(0, lo * w - rem * share_pct)) FILTER (q IS NULL) OVER () AS lack FROM b{i}),
+          a{i + 1} AS (SELECT category_no, share_pct, min_rows, n, size, lo, hi, CASE WHEN q IS NOT NULL OR w = 0 THEN q WHEN excess >= lack AND rem * share_pct > hi * w THEN hi
+            WHEN excess < lack AND rem * share_pct < lo * w THEN lo END AS q, seats FROM d{i})"""
+        )
+    out.append(
+        f"""z AS (SELECT *, seats - coalesce(sum(q) OVER (), 0) AS rem, coalesce(sum(share_pct) FILTER (q IS NULL) OVER (), 0) AS w FROM a{rounds}),
+          y AS (SELECT *, CASE WHEN q IS NOT NULL THEN q WHEN w = 0 THEN least(lo, hi) ELSE rem * share_pct // w END AS low, CASE WHEN q IS NULL AND w > 0 THEN rem * share_pct % w ELSE -1 END AS over FROM z),
+          x AS (SELECT *, rem - sum(low) FILTER (q IS NULL) OVER () AS spare, row_number() OVER (ORDER BY over DESC, category_no) AS rank FROM y),
+          quota AS (SELECT category_no, share_pct, n, greatest(min_rows, CAST(ceil(share_pct * size / 100) AS BIGINT)) AS need, CAST(low + CASE WHEN over >= 0 AND rank <= spare THEN 1 ELSE 0 END AS BIGINT) AS quota FROM x)"""
+    )
+    return ",\n          ".join(out)
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express over whole tables."""
     vuln, framing = _NAME.format("vuln_id"), _NAME.format("framing")
+    counted = f"""f AS (SELECT id, malicious, {_CWE.format("cwe_id")} AS cwe, {framing} AS framing FROM pull_example WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY example_no) = 1),
+          t AS (SELECT category_no, malicious, {_CWE.format("cwe_id")} AS cwe, {framing} AS framing, share_pct, min_rows FROM sample_target), m AS (SELECT category_no, id FROM t JOIN f USING (malicious, cwe, framing)),
+          c AS (SELECT t.category_no, any_value(share_pct) AS share_pct, any_value(min_rows) AS min_rows, count(m.id) AS n, CAST(floor((SELECT count(*) FROM f) / 5) AS BIGINT) AS size FROM t LEFT JOIN m USING (category_no) GROUP BY t.category_no)"""
     return {
+        "p1_checked": f"""WITH r AS (SELECT CASE WHEN {_REPO} NOT IN {_PLACES} THEN {_REPO} END AS repo FROM pull_example)
+          SELECT repo, count(*) AS n_rows, 1 AS n_splits FROM r WHERE repo IS NOT NULL GROUP BY repo""",
+        "p4_report": f"""WITH {counted}, {_quota_sql(20)}
+          SELECT category_no, share_pct, need, n AS available, quota, greatest(0, need - n) AS short, CASE WHEN sum(quota) OVER () > 0 THEN 100.0 * quota / sum(quota) OVER () ELSE 0.0 END AS reached_pct FROM quota""",
+        "p4_sample": f"""WITH {counted}, {_quota_sql(20)}
+          SELECT m.id, m.category_no FROM m JOIN quota USING (category_no) QUALIFY row_number() OVER (PARTITION BY m.category_no ORDER BY md5('42:' || m.id), m.id) <= quota""",
+        "p6_checked": """WITH v AS (SELECT example_no, 'diff' AS field, '' AS path, diff AS value FROM pull_example UNION ALL SELECT example_no, 'files', e.key, e.value FROM (SELECT example_no, unnest(map_entries(files)) AS e FROM pull_example))
+          SELECT example_no, field, path, md5(value) AS text, true AS fits, true AS laps FROM v JOIN piece_limit ON field = field_name WHERE length(value) > max_chars""",
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p1_found": f"""WITH RECURSIVE n AS (SELECT example_no, id, parent_id, CASE WHEN {_REPO} NOT IN {_PLACES} THEN {_REPO} END AS repo, CASE WHEN {vuln} NOT IN {_PLACES} THEN {vuln} END AS vuln FROM pull_example),
           k AS (SELECT example_no, 'i:' || id AS key FROM n WHERE trim(id) <> '' UNION SELECT example_no, 'i:' || parent_id FROM n WHERE trim(parent_id) <> '' UNION SELECT example_no, 'r:' || repo FROM n WHERE repo IS NOT NULL
             UNION SELECT example_no, 'v:' || vuln FROM n WHERE vuln IS NOT NULL),

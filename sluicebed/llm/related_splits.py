@@ -274,7 +274,7 @@ def split_report(splits: DataFrame, targets: DataFrame) -> DataFrame:
     total = got.agg(F.sum("n_rows").alias("total"))
     return (
         targets.join(got, "split_name", "left")
-        .join(F.broadcast(total))
+        .crossJoin(F.broadcast(total))  # one row
         .select(
             "split_name",
             F.col("share").alias("wanted"),
@@ -283,3 +283,9 @@ def split_report(splits: DataFrame, targets: DataFrame) -> DataFrame:
             (F.coalesce("n_rows", F.lit(0)) / F.col("total")).alias("reached"),
         )
     )
+
+
+def checked_splits(splits: DataFrame, pulls: DataFrame) -> DataFrame:
+    """(repo, n_rows, n_splits): rows and splits of each repository; n_splits is 1 where none was parted."""
+    named = pulls.select("example_no", repo_name(F.col("repo")).alias("repo")).filter("repo is not null")
+    return named.join(splits, "example_no").groupBy("repo").agg(F.count("*").alias("n_rows"), F.count_distinct("split_name").alias("n_splits"))
