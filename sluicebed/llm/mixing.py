@@ -2,16 +2,18 @@
 
 A classifier trained on rows whose source is known predicts for every row without one a posterior over the sources (soft
 membership). Then every document gets a rate, the number of times it is used: rates between 0 and the cap of its source
-are fitted by projected gradient steps so that the expected tokens of each source match its target. All sums run over all
-documents; a step sends one number per source to the driver, and a document's rate is a fold over the few gradients so far,
-so no step joins or rewrites the corpus.
+are fitted by projected gradient steps so that the expected tokens of each source match its target. The fit has two turns:
+first the documents whose source is known, then, where their rates have reached the caps and tokens are still missing, the
+documents with posteriors. A source is short if the rate of its own documents has come to its cap in the first turn and
+their tokens still lie below the target. All sums run over all documents; a step sends one number per source to the driver,
+and a document's rate is a fold over the few gradients so far, so no step joins or rewrites the corpus.
 
 The classifier is naive Bayes over token ids, fitted on at most TRAIN_ROWS labelled rows of each source (those with the
 smallest hash of doc_id). Posteriors are rounded to steps of 1/20, so rows fall into cells of equal posterior and cap whose
 tokens are summed once; rates are equal within a cell.
 
-Cases: null and empty texts have no tokens; a source that means "not known" is missing; sources without a target get
-rate 0; a target without documents is reported as short; without any labelled row all posteriors are 0; an empty table
+Cases: null and empty texts have no tokens; a source that means "not known" is missing; rows with a repeated or null doc_id
+take the smallest source given for it, and all of them count; sources without a target get rate 0; a target without documents is reported as short; without any labelled row all posteriors are 0; an empty table
 gives a report in which every positive target of 0 tokens is met.
 """
 
@@ -28,6 +30,7 @@ from sluicebed.plans.shared import written
 
 TRAIN_ROWS = 400
 STEPS = 60
+PACE = 0.9  # share of a residual that one step takes
 GRID = 20
 
 
@@ -40,7 +43,7 @@ def labelled(documents: DataFrame, folder: str = FOLDER) -> DataFrame:
     """(doc_id, name, ids): canonical source (null where missing) and token ids of each document."""
     ids = encoded(documents, folder)
     names = documents.select("doc_id", plain_name(F.col("source")).alias("name")).groupBy("doc_id").agg(F.min("name").alias("name"))
-    return ids.join(names, "doc_id")
+    return ids.join(names, ids["doc_id"].eqNullSafe(names["doc_id"]), "left").select(ids["doc_id"], "name", "ids")
 
 
 def fit_classifier(docs: DataFrame, names: list[str], per_source: int = TRAIN_ROWS) -> np.ndarray:
@@ -104,33 +107,57 @@ def _rate(gradients: list[list[float]], cap) -> F.Column:
     return F.aggregate(steps, F.lit(0.0), step)
 
 
-def fit_rates(docs: DataFrame, goal: list[tuple[str, str, int, int]], steps: int = STEPS) -> tuple[DataFrame, F.Column, dict]:
-    """docs(doc_id, name, tokens, post) -> (cells, rate column, summary) of the fitted mix.
+def _expected(cells: DataFrame, rate: F.Column, n: int) -> list[float]:
+    """Expected tokens of each source at this rate."""
+    sums = [F.coalesce(F.sum(F.col("tokens") * F.col("post")[i] * F.col("rate")), F.lit(0.0)) for i in range(n)]
+    return list(cells.withColumn("rate", rate).agg(*sums).first())
+
 
-    A step divides each residual by the tokens that can still answer it, so the sums are reached in a few steps.
+def _descend(cells: DataFrame, cap: F.Column, wanted: list[float], steps: int, still: float) -> tuple[list[list[float]], list[float]]:
+    """Projected gradient steps over these cells: the gradients and the tokens reached.
+
+    A step divides each residual by the tokens that can still answer it, so the sums are reached in a few steps; it ends
+    when no sum moves by more than this share of all wanted tokens.
     """
+    n = len(wanted)
+    mass = cells.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("post")[i] * F.col("post")[i]), F.lit(0.0)) for i in range(n)]).first()
+    gradients: list[list[float]] = []
+    reached = [0.0] * n
+    for _ in range(steps):
+        left = [w - r for w, r in zip(wanted, reached, strict=True)]
+        gradients.append([-PACE * x / m if m else 0.0 for x, m in zip(left, mass, strict=True)])
+        got = _expected(cells, _rate(gradients, cap), n)
+        moved = max(abs(a - b) for a, b in zip(got, reached, strict=True))
+        reached = got
+        if moved <= still * max(1.0, sum(wanted)):
+            break
+    return gradients, reached
+
+
+def fit_rates(docs: DataFrame, goal: list[tuple[str, str, int, int]], steps: int = STEPS) -> tuple[DataFrame, F.Column, dict]:
+    """docs(doc_id, name, tokens, post) -> (cells, rate column, summary) of the fitted mix; see the head for its two turns."""
     caps = F.array(*[F.when(F.col("post")[i] > 0, F.lit(float(g[3]))).otherwise(F.lit(float("inf"))) for i, g in enumerate(goal)])
     least = F.array_min(caps)
     cap = F.when(least == float("inf"), 0.0).otherwise(least)
-    cells = written(docs.groupBy("post").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
-    mine = F.when(F.col("name").isin([g[1] for g in goal]), F.col("name"))
-    own = docs.groupBy(mine.alias("name")).agg(F.sum("tokens").alias("tokens")).collect()  # one row per target, one for the rest
+    targeted = F.col("name").isin([g[1] for g in goal])
+    cells = written(
+        docs.groupBy("post", F.when(targeted, F.col("name")).alias("name"), F.col("name").isNotNull().alias("known"))
+        .agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    )
+    own = cells.filter("known").groupBy("name").agg(F.sum("tokens").alias("tokens")).collect()  # one row per target, one for the rest
     own_tokens = {r[0]: r[1] or 0 for r in own}
-    total = sum(own_tokens.values())
+    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     wanted = [total * g[2] / 100 for g in goal]
-    mass = cells.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("post")[i] * F.col("post")[i]), F.lit(0.0)) for i in range(len(goal))]).first() if goal else []
-    gradients: list[list[float]] = []
-    reached = [0.0] * len(goal)
-    for _ in range(steps if goal else 0):
-        left = [w - r for w, r in zip(wanted, reached, strict=True)]
-        gradients.append([-0.8 * x / m if m else 0.0 for x, m in zip(left, mass, strict=True)])
-        now = cells.withColumn("rate", _rate(gradients, cap))
-        got = now.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("post")[i] * F.col("rate")), F.lit(0.0)) for i in range(len(goal))]).first()
-        moved = max(abs(a - b) for a, b in zip(got, reached, strict=True))
-        reached = list(got)
-        if moved <= 1e-4 * max(1, total) or len(gradients) >= steps:
-            break
-    return cells, _rate(gradients, cap), {"own": own_tokens, "total": total, "reached": reached, "wanted": wanted}
+    if not goal:
+        return cells, F.lit(0.0), {"own": own_tokens, "total": total, "own_reached": [], "soft_reached": [], "wanted": [], "capped": []}
+    known, soft = cells.filter("known"), cells.filter("not known")
+    first, own_reached = _descend(known, cap, wanted, steps, 1e-12)
+    at_cap = known.filter("name is not null").select("name", ((_rate(first, cap) >= cap * (1 - 1e-9)) | (F.col("tokens") == 0)).alias("at")).groupBy("name").agg(F.min("at").alias("at")).collect()
+    capped = {r[0]: r[1] for r in at_cap}
+    second, soft_reached = _descend(soft, cap, [max(0.0, w - r) for w, r in zip(wanted, own_reached, strict=True)], steps, 1e-4)
+    rate = F.when(F.col("name").isNotNull(), _rate(first, cap)).otherwise(_rate(second, cap))
+    summary = {"own": own_tokens, "total": total, "own_reached": own_reached, "soft_reached": soft_reached, "wanted": wanted, "capped": [capped.get(g[1], True) for g in goal]}
+    return cells, rate, summary
 
 
 def prepared(documents: DataFrame, targets: DataFrame, folder: str = FOLDER) -> tuple[DataFrame, list]:
@@ -152,17 +179,22 @@ def mix(documents: DataFrame, targets: DataFrame, folder: str = FOLDER, seed: in
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, folder: str = FOLDER) -> DataFrame:
-    """(source, wanted, own_tokens, capacity, reached, share, short): one row per source of targets.
+    """(source, wanted, own_tokens, own_reached, soft_reached, share_of_size, share_of_mix, short): one row per source of targets.
 
-    short: max_repeat times the tokens of the source's own documents is less than weight_pct percent of all tokens.
+    own_reached: tokens of the source's own documents at their fitted rate; soft_reached: expected tokens of documents without
+    a source. share_of_size is what both reach of the mix's wanted size, share_of_mix of what all sources reach. short: the own
+    documents are used as often as they may and still lie below the target; a source without documents is at its cap.
     """
     docs, goal = prepared(documents, targets, folder)
     _, _, s = fit_rates(written(docs), goal)
+    mixed = sum(s["own_reached"]) + sum(s["soft_reached"]) or 1.0
     rows = []
-    mixed = sum(s["reached"]) or 1.0
-    for (spelled, name, pct, rep), got in zip(goal, s["reached"], strict=True):
-        own = s["own"].get(name, 0)
-        rows.append((spelled, s["total"] * pct / 100, own, own * rep, float(got), got / mixed, own * rep * 100 < pct * s["total"]))
+    for i, (spelled, name, pct, most) in enumerate(goal):
+        own, soft = float(s["own_reached"][i]), float(s["soft_reached"][i])
+        if s["capped"][i]:  # within 1e-9 of the cap
+            own = float(s["own"].get(name, 0) * most)
+        missing = pct * s["total"] > 100 * own
+        rows.append((spelled, s["wanted"][i], s["own"].get(name, 0), own, soft, (own + soft) / max(1, s["total"]), (own + soft) / mixed, s["capped"][i] and missing))
     return documents.sparkSession.createDataFrame(
-        rows, "source string, wanted double, own_tokens long, capacity long, reached double, share double, short boolean"
+        rows, "source string, wanted double, own_tokens long, own_reached double, soft_reached double, share_of_size double, share_of_mix double, short boolean"
     )

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +57,9 @@ def test_mix_reaches_what_can_be_reached(spark):
     targets = spark.createDataFrame([("Alpha", 50, 3), ("beta", 30, 3), ("gamma", 20, 9)], "source string, weight_pct int, max_repeat int")
     report = {r.source: r for r in M.mix_report(docs, targets).collect()}
     assert report["gamma"].short and not report["Alpha"].short and not report["beta"].short
-    assert abs(report["Alpha"].reached / report["Alpha"].wanted - 1) < 0.02 and abs(report["beta"].reached / report["beta"].wanted - 1) < 0.02
+    for r in (report["Alpha"], report["beta"]):
+        assert abs((r.own_reached + r.soft_reached) / r.wanted - 1) < 0.02
+    assert abs(sum(r.share_of_mix for r in report.values()) - 1) < 1e-9 and abs(sum(r.share_of_size for r in report.values()) - 0.8) < 0.02
     used = M.mix(docs, targets).collect()
     assert len(used) == 203 and max(r.copies for r in used) <= 3 and min(r.copies for r in used) >= 0
     assert next(r for r in used if r.doc_id == 1002).copies == 0
@@ -75,3 +78,32 @@ def test_nothing_to_mix(spark):
     assert [r.short for r in M.mix_report(docs, targets).collect()] == [False]
     assert M.mix(docs, targets).count() == 0
     assert M.mix_report(corpus(spark), targets.limit(0)).count() == 0
+
+
+def test_the_fitted_rates_tell_what_is_short(spark, monkeypatch):
+    """The fit's answer is that of the capacities, also where they meet the target exactly or miss it by one token."""
+    rng = random.Random(3)
+    for case in range(4):
+        names = [f"s{i}" for i in range(5)]
+        goal = [(n, n, rng.choice([5, 10, 20, 30]), rng.randrange(1, 5)) for n in names]
+        tokens = {n: rng.randrange(1, 400) for n in names[:-1]}  # the last has no documents
+        total = 1000
+        if case == 1:
+            tokens["s0"], goal[0] = 100, ("s0", "s0", 20, 2)  # exactly reached
+        if case == 2:
+            tokens["s0"], goal[0] = 199, ("s0", "s0", 20, 1)  # one token short
+        rows = [(i, n, t, [float(n == m) for m in names]) for i, (n, t) in enumerate(tokens.items())]
+        rest = total - sum(tokens.values())
+        rows.append((99, None, max(0, rest), [0.5, 0.0, 0.0, 0.0, 0.5]))
+        total = sum(r[2] for r in rows)
+        docs = spark.createDataFrame(rows, "doc_id long, name string, tokens long, post array<double>")
+        monkeypatch.setattr(M, "prepared", lambda *_, docs=docs, goal=goal: (docs, goal))
+        got = {r.source: r.short for r in M.mix_report(docs, docs).collect()}
+        assert got == {n: tokens.get(n, 0) * most * 100 < pct * total for n, _, pct, most in goal}
+
+
+def test_null_and_repeated_ids_count(spark):
+    docs = spark.createDataFrame([(None, "a b c", "x"), (None, "d", "y"), (1, "e f", "x"), (1, "g", None)], "doc_id long, text string, source string")
+    got = M.labelled(docs).collect()
+    assert len(got) == 4 and sum(len(r.ids) for r in got) == sum(len(x) for x in library()(["a b c", "d", "e f", "g"]))
+    assert {r.name for r in got} == {"x"}
