@@ -7,9 +7,10 @@ are the middle of the emptiest stretch of each language's scores. Contexts are k
 list item, table row, heading, labelled line), since list items and labels end without a full stop. A mark put in place of
 the rest, a broken character or entity and an unclosed code fence also show a cut.
 
-All counts cover all rows. Ends are counted first; a bitmap of fixed size of their hashes is broadcast, so that only
-contexts that are some line's end are counted as going on. Ends of texts count once for copies, so a cut text that is
-copied many times stays cut.
+All counts cover all rows. Contexts of the ends of texts are the only ones that are asked for, so ends are read first; a
+bitmap of those contexts' hashes, 16 bits a context, is broadcast, and only what it holds is counted as going on. Where
+there are more contexts than one bitmap of BITS_MOST bits takes, they are counted in ranges of hashes, each with a bitmap and
+a scan of its own. Ends of texts count once for copies, so a cut text that is copied many times stays cut.
 
 Cases: null, empty and blank texts are no cases; neither is a text of one line with fewer than REMARK_WORDS words and at most
 REMARK_CHARS characters, a remark shorter than any field's limit, unless it bears a mark; copies of a cut text are cases; rows with a repeated doc_id are judged by
@@ -30,14 +31,14 @@ from pyspark.sql import functions as F
 
 from sluicebed.functions.names import plain_name
 from sluicebed.llm.prose import language_of_label
-from sluicebed.plans.shared import written
+from sluicebed.plans.shared import join_hot, written
 
 ORDERS = (1, 2, 4, 6, 8, 10)
 SUPPORT = 20
 THRESHOLD = -2.8
-BITS = 1 << 24
+BITS_LEAST, BITS_MOST = 1 << 16, 1 << 30  # bits of a bitmap; the largest takes 128 MB and 67 million contexts
+PER_KEY = 16
 KINDS = 64  # kinds of text are told apart by a hash with so many values, so the tables of thresholds stay small
-SALTS = 16
 REMARK_CHARS, REMARK_WORDS = 24, 4
 STRETCH = 400_000
 
@@ -186,27 +187,45 @@ def _read_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _bits(pdf: pd.DataFrame) -> pd.DataFrame:
-    part = int(pdf["part"].iloc[0])
-    block = np.zeros(BITS // 64 // 8, np.uint8)
-    np.bitwise_or.at(block, pdf["bit"].to_numpy() >> 3, (1 << (pdf["bit"].to_numpy() & 7)).astype(np.uint8))
-    return pd.DataFrame({"part": [part], "block": [block.tobytes()]})
+PARTS = 64
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of BITS bits of the keys; its size is fixed, whatever the number of keys."""
-    size = BITS // 64
-    bit = F.pmod("key", F.lit(BITS))
+def bitmap_shape(keys: int, least: int = BITS_LEAST, most: int = BITS_MOST) -> tuple[int, int]:
+    """(bits of a bitmap, number of ranges of hashes) for so many keys: at least PER_KEY bits a key, and no bitmap above most."""
+    ranges = max(1, -(-keys * PER_KEY // most))
+    bits = least
+    while bits < most and bits * ranges < keys * PER_KEY:
+        bits *= 2
+    return bits, ranges
+
+
+def _bits(size: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(size // 8, np.uint8)
+        np.bitwise_or.at(block, pdf["bit"].to_numpy() >> 3, (1 << (pdf["bit"].to_numpy() & 7)).astype(np.uint8))
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "block": [block.tobytes()]})
+
+    return run
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the keys, put together from PARTS parts."""
+    size = bits // PARTS
+    bit = F.pmod("key", F.lit(bits))
     parts = keys.select((bit / size).cast("int").alias("part"), (bit % size).cast("int").alias("bit")).distinct()
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in parts.groupBy("part").applyInPandas(_bits, "part int, block binary").collect():
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.groupBy("part").applyInPandas(_bits(size), "part int, block binary").collect():
         out[r[0] * size // 8 : (r[0] + 1) * size // 8] = np.frombuffer(r[1], np.uint8)
     return out
 
 
-def _read_goes_on(bitmap):
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return np.mod(keys >> 34, ranges)
+
+
+def _read_goes_on(bitmap, bits: int, ranges: int, chosen: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        held = bitmap.value
         for b in batches:
             lines: list[str] = []
             for text in b.column("text").to_pylist():
@@ -217,8 +236,10 @@ def _read_goes_on(bitmap):
                 for n in ORDERS:
                     k = keys[n][fresh]
                     k = k[k != 0]
-                    at = np.mod(k, BITS)
-                    k = k[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                    at = np.mod(k, bits)
+                    k = k[(held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                    if ranges > 1:
+                        k = k[_range_of(k, ranges) == chosen]
                     if len(k):
                         u, c = np.unique(k, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c, pa.int64())], ["key", "m"])
@@ -226,31 +247,36 @@ def _read_goes_on(bitmap):
     return run
 
 
+def going_on(texts: DataFrame, ends: DataFrame, most: int = BITS_MOST) -> DataFrame:
+    """(key, m): how often each context of ends(key) goes on in texts(text); contexts outside of ends may come too."""
+    bits, ranges = bitmap_shape(ends.count(), min(BITS_LEAST, most), most)
+    out = None
+    for r in range(ranges):
+        mine = ends.select("key").filter(F.pmod(F.shiftright("key", 34), F.lit(ranges)) == r)
+        shared = texts.sparkSession.sparkContext.broadcast(_bitmap(mine, bits))
+        part = texts.select("text").mapInArrow(_read_goes_on(shared, bits, ranges, r), "key long, m long")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("key").agg(F.sum("m").alias("m"))
+
+
 def scores(documents: DataFrame) -> DataFrame:
     """(doc_id, kind, lang, sure, score): log-odds of each text's end; sure: a mark, broken character or open fence."""
     texts = documents.filter(F.length(F.trim("text")) > 0).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.pmod(F.xxhash64(plain_name(F.col("doc_kind"))), F.lit(KINDS)).cast("string").alias("kind"),
         language_of_label(F.col("lang")).alias("lang"),
-        F.xxhash64("text").alias("tag"),
+        F.xxhash64(F.trim(F.regexp_replace("text", r"\r\n?", "\n"))).alias("tag"),
         "text",
     )
     texts = texts.filter(F.col("text").rlike(r"\S"))
     read = written(texts.mapInArrow(_read_ends, _ENDS))
     finals = read.filter("last").drop("last", "n")
-    early = read.filter("not last").select(F.col("contexts")[0].alias("key"), "n")
-    once = finals.filter("contexts is not null").dropDuplicates(["tag"]).select(F.explode("contexts").alias("key"), F.lit(1).cast("long").alias("n"))
-    ends = written(early.unionByName(once.filter("key != 0")).groupBy("key").agg(F.sum("n").alias("e")))
-    bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(ends.select("key")))
-    goes_on = texts.select("text").mapInArrow(_read_goes_on(bitmap), "key long, m long").groupBy("key").agg(F.sum("m").alias("m"))
-    counts = ends.join(goes_on, "key", "left").select("key", "e", F.coalesce("m", F.lit(0)).alias("m"))
-    # short contexts are shared by most texts: their rows are spread by a salt
-    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = finals.filter("contexts is not null").select(
-        "doc_id", "tag", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.posexplode("contexts").alias("rank", "key")
-    )
-    asked = asked.filter("key != 0")
-    found = asked.join(salted, ["key", "salt"])
+    early = read.filter("not last").select(F.col("contexts")[0].alias("key"), "n", F.lit(False).alias("asked"))
+    once = finals.filter("contexts is not null").dropDuplicates(["tag"]).select(F.explode("contexts").alias("key"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("asked"))
+    ends = written(early.unionByName(once.filter("key != 0")).groupBy("key").agg(F.sum("n").alias("e"), F.max("asked").alias("asked")).filter("asked").drop("asked"))
+    counts = ends.join(going_on(texts, ends), "key", "left").select("key", "e", F.coalesce("m", F.lit(0)).alias("m"))
+    asked = finals.filter("contexts is not null").select("doc_id", "tag", F.posexplode("contexts").alias("rank", "key")).filter("key != 0")
+    found = join_hot(asked, written(counts), "key", asked.count())  # short contexts are shared by most texts
     best = found.filter((F.col("e") - 1 + F.col("m") >= SUPPORT) | (F.col("rank") == 0)).groupBy("doc_id", "tag").agg(
         F.max(F.struct("rank", "e", "m")).alias("b")
     )

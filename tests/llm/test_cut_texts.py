@@ -97,3 +97,30 @@ def test_rates_and_empty(spark):
     df = spark.createDataFrame([(1, "x…", "en", "note", " A_b "), (2, "fine.", None, None, "a-B"), (3, None, "en", "note", None)], SCHEMA)
     assert {(r.source, r.n_docs, r.n_cut) for r in C.cut_rates(df).collect()} == {("ab", 2, 1), (None, 1, 0)}
     assert C.cut_texts(df.limit(0)).count() == 0 and C.cut_rates(df.limit(0)).count() == 0
+
+
+def test_bitmaps_grow_with_the_contexts():
+    assert C.bitmap_shape(0) == (C.BITS_LEAST, 1)
+    for keys in (5_000, 10**6, 60_000_000):
+        bits, ranges = C.bitmap_shape(keys)
+        assert ranges == 1 and C.PER_KEY * keys <= bits < 2 * C.PER_KEY * keys + C.BITS_LEAST
+    bits, ranges = C.bitmap_shape(10**9)
+    assert bits == C.BITS_MOST and ranges * bits >= C.PER_KEY * 10**9
+
+
+def test_ranges_of_contexts_count_alike(spark):
+    """Varied texts: with small bitmaps in many ranges the counts are those of one bitmap and of brute force."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 7))) for _ in range(30)) + "." for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    keys = C._end_contexts([t[: rng.randrange(5, 40)] for t in texts])
+    ends = C.written(spark.createDataFrame([(int(k),) for k in set(keys.ravel().tolist()) - {0}], "key long"))
+    want = {}
+    for t in texts:
+        for i in range(1, len(t)):
+            for k in C._end_contexts([t[:i]])[0].tolist():
+                want[k] = want.get(k, 0) + 1
+    asked = {r[0] for r in ends.collect()}
+    for most in (1 << 10, 1 << 30):
+        got = {r.key: r.m for r in C.going_on(df, ends, most).collect() if r.key in asked}
+        assert got == {k: n for k, n in want.items() if k in asked}
