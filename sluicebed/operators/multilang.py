@@ -7,48 +7,65 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sluicebed.functions.lexing import tokens, unbalanced
+from sluicebed.functions.schemas import LANGUAGES
 from sluicebed.operators.stripping import LEXER, language_of
 
-# Calls that act on their arguments, by language and risk.
+HIGH, MEDIUM = "high", "medium"
+# Calls that act on their arguments, by language and risk, in alphabetical order.
 SINKS = {
-    "c": ("strcpy strcat sprintf vsprintf gets system popen execl execv execve", "strncpy strncat scanf sscanf memcpy memmove"),
-    "cpp": ("strcpy strcat sprintf gets system popen", "memcpy"),
-    "javascript": ("eval Function exec execSync", "spawn spawnSync"),
-    "typescript": ("eval Function exec execSync", "spawn spawnSync"),
-    "tsx": ("eval Function exec execSync", ""),
-    "php": ("eval assert system exec passthru shell_exec popen proc_open unserialize", "mysqli_query mysql_query pg_query sqlite_query"),
-    "java": ("exec", "execute executeQuery executeUpdate prepareStatement createQuery"),
-    "go": ("Command Eval", "Query QueryRow Exec"),
-    "ruby": ("eval system exec spawn", "send public_send constantize"),
-    "rust": ("Command", "from_str_radix"),
+    "c": {HIGH: ("execl", "execv", "execve", "gets", "popen", "sprintf", "strcat", "strcpy", "system", "vsprintf"), MEDIUM: ("memcpy", "memmove", "scanf", "sscanf", "strncpy", "strncat")},
+    "cpp": {HIGH: ("gets", "popen", "sprintf", "strcat", "strcpy", "system"), MEDIUM: ("memcpy",)},
+    "go": {HIGH: ("Command", "Eval"), MEDIUM: ("Exec", "Query", "QueryRow")},
+    "java": {HIGH: ("exec",), MEDIUM: ("createQuery", "execute", "executeQuery", "executeUpdate", "prepareStatement")},
+    "javascript": {HIGH: ("Function", "eval", "exec", "execSync"), MEDIUM: ("spawn", "spawnSync")},
+    "php": {HIGH: ("assert", "eval", "exec", "passthru", "popen", "proc_open", "shell_exec", "system", "unserialize"), MEDIUM: ("mysql_query", "mysqli_query", "pg_query", "sqlite_query")},
+    "ruby": {HIGH: ("eval", "exec", "spawn", "system"), MEDIUM: ("constantize", "public_send", "send")},
+    "rust": {HIGH: ("Command",), MEDIUM: ("from_str_radix",)},
+    "tsx": {HIGH: ("Function", "eval", "exec", "execSync"), MEDIUM: ()},
+    "typescript": {HIGH: ("Function", "eval", "exec", "execSync"), MEDIUM: ("spawn", "spawnSync")},
 }
-# Where untrusted data comes from, by language.
+# Where untrusted data comes from, by language, in alphabetical order; "(" stands for a call, {..} for members.
+_REQUEST = "req.{body,cookies,headers,params,query}"
+_REQUEST_LONG = "request.{body,params,query}"
 SOURCES = {
-    "c": r"\bargv\b|\bgetenv\s*\(|\bfgets\s*\(|\bread\s*\(|\bscanf\s*\(|\brecv\s*\(",
-    "cpp": r"\bargv\b|\bgetenv\s*\(|\bstd::cin\b|\bfgets\s*\(",
-    "javascript": r"\breq\.(?:body|query|params|cookies|headers)\b|\brequest\.(?:body|query|params)\b|\blocation\.(?:hash|search|href)\b|\bdocument\.cookie\b|\bprocess\.argv\b",
-    "typescript": r"\breq\.\w+|\brequest\.\w+|\bprocess\.argv\b",
-    "tsx": r"\breq\.\w+|\bprocess\.argv\b",
-    "php": r"\$_(?:GET|POST|REQUEST|COOKIE|SERVER|FILES)\b|php://input",
-    "java": r"\.getParameter\s*\(|\.getHeader\s*\(|\.getQueryString\s*\(|\.getInputStream\s*\(|\bargs\b",
-    "go": r"\bos\.Args\b|\br\.URL\.Query\b|\br\.FormValue\b|\br\.Header\.Get\b|\bio\.ReadAll\b",
-    "ruby": r"\bparams\b|\brequest\.(?:body|params|headers)\b|\bENV\b|\bARGV\b",
-    "rust": r"\benv::args\b|\benv::var\b|\bstd::io::stdin\b",
+    "c": ("argv", "fgets(", "getenv(", "read(", "recv(", "scanf("),
+    "cpp": ("argv", "fgets(", "getenv(", "std::cin"),
+    "go": ("io.ReadAll(", "os.Args", "r.FormValue(", "r.Header.Get(", "r.URL.Query"),
+    "java": ("args", "getHeader(", "getInputStream(", "getParameter(", "getQueryString("),
+    "javascript": ("document.cookie", "location.{hash,href,search}", "process.argv", _REQUEST, _REQUEST_LONG),
+    "php": ("$_{COOKIE,FILES,GET,POST,REQUEST,SERVER}", "file_get_contents('php://input"),
+    "ruby": ("ARGV", "ENV", "params", "request.{body,headers,params}"),
+    "rust": ("env::args", "env::var", "std::io::stdin"),
+    "tsx": ("process.argv", _REQUEST),
+    "typescript": ("process.argv", _REQUEST, _REQUEST_LONG),
 }
-# The texts of findings and warnings.
+# The texts of findings and warnings.
 SAY = {
-    "language": "{0}: unsupported language for multilingual analysis",
-    "rules": "{0}: no multilingual sink rules for {1}",
-    "syntax": "{0}: syntax errors; multilingual analysis incomplete",
-    "sink": "Call to {0}",
-    "together": "Heuristic: known source and sink `{0}` co-occur in the same {1} function (not a symbolic proof)",
-    "risk": "Heuristic: high-risk {1} sink `{0}` (not a symbolic proof)",
+    "language": "{0}: language not known to this scan",
+    "rules": "{0}: no sinks are listed for {1}",
+    "syntax": "{0}: does not parse, so the scan may have missed calls",
+    "sink": "{0} is called",
+    "together": "{0} is called in a {1} function that reads untrusted data; no flow was proven",
+    "risk": "{0} is dangerous in {1} whatever it is given; no flow was proven",
+    "coverage": "{0} files in other languages than Python: calls and sources were matched by name, paths and imports were not followed",
 }
-_sources = {k: re.compile(v) for k, v in SOURCES.items()}
-_risk = {k: {n: r for r, names in zip(("high", "medium"), v, strict=True) for n in names.split()} for k, v in SINKS.items()}
-_CONTROL = set("if for foreach while switch catch elseif with match sizeof return synchronized using lock when".split())
+
+
+def _source_pattern(names: tuple[str, ...]) -> re.Pattern[str]:
+    parts = []
+    for name in names:
+        p = re.sub(r"\\{(.*?)\\}", lambda m: "(?:" + m[1].replace(",", "|") + ")", re.escape(name))
+        p = p.replace(r"\(", r"\s*\(").replace("'", r"\s*['\"]")
+        parts.append((r"\b" if name[0].isalpha() else "") + p + (r"\b" if p[-1] == ")" or p[-1].isalnum() else ""))
+    return re.compile("|".join(parts))
+
+
+_sources = {lang: _source_pattern(names) for lang, names in SOURCES.items()}
+_risk = {lang: {name: risk for risk, names in by_risk.items() for name in names} for lang, by_risk in SINKS.items()}
+_CONTROL = {"catch", "elseif", "for", "foreach", "if", "lock", "match", "return", "sizeof", "switch", "synchronized", "using", "when", "while", "with"}
 _DEFINE = {"function", "func", "fn", "def", "sub"}
 
 
@@ -163,7 +180,10 @@ def scan(path: str, source: str, disabled: frozenset[str] = frozenset()) -> tupl
 
 
 def scan_files(files: DataFrame, disabled: frozenset[str] = frozenset()) -> DataFrame:
-    """(example_no, seq, kind, path, line, detail) over files(example_no, path, source); warnings have kind "warning"."""
+    """(example_no, seq, kind, path, line, detail) over files(example_no, path, source); warnings have kind "warning".
+
+    The last warning of a row, with a null path, counts its files in languages with rules.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple, tuple] = {}
@@ -182,4 +202,14 @@ def scan_files(files: DataFrame, disabled: frozenset[str] = frozenset()) -> Data
                 rows += [(no, len(found) + i, "warning", path, None, n) for i, n in enumerate(notes)]
             yield pd.DataFrame(rows, columns=["example_no", "seq", "kind", "path", "line", "detail"]).astype({"line": "Int64"})
 
-    return files.select("example_no", "path", "source").mapInPandas(run, "example_no long, seq int, kind string, path string, line long, detail string")
+    found = files.select("example_no", "path", "source").mapInPandas(run, "example_no long, seq int, kind string, path string, line long, detail string")
+    before, after = SAY["coverage"].split("{0}")
+    scanned = F.regexp_extract(F.lower("path"), r"(\.[^./]+)$", 1).isin(*[x for x, lang in LANGUAGES.items() if lang in SINKS])
+    counted = files.filter(scanned & F.col("source").isNotNull()).groupBy("example_no").count().select(
+        "example_no", F.lit(LAST).alias("seq"), F.lit("warning").alias("kind"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("line"),
+        F.concat(F.lit(before), F.col("count").cast("string"), F.lit(after)).alias("detail"),
+    )
+    return found.unionByName(counted)
+
+
+LAST = 2_000_000_000  # comes after all other warnings of a row

@@ -239,7 +239,9 @@ def files_and_hunks(spark, d):
 
 
 def changed(spark, d):
-    return rules.changed_lines(pulls(spark, d))
+    """Changed lines as the rules read them: comments gone and literals blank."""
+    lines = difflines.numbered(pulls(spark, d)).withColumn("line", F.coalesce("new_line", "old_line"))
+    return stripping.masked_lines(lines.select("example_no", "path", "pos", "op", "line", "text"))
 
 
 @query
@@ -267,10 +269,38 @@ def bounds_weakened(spark, d):
     return rules.bounds_weakened(changed(spark, d))
 
 
+def as_they_stand(spark, d):
+    """Changed lines with comments and literals, for comparing the rules with an engine that can't mask."""
+    return rules.changed_lines(pulls(spark, d))
+
+
 @query
-def advisory_rates(spark, d):
-    """Flagship: rows whose changed lines raise a finding, as rates by weakness."""
-    hit = rules.flagged(changed(spark, d)).withColumn("hit", F.lit(True))
+def raw_rule_hits(spark, d):
+    return rules.rule_hits(as_they_stand(spark, d)).select("example_no", "path", F.col("pos").cast("long").alias("pos"), "op", "rule", "kind")
+
+
+@query
+def raw_net_removed_guards(spark, d):
+    return rules.net_removed(as_they_stand(spark, d)).select("example_no", "path", "rule", "line", "text")
+
+
+@query
+def raw_first_sinks(spark, d):
+    return rules.first_sinks(as_they_stand(spark, d)).select("example_no", "path", "rule", "line", "text")
+
+
+@query
+def raw_csrf_deleted(spark, d):
+    return rules.csrf_deleted(as_they_stand(spark, d)).select("example_no", "path", "line", "text")
+
+
+@query
+def raw_bounds_weakened(spark, d):
+    return rules.bounds_weakened(as_they_stand(spark, d))
+
+
+def rates_of(spark, d, lines):
+    hit = rules.flagged(lines).withColumn("hit", F.lit(True))
     rows = pulls(spark, d).select("example_no", "malicious", F.coalesce(cwe_codes(F.col("cwe_id")), F.lit("None")).alias("cwe")).join(hit, "example_no", "left")
     bad, raised = F.coalesce("malicious", F.lit(False)), F.coalesce("hit", F.lit(False))
     return rows.groupBy("cwe").agg(
@@ -281,10 +311,20 @@ def advisory_rates(spark, d):
     )
 
 
+@query
+def advisory_rates(spark, d):
+    """Flagship: rows whose changed lines raise a finding, as rates by weakness."""
+    return rates_of(spark, d, changed(spark, d))
+
+
+@query
+def raw_advisory_rates(spark, d):
+    return rates_of(spark, d, as_they_stand(spark, d))
+
+
 @query
 def diff_findings(spark, d):
-    lines = difflines.numbered(pulls(spark, d)).withColumn("line", F.coalesce("new_line", "old_line"))
-    return rules.findings_of(stripping.masked_lines(lines.select("example_no", "path", "pos", "op", "line", "text")))
+    return rules.findings_of(changed(spark, d))
 
 
 # program analysis

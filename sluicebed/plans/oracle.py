@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from sluicebed.functions.names import PLACEHOLDERS
 from sluicebed.functions.schemas import ADVISORY_KINDS, DEFAULT_SOURCE, LANGUAGES
-from sluicebed.operators import rules
 
 
 def _q(s: str) -> str:
@@ -93,23 +92,54 @@ IDS = CONTEXT + f""",
 whole AS (SELECT sl.* FROM sl WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE a.example_no = sl.example_no AND a.path = sl.path)),
 chosen AS (SELECT *, substr({strip('text')}, 1, 80) AS quote FROM (SELECT * FROM ctx UNION ALL SELECT * FROM whole)),
 ids AS (SELECT example_no, 'L' || row_number() OVER (PARTITION BY example_no ORDER BY path, line) AS line_id, path, line, quote FROM chosen WHERE quote <> '')"""
-HITS = NUMBERED + ",\nhits AS (" + "\nUNION ALL ".join(
-    f"SELECT *, '{r}' AS rule, '{k}' AS kind FROM ch WHERE regexp_matches(text, {_q('(?i)' + p)})" for r, (k, p, _) in {**rules.REMOVED, **rules.ADDED}.items()
+
+
+def _has(*words: str) -> str:
+    """A substring test; sq is the line in lower case without blanks before parentheses."""
+    return "(" + " OR ".join(f"contains(sq, {_q(w)})" for w in words) + ")"
+
+
+def _rx(p: str) -> str:
+    return f"regexp_matches(sq, {_q(p)})"
+
+
+# What each rule looks for, told again for this engine: substrings first, expressions where they must be.
+_TESTS = {
+    "R1": ("diff_sanitizer_removed", _has("quote(", "quoteidentifier(", "addslashes(", "pdo::quote", "mysqli_real_escape", "pg_escape", "bind_param", "parameteriz", "sqlalchemy.text") + " OR contains(regexp_replace(sq, '\\s', '', 'g'), 'preparedstatement')"),
+    "R2": ("diff_sanitizer_removed", _has("xss", "escape", "sanitize", "dompurify", "htmlentities", "bleach.clean", "htmlspecialchars", "encodeuricomponent")),
+    "R3": ("diff_sanitizer_removed", _has("shlex.quote", "pipes.quote", "escapeshellcmd", "escapeshellarg", "shellwords.escape", "subprocess.list2cmdline")),
+    "R4": ("diff_sanitizer_removed", _has("pin::new", "mem::forget", "manuallydrop", "drop_in_place")),
+    "R5": ("diff_sanitizer_removed", _has("realpath", "canonical", "basename(", "path.resolve", "filepath.clean", "path.normalize", "secure_filename", "os.path.normpath") + " OR " + _rx("(hasprefix|strings[.]contains)[(].*[.][.]")),
+    "R6": ("diff_csrf_removed", _has("@csrf", "verify_csrf", "csrf_token", "csrf_protect", "csrfviewmiddleware", "protect_from_forgery")),
+    "R7": ("diff_authz_removed", _has("can?", "is_admin", "authorize", "authoris", "check_auth", "authenticate!", "@login_required", "permission_required") + " OR " + _rx("require_.*auth") + " OR " + _rx("ensure_.*user")),
+    "R8": ("diff_sink", _rx("([.]\\s*(query|execute|executemany)|pg_query|mysqli_query)[(][^;]*([+]|[.]format[(]|\\s[.]\\s)")),
+    "R9": ("diff_sink", " OR ".join(_rx(rf"\b{w}\b") for w in ("exec", "open3", "popen", "system", "execsync", "io[.]popen", "os[.]system", "runtime[.]exec", "child_process", "kernel[.]system", "processbuilder", "subprocess[.](run|call|popen)")) + " OR " + _rx("\\bspawn[(]") + " OR " + _rx("`[^`]*[$][{]?\\w")),
+    "R10": ("diff_sink", _has("v-html", "innerhtml", "outerhtml", "document.write", "dangerouslysetinnerhtml") + " OR " + _rx("echo\\s+[$]_(get|post|request)") + " OR regexp_matches(regexp_replace(sq, '[{][{]\\s*\\w+\\s*[}][}]\\s*([|]|escape)', '', 'g'), '[{][{]\\s*\\w+\\s*[}][}]')"),
+    "R11": ("diff_sink", _rx("(open|readfile|writefile|include|require|file_get_contents|os[.]remove|ioutil[.]readfile)[(][^)]*([+]|[$][{]|[.][.]/)")),
+    "R12": ("diff_sink", _rx("\\b(os[.])?(makedirs|mkdir)[(][^)]*0[0-7]*[2367]")),
+    "R13": ("diff_sink", " OR ".join(_rx(rf"\b{w}") for w in ("eval\\b", "exec\\b", "__import__\\b", "marshal[.]load\\b", "pickle[.]loads\\b", "function[(]", "compile[(]", "unserialize[(]", "yaml[.]load[(]", "set(timeout|interval)[(]\\s*['\"]"))),
+    "R14": ("diff_sink", _has("manuallydrop", "drop_in_place") + " OR " + _rx("use.after.free") + " OR " + _rx("dangling\\s*pointer") + " OR " + _rx("\\bfree[(]")),
+    "R15": ("diff_sink", _rx("\\b(strcpy|strcat|sprintf|memcpy|gets)[(]")),
+}
+_REMOVED, _ADDED = [f"R{i}" for i in range(1, 8)], [f"R{i}" for i in range(8, 16)]
+_SQ = "regexp_replace(lower(text), '\\s+\\(', '(', 'g')"
+HITS = NUMBERED + f",\nsq AS (SELECT *, {_SQ} AS sq FROM ch),\nhits AS (" + "\nUNION ALL ".join(
+    f"SELECT * EXCLUDE (sq), '{r}' AS rule, '{k}' AS kind FROM sq WHERE {test}" for r, (k, test) in _TESTS.items()
 ) + ")"
 NET = f"""net AS (SELECT example_no, path, rule, kind, arg_min(line, pos) FILTER (WHERE op = '-') AS line, arg_min(text, pos) FILTER (WHERE op = '-') AS text
-  FROM hits WHERE rule IN {_in(rules.REMOVED)} GROUP BY ALL HAVING count(*) FILTER (WHERE op = '-') > count(*) FILTER (WHERE op = '+'))"""
+  FROM hits WHERE rule IN {_in(_REMOVED)} GROUP BY ALL HAVING count(*) FILTER (WHERE op = '-') > count(*) FILTER (WHERE op = '+'))"""
 SINKS = f"""sinks AS (SELECT example_no, path, rule, kind, arg_min(line, pos) AS line, arg_min(text, pos) AS text FROM hits h
-  WHERE rule IN {_in(rules.ADDED)} AND op = '+' AND NOT EXISTS (SELECT 1 FROM ch c WHERE c.op = '-' AND c.example_no = h.example_no AND c.path = h.path AND c.text = h.text) GROUP BY ALL)"""
-_csrf = _q("(?i)" + rules.CSRF)
-CSRF = f"""csrf AS (SELECT example_no, path, line, text FROM ch c WHERE op = '-' AND regexp_matches(text, {_csrf})
-  AND NOT EXISTS (SELECT 1 FROM ch a WHERE a.op = '+' AND a.example_no = c.example_no AND a.path = c.path AND regexp_matches(a.text, {_csrf})))"""
+  WHERE rule IN {_in(_ADDED)} AND op = '+' AND NOT EXISTS (SELECT 1 FROM ch c WHERE c.op = '-' AND c.example_no = h.example_no AND c.path = h.path AND c.text = h.text) GROUP BY ALL)"""
+_guard = "(contains(lower({0}), 'verify_csrf') OR contains(lower({0}), 'csrf_protect') OR contains(lower({0}), 'protect_from_forgery'))"
+CSRF = f"""csrf AS (SELECT example_no, path, line, text FROM ch c WHERE op = '-' AND {_guard.format('text')}
+  AND NOT EXISTS (SELECT 1 FROM ch a WHERE a.op = '+' AND a.example_no = c.example_no AND a.path = c.path AND {_guard.format('a.text')}))"""
 _conj = "len(regexp_extract_all({0}, '&&|\\|\\|'))"
-BOUNDS = f"""ifs AS (SELECT * FROM ch WHERE regexp_matches(text, '{rules.HAS_IF}')),
+BOUNDS = f"""ifs AS (SELECT * FROM ch WHERE regexp_matches(text, '\\bif\\s*[(]')),
 added AS (SELECT example_no, path, min(length(text)) AS shortest, min({_conj.format('text')}) AS fewest, list(DISTINCT text) AS texts FROM ifs WHERE op = '+' GROUP BY ALL),
 weak AS (SELECT i.example_no, i.path, i.pos, i.line, i.text FROM ifs i JOIN added USING (example_no, path)
-  WHERE op = '-' AND (regexp_matches(text, {_q('(?i)' + rules.UPPER)}) OR {_conj.format('text')} > 0)
+  WHERE op = '-' AND (regexp_matches(lower(text), '(nr_\\w+|size|_max|_sz|length|count).*[<>]|[<>].*(nr_\\w+|size|_max|_sz|length|count)|nr_syscalls') OR {_conj.format('text')} > 0)
   AND (shortest < length(text) OR fewest < {_conj.format('text')})
-  AND len(list_filter(regexp_extract_all(text, '{rules.BOUND_TOKENS}', 1), lambda t: len(list_filter(texts, lambda x: contains(x, t))) > 0)) = 0),
+  AND len(list_filter(regexp_extract_all(text, '(sizeof\\s*[(][^)]*[)]|NR_\\w+|\\w+_SZ|\\w+_MAX)', 1), lambda t: len(list_filter(texts, lambda x: contains(x, t))) > 0)) = 0),
 bounds AS (SELECT example_no, path, arg_min(line, pos) AS line, arg_min(text, pos) AS text FROM weak GROUP BY ALL)"""
 FOUND = "found AS (SELECT id, seq - 1 AS seq, f.kind AS kind, f.path AS path, f.line AS line, f.detail AS detail FROM (SELECT id, unnest(findings) AS f, unnest(range(1, len(findings) + 1)) AS seq FROM analysis_row))"
 
@@ -193,12 +223,12 @@ SQL = {
     "review_line_ids": f"WITH {IDS} SELECT * FROM ids",
     "files_and_hunks": f"""WITH {LINES}, {FILES}, h AS (SELECT *, sum(CAST(starts_with(raw, '@@ ') AS INT)) OVER (PARTITION BY example_no, section_no ORDER BY pos) AS hunk_no FROM p WHERE path IS NOT NULL AND NOT mark),
       n AS (SELECT example_no, path, count(DISTINCT (section_no, hunk_no)) AS n_hunks FROM h WHERE hunk_no > 0 GROUP BY ALL) SELECT example_no, path, coalesce(n_hunks, 0) AS n_hunks, n_hunks IS NULL AS "full" FROM files LEFT JOIN n USING (example_no, path)""",
-    "rule_hits": f"WITH {HITS} SELECT example_no, path, pos, op, rule, kind FROM hits",
-    "net_removed_guards": f"WITH {HITS}, {NET} SELECT example_no, path, rule, line, text FROM net",
-    "first_sinks": f"WITH {HITS}, {SINKS} SELECT example_no, path, rule, line, text FROM sinks",
-    "csrf_deleted": f"WITH {NUMBERED}, {CSRF} SELECT * FROM csrf",
-    "bounds_weakened": f"WITH {NUMBERED}, {BOUNDS} SELECT * FROM bounds",
-    "advisory_rates": f"""WITH {HITS}, {NET}, {SINKS}, {CSRF}, {BOUNDS}, hit AS (SELECT example_no FROM net UNION SELECT example_no FROM sinks UNION SELECT example_no FROM csrf UNION SELECT example_no FROM bounds),
+    "raw_rule_hits": f"WITH {HITS} SELECT example_no, path, pos, op, rule, kind FROM hits",
+    "raw_net_removed_guards": f"WITH {HITS}, {NET} SELECT example_no, path, rule, line, text FROM net",
+    "raw_first_sinks": f"WITH {HITS}, {SINKS} SELECT example_no, path, rule, line, text FROM sinks",
+    "raw_csrf_deleted": f"WITH {NUMBERED}, {CSRF} SELECT * FROM csrf",
+    "raw_bounds_weakened": f"WITH {NUMBERED}, {BOUNDS} SELECT * FROM bounds",
+    "raw_advisory_rates": f"""WITH {HITS}, {NET}, {SINKS}, {CSRF}, {BOUNDS}, hit AS (SELECT example_no FROM net UNION SELECT example_no FROM sinks UNION SELECT example_no FROM csrf UNION SELECT example_no FROM bounds),
       r AS (SELECT coalesce({codes('cwe_id')}, 'None') AS cwe, coalesce(malicious, false) AS bad, example_no IN (SELECT example_no FROM hit) AS raised FROM pull_example)
       SELECT cwe, count(*) FILTER (WHERE bad) AS malicious_n, count(*) FILTER (WHERE NOT bad) AS benign_n, count(*) FILTER (WHERE bad AND raised)::DOUBLE / nullif(count(*) FILTER (WHERE bad), 0) AS tpr,
       count(*) FILTER (WHERE NOT bad AND raised)::DOUBLE / nullif(count(*) FILTER (WHERE NOT bad), 0) AS fpr FROM r GROUP BY cwe""",
