@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 
 from sluicebed.functions.names import cwe_codes
 from sluicebed.operators import evaluate, findings, metrics, prs
+from sluicebed.plans.shared import ship, written
 from sluicebed.sources import sinks
 from sluicebed.sources.jsonl import load_benchmark, load_results, read_analysis, repaired_results
 
 
 def _records(spark: SparkSession, a: argparse.Namespace):
     rows = load_benchmark(spark, a.enriched_root, a.metadata_root, a.benchmark, a.cwe, not a.skip_benign, a.hard_split, a.need_code)
-    return rows.withColumn("example_no", F.xxhash64("id", "malicious"))
+    numbered = rows.withColumn("example_no", F.xxhash64("id", "malicious"))
+    twice = numbered.groupBy("example_no").count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two records share the number {twice[0][0]}")
+    return numbered
 
 
 def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = prs.require_complete(_records(spark, a), ("pr_title", "pr_body", "diff"))
     if a.dry_run:
-        rows.groupBy("malicious").count().show()
+        rows.groupBy("malicious").count().orderBy("malicious").show()
         return
     settings = evaluate.Settings(tuple(a.modes.split(",")), tuple(x for x in a.disable.split(",") if x), a.budget, a.limit, a.seed, a.model, a.output)
     evaluate.run(rows, repaired_results(spark, a.output) if a.resume else None, settings)
@@ -30,7 +35,7 @@ def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def run_analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = _records(spark, a)
-    rows = rows.join(prs.balanced_sample(rows, a.limit, a.seed).select("example_no"), "example_no", "left_semi") if a.limit else rows
+    rows = written(rows.limit(a.limit)) if a.limit else rows  # the first records, as they are read
     found = findings.reports(findings.analyze(rows, tuple(x for x in a.disable.split(",") if x), a.changed_files_only))
     out = rows.select("example_no", "id", cwe_codes(F.col("cwe_id")).alias("cwe"), "malicious").join(prs.changed_extensions(rows), "example_no").join(found, "example_no", "left")
     sinks.write_once(out.withColumn("advisory", F.coalesce("advisory", F.lit(False))).drop("example_no"), a.output, a.force)
@@ -70,7 +75,7 @@ def arguments() -> argparse.ArgumentParser:
         if name == "evaluate":
             p.add_argument("--modes", default="baseline,multi_agent,hybrid")
             p.add_argument("--budget", type=int, default=32_768)
-            p.add_argument("--model", default="fake")
+            p.add_argument("--model", default="fake", help="fake, or module:attribute of a callable (system, user) -> answer")
     for name in ("score", "report"):
         p = jobs.add_parser(name)
         p.add_argument("input")
@@ -82,6 +87,7 @@ def arguments() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     a = arguments().parse_args(argv)
     spark = SparkSession.builder.appName(f"sluicebed-{a.job}").getOrCreate()
+    ship(spark)
     {"evaluate": run_evaluate, "analyze": run_analyze, "score": run_score, "report": run_report}[a.job](spark, a)
 
 

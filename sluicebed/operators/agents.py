@@ -36,16 +36,16 @@ def stripped(pulls: DataFrame) -> DataFrame:
 
 def scanned(pulls: DataFrame, budget: int, model: Model) -> DataFrame:
     """(example_no, chunk_no, place, path): regions named by the scanner; answers that aren't JSON give none."""
-    chunked = review.chunks(review_text(pulls), "example_no", "review_text", budget)
-    answers = review.reviewed(chunked, "example_no", SCANNER, model)
+    chunked = review.chunks(review_text(pulls), "example_no", "review_text", budget, review.counter(model))
+    answers = review.reviewed(chunked, "example_no", SCANNER, model, budget)
     region = F.explode(review.json_regions(F.col("response"))).alias("r")
     return answers.select("example_no", "chunk_no", region).select("example_no", "chunk_no", F.col("r.where").alias("place"), "r.path")
 
 
 def detected(pulls: DataFrame, budget: int, model: Model) -> DataFrame:
     """(pr_id, detected, valid, note), pr_id being example_no."""
-    chunked = review.chunks(review_text(pulls), "example_no", "review_text", budget)
-    return review.injection_flags(review.reviewed(chunked, "example_no", DETECTOR, model).withColumnRenamed("example_no", "pr_id"))
+    chunked = review.chunks(review_text(pulls), "example_no", "review_text", budget, review.counter(model))
+    return review.injection_flags(review.reviewed(chunked, "example_no", DETECTOR, model, budget).withColumnRenamed("example_no", "pr_id"))
 
 
 def audited(pulls: DataFrame, regions: DataFrame | None, budget: int, model: Model, strip_comments: bool = True) -> DataFrame:
@@ -62,8 +62,8 @@ def audited(pulls: DataFrame, regions: DataFrame | None, budget: int, model: Mod
     all_rows = shown.unionByName(patch).join(first, ["example_no", "path"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "part", "nth", "row"))), lambda x: x["row"]), "\n")
     prompts = all_rows.groupBy("example_no").agg(text.alias("prompt"))
-    chunked = written(review.chunks(prompts, "example_no", "prompt", budget))
-    answers = review.parsed(review.reviewed(chunked, "example_no", AUDITOR, model).withColumnRenamed("example_no", "pr_id"))
+    chunked = written(review.chunks(prompts, "example_no", "prompt", budget, review.counter(model)))
+    answers = review.parsed(review.reviewed(chunked, "example_no", AUDITOR, model, budget).withColumnRenamed("example_no", "pr_id"))
     visible = review.visible_in_chunks(chunked.withColumnRenamed("example_no", "pr_id"), lines.withColumnRenamed("example_no", "pr_id"))
     return review.grounded(answers, visible)
 
@@ -125,9 +125,9 @@ def signals(pulls: DataFrame, steps: tuple[DataFrame, DataFrame, DataFrame], fou
 def hybrid(pulls: DataFrame, steps: tuple[DataFrame, DataFrame, DataFrame], found: DataFrame, budget: int, model: Model, disabled: tuple[str, ...] = ()) -> DataFrame:
     """(example_no, response): the model's own verdict on every chunk under the signals; the worst chunk counts."""
     told = signals(pulls, steps, found, disabled)
-    chunked = review.chunks(review_text(pulls), "example_no", "review_text", budget).join(told, "example_no")
+    chunked = review.chunks(review_text(pulls), "example_no", "review_text", budget, review.counter(model)).join(told, "example_no")
     asked = chunked.select("example_no", "chunk_no", F.concat(F.col("signals"), F.lit("\n\n"), F.col("chunk")).alias("chunk"))
-    answers = review.reviewed(asked, "example_no", HYBRID, model)
+    answers = review.reviewed(asked, "example_no", HYBRID, model, budget)
     parts = F.array_sort(F.collect_list(F.struct("chunk_no", "response")))
     worst = answers.groupBy("example_no").agg(
         F.concat_ws("\n", review.worst(review.verdict(F.col("response"))), F.array_join(F.transform(parts, lambda x: x["response"]), "\n")).alias("response")

@@ -44,9 +44,10 @@ class Settings:
 
 def baseline(pulls: DataFrame, budget: int, model: Callable[[str, str], str] = review.fake_model) -> DataFrame:
     """(example_no, response): the worst verdict over chunks, then the chunks' answers in order."""
-    answers = review.reviewed(review.chunks(review_text(pulls), "example_no", "review_text", budget), "example_no", "Begin with a verdict.", model)
+    chunked = review.chunks(review_text(pulls), "example_no", "review_text", budget, review.counter(model))
+    answers = review.reviewed(chunked, "example_no", "Begin with a verdict.", model, budget)
     v = review.verdict(F.col("response"))
-    parts = F.array_sort(F.collect_list(F.struct("chunk_no", "response")))
+    parts = F.array_sort(F.collect_list(F.struct("chunk_no", "part_no", "response")))
     return answers.groupBy("example_no").agg(
         F.concat_ws("\n", review.worst(v), F.array_join(F.transform(parts, lambda x: x["response"]), "\n")).alias("response")
     )
@@ -61,11 +62,14 @@ def analysis_only(pulls: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame
     )
 
 
-def run(pulls: DataFrame, done: DataFrame | None, settings: Settings, model: Callable[[str, str], str] = review.fake_model) -> DataFrame:
+def run(pulls: DataFrame, done: DataFrame | None, settings: Settings, model: Callable[[str, str], str] | None = None) -> DataFrame:
     """Result rows of the work that `done` lacks, for all modes; appended to settings.output.
 
+    The model is that of settings.model, unless one is given.
+
     Work is skipped by an anti join before anything is reviewed, so a run that was stopped goes on where it ended.
     """
+    model = model or review.resolve(settings.model)
     guard_run(pulls, asdict(settings))
     first = pulls.groupBy("id", "malicious").agg(F.min("example_no").alias("example_no")).select("example_no")
     rows = pulls.join(first, "example_no")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -153,12 +154,30 @@ def pack_lines(text: str, budget: int, count: Callable[[str], int] = len) -> lis
     return [*out, held] if held else out
 
 
-def chunks(texts: DataFrame, key: str, column: str, budget: int) -> DataFrame:
-    """(key, chunk_no, chunk) of texts(key, column), packed by lines within budget characters."""
+def counter(model: Callable[[str, str], str]) -> Callable[[str], int]:
+    """How a model's budget is counted: by its count_tokens(text) if it has one, else in characters."""
+    return getattr(model, "count_tokens", len)
+
+
+def resolve(name: str) -> Callable[[str, str], str]:
+    """The model of this name: "fake", or "module:attribute", a callable (system, user) -> answer."""
+    if name == "fake":
+        return fake_model
+    module, _, attribute = name.partition(":")
+    if not attribute:
+        raise ValueError(f"unknown model {name}: give fake or module:attribute")
+    found = getattr(importlib.import_module(module), attribute)
+    if not callable(found):
+        raise TypeError(f"{name} can't be called")
+    return found
+
+
+def chunks(texts: DataFrame, key: str, column: str, budget: int, count: Callable[[str], int] = len) -> DataFrame:
+    """(key, chunk_no, chunk) of texts(key, column), packed by lines within a budget that `count` measures."""
 
     @F.pandas_udf("array<string>")
     def pack(texts: pd.Series) -> pd.Series:
-        return pd.Series([pack_lines(t, budget) for t in texts])
+        return pd.Series([pack_lines(t, budget, count) for t in texts])
 
     return texts.filter(F.col(column).isNotNull()).select(key, F.posexplode(pack(F.col(column))).alias("chunk_no", "chunk"))
 
@@ -184,24 +203,38 @@ def fake_model(system: str, user: str) -> str:
     return ("APPROVE", "COMMENT: look again", "BLOCK: defect\nEVIDENCE: L1", "no verdict")[pick]
 
 
-def reviewed(chunked: DataFrame, key: str, system: str, model: Callable[[str, str], str] = fake_model, halvings: int = 4) -> DataFrame:
-    """(key, chunk_no, response): the model's answer to each chunk. A chunk that runs out of memory is answered again in
-    halves, at most `halvings` times; other errors end the task."""
+LEAST_BUDGET = 512
 
-    def answer(text: str, left: int) -> str:
+
+def answers_within_memory(text: str, ask: Callable[[str], str], budget: int, count: Callable[[str], int] = len, halvings: int = 4) -> list[str]:
+    """The answers to a text that fits the budget. If one runs out of memory, all of the text is asked again in pieces of
+    half the budget, at most `halvings` times and never below LEAST_BUDGET; then the error stands. Other errors do at once."""
+    for left in range(halvings, -1, -1):
         try:
-            return model(system, text)
+            return [ask(piece) for piece in pack_lines(text, budget, count)]
         except MemoryError:
-            if not left or len(text) < 2:
+            if not left or budget <= LEAST_BUDGET:
                 raise
-            mid = len(text) // 2
-            return "\n".join(answer(t, left - 1) for t in (text[:mid], text[mid:]))
+        budget = max(LEAST_BUDGET, budget // 2)
+    raise AssertionError
+
+
+def reviewed(chunked: DataFrame, key: str, system: str, model: Callable[[str, str], str] = fake_model, budget: int = 32_768, halvings: int = 4) -> DataFrame:
+    """(key, chunk_no, part_no, response): the model's answers to each chunk, several where it had to be asked in pieces.
+
+    Each answer is a row of its own, so a verdict in any of them counts when answers are reduced.
+    """
+    count = counter(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "chunk_no": pdf["chunk_no"], "response": [answer(t, halvings) for t in pdf["chunk"]]})
+            rows = []
+            for k, n, text in zip(pdf[key], pdf["chunk_no"], pdf["chunk"], strict=True):
+                got = answers_within_memory(text, lambda piece: model(system, piece), max(budget, count(text)), count, halvings)
+                rows += [(k, n, i, x) for i, x in enumerate(got)]
+            yield pd.DataFrame(rows, columns=[key, "chunk_no", "part_no", "response"])
 
-    return chunked.select(key, "chunk_no", "chunk").mapInPandas(run, f"{key} {dict(chunked.dtypes)[key]}, chunk_no int, response string")
+    return chunked.select(key, "chunk_no", "chunk").mapInPandas(run, f"{key} {dict(chunked.dtypes)[key]}, chunk_no int, part_no int, response string")
 
 
 def scored(pulls: DataFrame, answers: DataFrame) -> DataFrame:

@@ -491,20 +491,23 @@ def csv_report(spark, d):
 
 
 def result_stream(spark, d):
+    """eval_result as a stream of its files; a single file is named by a pattern, as streams read folders and patterns only."""
     path = f"{d}/eval_result.parquet"
-    return spark.readStream.schema(table(spark, d, "eval_result").schema).option("pathGlobFilter", "*.parquet").parquet(path if not path.startswith("/") or __import__("os").path.isdir(path) else d + "/eval_result.parque[t]")
+    place_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = place_.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place_).isDirectory()
+    return spark.readStream.schema(table(spark, d, "eval_result").schema).option("pathGlobFilter", "*.parquet").parquet(path if folder else f"{path[:-1]}[t]")
 
 
 @query
 def streamed_keys(spark, d):
-    rows = streaming.unique_stream(result_stream(spark, d), late="10000 days")
+    rows = streaming.unique_stream(result_stream(spark, d), late="7 days")
     return streaming.drained(rows.select("id", "malicious", "mode"))
 
 
 @query
 def streamed_daily(spark, d):
     rows = streaming.rescored(result_stream(spark, d))
-    got = streaming.drained(streaming.hourly(rows, late="10000 days"), "complete")
+    got = streaming.drained(streaming.hourly(rows, late="7 days"), "complete")
     return got.select(F.col("window.start").alias("day"), "mode", "verdict", "n")
 
 

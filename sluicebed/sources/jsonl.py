@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,9 @@ from pyspark.sql import types as T
 from sluicebed.functions.schemas import ANALYSIS, RAW_PULL, RESULT, SUPPORTED_CWES
 
 
+BATCH = 50_000  # rows of a local database in memory at a time
+
+
 def _parsed(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("_path"))
     one = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
@@ -151,12 +155,20 @@ def read_analysis(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sqlite(path: str, query: str, spark: SparkSession, schema: str) -> DataFrame:
-    """Rows of a local SQLite file through the standard library; a cluster uses read_jdbc."""
+    """Rows of a local SQLite file through the standard library, BATCH at a time; a cluster uses read_jdbc."""
     import sqlite3
 
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        rows = db.execute(query).fetchall()
-    return spark.createDataFrame(rows, schema)
+    from sluicebed.plans.shared import place
+
+    out = place(spark, "sqlite")
+    with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+        found = db.execute(query)
+        rows = found.fetchmany(BATCH)
+        while True:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(out)
+            rows = found.fetchmany(BATCH)
+            if not rows:
+                return spark.read.schema(schema).parquet(out)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int) -> DataFrame:

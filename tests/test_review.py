@@ -60,14 +60,51 @@ def test_counted_chunks_are_those_of_packing(spark):
         assert got == [len(review.pack_lines(t, budget)) for t in texts]
 
 
-def test_memory_is_met_with_halves(spark):
+def test_memory_is_met_with_a_smaller_budget(spark):
+    text = "".join(f"line {i:03d} of the diff\n" for i in range(120))  # 2,520 characters
+
     def model(system, user):
-        if len(user) > 3:
+        if len(user) > 700:
             raise MemoryError
-        return f"APPROVE: {user}"
-
-    chunked = spark.createDataFrame([(1, 0, "abcdef")], "example_no long, chunk_no int, chunk string")
-    assert review.reviewed(chunked, "example_no", "s", model).first().response == "APPROVE: abc\nAPPROVE: def"
+        return "BLOCK: late defect" if "line 119" in user else "APPROVE: fine"
+
+    chunked = spark.createDataFrame([(1, 0, text), (2, 0, "short")], "k long, chunk_no int, chunk string")
+    got = review.reviewed(chunked, "k", "s", model, budget=2_600).orderBy("k", "part_no").collect()
+    mine = [r for r in got if r.k == 1]
+    assert len(mine) > 2 and mine[-1].response.startswith("BLOCK") and [r.part_no for r in mine] == list(range(len(mine)))
+    worst = review.reviewed(chunked, "k", "s", model, budget=2_600).groupBy("k").agg(review.worst(review.verdict(F.col("response"))).alias("v"))
+    assert {r.k: r.v for r in worst.collect()} == {1: "BLOCK", 2: "APPROVE"}
+
+
+def test_memory_runs_out_at_last():
+    asked = []
+
+    def never(text):
+        asked.append(len(text))
+        raise MemoryError
+
+    with pytest.raises(MemoryError):
+        review.answers_within_memory("a" * 100_000, never, 100_000)
+    assert asked == [100_000, 50_000, 25_000, 12_500, 6_250]  # four halvings
+    asked.clear()
+    with pytest.raises(MemoryError):
+        review.answers_within_memory("a" * 1_500, never, 1_500)
+    assert asked == [1_500, 750, 512]  # never below the floor
+    with pytest.raises(ValueError):
+        review.answers_within_memory("a", lambda _: (_ for _ in ()).throw(ValueError()), 600)
+    pieces = []
+    review.answers_within_memory("a b c d", lambda t: pieces.append(t), 2, lambda t: len(t.split()))
+    assert "".join(pieces) == "a b c d" and all(len(p.split()) <= 2 for p in pieces)
+
+
+def test_models_by_name():
+    assert review.resolve("fake") is review.fake_model and review.resolve("builtins:print") is print
+    for bad, error in (("real", ValueError), ("os:sep", TypeError), ("no_such_module:f", ImportError)):
+        with pytest.raises(error):
+            review.resolve(bad)
+    counted = lambda system, user: "APPROVE"
+    counted.count_tokens = lambda text: len(text.split())
+    assert review.counter(counted)("a b c") == 3 and review.counter(review.fake_model)("abc") == 3
 
 
 def result(spark, rows):
