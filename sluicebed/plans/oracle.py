@@ -249,7 +249,8 @@ SQL = {
     "verdict_tally": f"WITH {PARSED} SELECT pr_id, " + ", ".join(f"count(*) FILTER (WHERE auditor_verdict = '{v}') AS n_{v.lower()}" for v in ("BLOCK", "COMMENT", "UNKNOWN", "APPROVE")) + " FROM parsed GROUP BY pr_id",
     "top_reviews": f"""WITH {GROUNDED} SELECT pr_id, chunk_no, auditor_verdict, row_number() OVER (PARTITION BY pr_id ORDER BY list_position(['BLOCK', 'COMMENT', 'UNKNOWN', 'APPROVE'], auditor_verdict), grounded DESC, chunk_no) AS rank FROM grounded
       QUALIFY rank <= 20""",
-    "packed_chunks": """WITH l AS (SELECT example_no, list_transform(string_split(diff, chr(10)), lambda x: {'n': 1::BIGINT, 'size': length(x) + 1}) AS a FROM pull_example WHERE diff IS NOT NULL AND diff <> '')
+    "packed_chunks": """WITH l AS (SELECT example_no, flatten(list_transform(string_split(diff, chr(10)), lambda x: list_transform(range(0, 1 + length(x) // 2000),
+        lambda i: {'n': 1::BIGINT, 'size': CASE WHEN i < length(x) // 2000 THEN 2000 ELSE length(x) + 1 - 2000 * (length(x) // 2000) END}))) AS a FROM pull_example WHERE diff IS NOT NULL AND diff <> '')
       SELECT example_no, list_reduce(a, lambda s, x: CASE WHEN s.size + x.size > 2000 AND s.size > 0 THEN {'n': s.n + 1, 'size': x.size} ELSE {'n': s.n, 'size': s.size + x.size} END).n AS n_chunks FROM l""",
     "review_chunks": """SELECT example_no, length('Title:' || chr(10) || coalesce(pr_title, '') || chr(10) || chr(10) || 'Description:' || chr(10) || coalesce(pr_body, '') || chr(10) || chr(10) || 'Changed files:' || chr(10)
       || coalesce(array_to_string(files_changed, chr(10)), '') || chr(10) || chr(10) || 'Diff:' || chr(10) || coalesce(diff, '')) AS n_chars FROM pull_example""",
