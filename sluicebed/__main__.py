@@ -1,4 +1,4 @@
-"""python -m sluicebed evaluate | analyze | score | report: the jobs as spark-submit runs them."""
+"""python -m sluicebed evaluate | analyze | enrich | score | report: the jobs as spark-submit runs them."""
 
 from __future__ import annotations
 
@@ -11,16 +11,12 @@ from sluicebed.functions.names import cwe_codes
 from sluicebed.operators import evaluate, findings, metrics, prs
 from sluicebed.plans.shared import ship, written
 from sluicebed.sources import sinks
-from sluicebed.sources.jsonl import load_benchmark, load_results, read_analysis, repaired_results
+from sluicebed.sources.gitrepo import enrich, look_up
+from sluicebed.sources.jsonl import load_benchmark, load_results, read_analysis, read_sqlite, repaired_results
 
 
 def _records(spark: SparkSession, a: argparse.Namespace):
-    rows = load_benchmark(spark, a.enriched_root, a.metadata_root, a.benchmark, a.cwe, not a.skip_benign, a.hard_split, a.need_code)
-    numbered = rows.withColumn("example_no", F.xxhash64("id", "malicious"))
-    twice = numbered.groupBy("example_no").count().filter("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"two records share the number {twice[0][0]}")
-    return numbered
+    return prs.numbered(load_benchmark(spark, a.enriched_root, a.metadata_root, a.benchmark, a.cwe, not a.skip_benign, a.hard_split, a.need_code))
 
 
 def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -41,12 +37,30 @@ def run_analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_once(out.withColumn("advisory", F.coalesce("advisory", F.lit(False))).drop("example_no"), a.output, a.force)
 
 
+def run_enrich(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Records of a metadata split with what the forge's database and git hold of their pull requests, as JSON lines."""
+    rows = load_benchmark(spark, None, a.metadata_root, None, a.cwe, not a.skip_benign, a.hard_split)
+    rows = written(prs.numbered(rows.limit(a.limit) if a.limit else rows))
+    tables = [
+        read_sqlite(a.database, "SELECT id, head_branch, base_branch, merge_base, base_repo_id, issue_id, \"index\" FROM pull_request", spark, "id long, head_branch string, base_branch string, merge_base string, base_repo_id long, issue_id long, `index` long"),
+        read_sqlite(a.database, "SELECT id, owner_name, name FROM repository", spark, "id long, owner_name string, name string"),
+        read_sqlite(a.database, "SELECT id, name, content FROM issue", spark, "id long, name string, content string"),
+    ]
+    repo = F.split("repo", "/")
+    wanted = rows.select(F.col("example_no").alias("row_key"), repo[0].alias("owner"), F.try_element_at(repo, F.lit(2)).alias("name"), F.col("pr_number").cast("long").alias("number"))
+    found = look_up(wanted, *tables)
+    held = enrich(found, a.repositories, a.include_repository_source).join(found.select("row_key", "title", "body"), "row_key")
+    out = rows.select(*[c for c in rows.columns if c not in set(held.columns)], F.col("example_no").alias("row_key")).join(held, "row_key")
+    out = out.withColumns({"pr_title": F.coalesce("title", "pr_title"), "pr_body": F.coalesce("body", "pr_body")})
+    sinks.write_once(out.drop("row_key", "example_no", "title", "body"), a.output, a.force)
+
+
 def run_score(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = read_analysis(spark, a.input)
     if rows.isEmpty():
         print("no rows")
         return
-    metrics.detection_rates(rows).orderBy("cwe").show(100, False)
+    metrics.rate_table(rows).orderBy("place", "name").drop("place").show(100, False)
     metrics.kind_counts(rows).orderBy("cwe", "rank").show(500, False)
     metrics.extension_counts(rows).orderBy("cwe", F.desc("n")).show(500, False)
 
@@ -76,6 +90,13 @@ def arguments() -> argparse.ArgumentParser:
             p.add_argument("--modes", default="baseline,multi_agent,hybrid")
             p.add_argument("--budget", type=int, default=32_768)
             p.add_argument("--model", default="fake", help="fake, or module:attribute of a callable (system, user) -> answer")
+    p = jobs.add_parser("enrich")
+    for flag in ("--metadata-root", "--database", "--repositories", "--output"):
+        p.add_argument(flag, required=True)
+    p.add_argument("--cwe", action="append", required=True)
+    p.add_argument("--limit", type=int)
+    for flag in ("--hard-split", "--skip-benign", "--include-repository-source", "--force"):
+        p.add_argument(flag, action="store_true")
     for name in ("score", "report"):
         p = jobs.add_parser(name)
         p.add_argument("input")
@@ -88,7 +109,7 @@ def main(argv: list[str] | None = None) -> None:
     a = arguments().parse_args(argv)
     spark = SparkSession.builder.appName(f"sluicebed-{a.job}").getOrCreate()
     ship(spark)
-    {"evaluate": run_evaluate, "analyze": run_analyze, "score": run_score, "report": run_report}[a.job](spark, a)
+    {"evaluate": run_evaluate, "analyze": run_analyze, "enrich": run_enrich, "score": run_score, "report": run_report}[a.job](spark, a)
 
 
 if __name__ == "__main__":

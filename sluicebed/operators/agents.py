@@ -26,6 +26,12 @@ AUDITOR = "Answer with a verdict line '<VERDICT>: <reason>' and, for a defect, o
 HYBRID = "Answer with one verdict line, weighing these signals."
 
 
+def quoted(c: Column) -> Column:
+    """A string as JSON writes it, so that no path can break out of its quotes."""
+    as_list = F.to_json(F.array(c))
+    return F.substr(as_list, F.lit(2), F.length(as_list) - 2)
+
+
 def stripped(pulls: DataFrame) -> DataFrame:
     """pulls with comments blanked in every changed file; the maps stay in their rows."""
     files = pulls.select("example_no", F.explode("files").alias("path", "source")).filter("source is not null")
@@ -56,9 +62,9 @@ def audited(pulls: DataFrame, regions: DataFrame | None, budget: int, model: Mod
     rows = stripped(pulls) if strip_comments else pulls
     lines = written(review_lines(rows, regions.select("example_no", "path") if regions is not None else None))
     order = F.col("line_id").substr(F.lit(2), F.lit(12)).cast("int")
-    shown = lines.select("example_no", "path", F.lit(1).alias("part"), order.alias("nth"), F.concat(F.col("line_id"), F.lit(' "'), F.col("path"), F.lit('":'), F.col("line").cast("string"), F.lit(": "), F.col("quote")).alias("row"))
+    shown = lines.select("example_no", "path", F.lit(1).alias("part"), order.alias("nth"), F.concat(F.col("line_id"), F.lit(" "), quoted(F.col("path")), F.lit(":"), F.col("line").cast("string"), F.lit(": "), F.col("quote")).alias("row"))
     first = shown.groupBy("example_no", "path").agg(F.min("nth").alias("file_no"))
-    patch = hunk_texts(pulls).select("example_no", "path", F.lit(0).alias("part"), F.col("hunk_no").cast("int").alias("nth"), F.concat(F.lit('FILE "'), F.col("path"), F.lit('"\nPATCH:\n'), F.col("hunk"), F.lit("\nCURRENT SOURCE:")).alias("row"))
+    patch = hunk_texts(pulls).select("example_no", "path", F.lit(0).alias("part"), F.col("hunk_no").cast("int").alias("nth"), F.concat(F.lit("FILE "), quoted(F.col("path")), F.lit("\nPATCH:\n"), F.col("hunk"), F.lit("\nCURRENT SOURCE:")).alias("row"))
     all_rows = shown.unionByName(patch).join(first, ["example_no", "path"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "part", "nth", "row"))), lambda x: x["row"]), "\n")
     prompts = all_rows.groupBy("example_no").agg(text.alias("prompt"))

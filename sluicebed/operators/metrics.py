@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sluicebed.functions.names import cwe_codes
-from sluicebed.functions.schemas import DEFAULT_SOURCE
+from sluicebed.functions.schemas import DEFAULT_SOURCE, SUPPORTED_CWES
 from sluicebed.operators.prs import cwe_bucket
 
 DIMENSIONS = ("variant", "framing", "cwe_id", "source")
@@ -116,6 +116,32 @@ def detection_rates(rows: DataFrame) -> DataFrame:
     )
 
 
+def percent(rate: Column) -> Column:
+    """A rate as whole percents, "n/a" where there is none."""
+    return F.when(rate.isNull(), "n/a").otherwise(F.format_string("%.0f%%", rate * 100))
+
+
+def rate_table(rows: DataFrame) -> DataFrame:
+    """(place, name, malicious_n, malicious_hit, tpr, benign_n, benign_hit, fpr): detection_rates as the console shows them.
+
+    place orders the lines: the supported weaknesses in their fixed order, also those without rows, then others, then OVERALL.
+    """
+    fixed = {c: i for i, c in enumerate(SUPPORTED_CWES)}
+    known = rows.sparkSession.createDataFrame([(c, i) for c, i in fixed.items()], "cwe string, fixed int")
+    got = detection_rates(rows).join(F.broadcast(known), "cwe", "full_outer")
+    place = F.when(F.col("cwe") == "OVERALL", 10_000).otherwise(F.coalesce("fixed", F.lit(1_000)))
+    names = F.create_map(*[F.lit(x) for kv in CWE_NAMES.items() for x in kv])
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("malicious_n", "malicious_hit")], [F.coalesce(c, F.lit(0)).alias(c) for c in ("benign_n", "benign_hit")]
+    return got.select(place.alias("place"), F.coalesce("name", names[F.col("cwe")], "cwe").alias("name"), *counts[0], percent(F.col("tpr")).alias("tpr"), *counts[1], percent(F.col("fpr")).alias("fpr"))
+
+
+def denominators(results: DataFrame) -> DataFrame:
+    """(mode, sizes): the distinct numbers of malicious rows behind the rates of attack_types, for the report's footnote."""
+    rows = attack_types(results)
+    modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"{m}_malicious_n").alias("n")) for m in ("baseline", "hybrid")])).alias("m")
+    return rows.select(modes).filter("m.n > 0").groupBy("m.mode").agg(F.sort_array(F.collect_set("m.n")).alias("sizes"))
+
+
 def kind_counts(rows: DataFrame) -> DataFrame:
     """(cwe, kind, n, rank): finding kinds by weakness, the most frequent first, ties by name."""
     counts = rows.select(F.coalesce(cwe_codes(F.col("cwe")), F.lit("None")).alias("cwe"), F.explode("findings").alias("f")).groupBy("cwe", F.col("f.kind").alias("kind")).agg(F.count("*").alias("n"))

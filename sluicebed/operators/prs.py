@@ -179,6 +179,15 @@ def look_up_repository(pulls: DataFrame, repositories: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with example_no, a hash of the key (id, malicious); records that share a number are an error."""
+    out = rows.withColumn("example_no", F.xxhash64("id", "malicious"))
+    twice = out.groupBy("example_no").count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two records share the number {twice[0][0]}")
+    return out
+
+
 def balanced_sample(pulls: DataFrame, limit: int, seed: int = 42) -> DataFrame:
     """Benign and malicious records in turns until limit; when one side ends the other goes on.
 

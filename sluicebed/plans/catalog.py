@@ -64,6 +64,18 @@ def verdict_counts(spark, d):
     return metrics.verdict_counts(results(spark, d))
 
 
+@query
+def report_denominators(spark, d):
+    return metrics.denominators(results(spark, d)).select("mode", F.array_join("sizes", ",").alias("sizes"))
+
+
+@query
+def review_calls(spark, d):
+    """Calls of the model that the baseline review of each record takes."""
+    chunked = review.chunks(prs.review_text(pulls(spark, d)), "example_no", "review_text", 4096)
+    return review.reviewed(chunked, "example_no", "Begin with a verdict.", budget=4096).groupBy("example_no").agg(F.count("*").alias("n_calls"))
+
+
 @query
 def attack_type_pivot(spark, d):
     return metrics.ranked_attack_types(results(spark, d))
