@@ -19,6 +19,8 @@ gives a report in which every positive target of 0 tokens is met.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +34,7 @@ TRAIN_ROWS = 400
 STEPS = 60
 PACE = 0.9  # share of a residual that one step takes
 GRID = 20
+EVIDENCE = 10  # tokens of a text that count as independent of each other
 
 
 def _targets(targets: DataFrame) -> list[tuple[str, str, int, int]]:
@@ -46,13 +49,25 @@ def labelled(documents: DataFrame, folder: str = FOLDER) -> DataFrame:
     return ids.join(names, ids["doc_id"].eqNullSafe(names["doc_id"]), "left").select(ids["doc_id"], "name", "ids")
 
 
-def fit_classifier(docs: DataFrame, names: list[str], per_source: int = TRAIN_ROWS) -> np.ndarray:
-    """Log-probabilities of token ids by source, from at most per_source labelled rows of each (a documented bound)."""
+@dataclass(frozen=True)
+class Classifier:
+    """Log-probabilities of token ids by source, and of the sources themselves."""
+
+    table: np.ndarray
+    prior: np.ndarray
+
+
+def fit_classifier(docs: DataFrame, names: list[str], per_source: int = TRAIN_ROWS) -> Classifier:
+    """Token probabilities from at most per_source labelled rows of each source (a documented bound), shares of the sources
+    from all labelled rows."""
     low = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
     ranges = docs.filter(F.col("name").isin(names)).groupBy("name").agg(F.count("*").alias("n"))
-    share = {r[0]: min(1.0, 1.5 * per_source / r[1]) for r in ranges.collect()}
+    sizes = {r[0]: r[1] for r in ranges.collect()}
+    share = {name: min(1.0, 1.5 * per_source / n) for name, n in sizes.items()}
+    prior = np.array([sizes.get(n, 0) + 0.5 for n in names], np.float64)
+    prior = np.log(prior / prior.sum()) if len(names) else prior
     if not share:
-        return np.zeros((len(names), 0), np.float32)
+        return Classifier(np.zeros((len(names), 0), np.float32), prior)
     cut = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
     near = docs.filter(F.col("name").isin(names)).filter(
         (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6) < cut[F.col("name")]
@@ -65,17 +80,17 @@ def fit_classifier(docs: DataFrame, names: list[str], per_source: int = TRAIN_RO
     table = np.full((len(names), width), 0.5, np.float32)
     at = {n: i for i, n in enumerate(names)}
     table[counts["name"].map(at).to_numpy(int), counts["t"].to_numpy(int)] += counts["count"].to_numpy(np.float32)
-    return np.log(table / table.sum(axis=1, keepdims=True)) if width else table
+    return Classifier(np.log(table / table.sum(axis=1, keepdims=True)) if width else table, prior)
 
 
-def posteriors(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
+def posteriors(docs: DataFrame, names: list[str], classifier: Classifier) -> DataFrame:
     """docs with `post`, an array of the membership in each of names, in steps of 1/GRID."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(table)
+    model = spark.sparkContext.broadcast(classifier)
 
     @F.pandas_udf("array<double>")
     def soft(ids: pd.Series) -> pd.Series:
-        t = model.value
+        t, prior = model.value.table, model.value.prior
         out = []
         for x in ids:
             x = np.unique(np.asarray(x, np.int64)) if x is not None else np.array([], np.int64)
@@ -83,7 +98,7 @@ def posteriors(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFram
             if not t.size or not len(x):
                 out.append([0.0] * t.shape[0])
                 continue
-            s = t[:, x].mean(axis=1) * min(len(x), 30)
+            s = prior + t[:, x].mean(axis=1) * min(len(x), EVIDENCE)
             p = np.exp(s - s.max())
             out.append((np.round(p / p.sum() * GRID) / GRID).tolist())
         return pd.Series(out)
